@@ -1,8 +1,8 @@
 """Operators for preparing training data, each with its query and SQL."""
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, language_id, mixing, near_dedup, sharding
 
-_MODULES = (exact_dedup, sharding, mixing)
+_MODULES = (exact_dedup, language_id, sharding, mixing, near_dedup)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

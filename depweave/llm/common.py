@@ -6,13 +6,22 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import reach_workers
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -88,3 +97,45 @@ def with_file(docs: DataFrame, name: str) -> DataFrame:
     except AnalysisException:
         spread = stored(docs)
         return spread.select(*own, F.xxhash64(F.col("_metadata.file_path")).alias(name))
+
+
+def file_flags(marks: DataFrame):
+    """A UDF over (file, mark): is the pair among the rows of ``marks`` (part, mark)?
+
+    The marks are kept in the shared folder by file, and a task that reads
+    a file looks up that file's alone; nothing is broadcast and the rows
+    asked about don't move. A file's marks must fit in a task's memory, at
+    8 bytes each.
+    """
+    spark = marks.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_dir(spark)
+    spread = marks.select("part", "mark").withColumn("bucket", F.pmod("part", F.lit(width)))
+    spread.repartition(width, "bucket").sortWithinPartitions("bucket", "part").write.partitionBy("bucket").parquet(path)
+    uri = path if "://" in path else f"file://{path}"
+
+    def marks_of(one: int) -> np.ndarray:
+        fs, root = pa.fs.FileSystem.from_uri(uri)
+        folder = f"{root}/bucket={one % width}"
+        if fs.get_file_info(folder).type == pa.fs.FileType.NotFound:
+            return np.zeros(0, np.int64)
+        found = pq.read_table(folder, columns=["mark"], filesystem=fs, filters=[("part", "=", one)], partitioning=None)
+        return np.unique(found.column("mark").to_numpy())
+
+    @F.pandas_udf("boolean")
+    def flagged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        at, known = None, np.zeros(0, np.int64)
+        for parts, marks in batches:
+            out = np.zeros(len(parts), bool)
+            has = marks.notna().to_numpy()
+            value, p = marks.fillna(0).to_numpy().astype(np.int64), parts.to_numpy()
+            for one in np.unique(p):
+                if one != at:
+                    at, known = one, marks_of(int(one))
+                if len(known):
+                    here = (p == one) & has
+                    place = np.minimum(np.searchsorted(known, value[here]), len(known) - 1)
+                    out[here] = known[place] == value[here]
+            yield pd.Series(out)
+
+    return flagged
