@@ -132,7 +132,7 @@ def directory_breakdown(nodes: DataFrame) -> DataFrame:
 
 def target_stats(nodes: DataFrame, edges: DataFrame, target: str, cycles: DataFrame | None = None) -> DataFrame:
     """One row on a node, none for an unknown id: its sort, inherited attributes, degrees, neighbours and cycles."""
-    here = nodes.where(F.col("id") == target)
+    here = nodes.where(F.col("id") == target).select("id", "label", "kind", "external", "npm", "language", "community")
     entity, outside = is_entity(F.col("kind")), F.coalesce("external", F.lit(False))
     of = nodes.select(F.col("id").alias("parent_id"), F.col("language").alias("parent_language"), F.col("community").alias("parent_community"))
     base = here.withColumn("parent_file", F.when(entity & ~outside, parent(F.col("id")))).join(of, F.col("parent_file") == F.col("parent_id"), "left")

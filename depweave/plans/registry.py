@@ -154,7 +154,7 @@ def dependents_of(s, d):
 
 PAIRS_SQL = """, firsts AS (SELECT DISTINCT src FROM part_edges ORDER BY src LIMIT 10), lasts AS (SELECT DISTINCT dst FROM part_edges ORDER BY dst LIMIT 40),
 reach(root, id, depth) AS (SELECT src, src, 0 FROM firsts UNION SELECT root, e.dst, depth + 1 FROM reach r JOIN part_edges e ON e.src = r.id WHERE depth < 40)
-SELECT f.src, l.dst, m.hops FROM firsts f CROSS JOIN lasts l LEFT JOIN (SELECT root, id, min(depth)::BIGINT AS hops FROM reach GROUP BY root, id) m ON m.root = f.src AND m.id = l.dst"""
+SELECT f.src, l.dst, coalesce(m.hops, -1) AS hops FROM firsts f CROSS JOIN lasts l LEFT JOIN (SELECT root, id, min(depth)::BIGINT AS hops FROM reach GROUP BY root, id) m ON m.root = f.src AND m.id = l.dst"""
 
 
 @register(PARTS + PAIRS_SQL)
@@ -162,7 +162,7 @@ def shortest_path_len(s, d):
     edges = A.part_edges(s, d)
     firsts = edges.select("src").distinct().orderBy("src").limit(10)
     lasts = edges.select("dst").distinct().orderBy("dst").limit(40)
-    return query.path_lengths(edges, firsts.crossJoin(lasts))
+    return query.path_lengths(edges, firsts.crossJoin(lasts)).withColumn("hops", F.coalesce("hops", F.lit(-1)))
 
 
 @register()
