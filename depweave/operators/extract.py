@@ -304,6 +304,8 @@ def cpp(source: str) -> Found:
             bodies.add(body)
         else:
             records.add(body)
+    bodies.discard(-1)
+    records.discard(-1)
     functions = [(m.start(1), m.group(1)) for m in re.finditer(r"\bnamespace\s+([A-Za-z_]\w*)\s*\{", code)]
     methods = []
     for m in _C_CALL.finditer(code):
@@ -425,7 +427,8 @@ _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 
 def html(source: str, wanted: tuple[tuple[str, str], ...] = (("link", "src"), ("link", "href"), ("img", "src"), ("img", "href"))) -> Found:
     """Quoted sources and links of ``wanted`` (tag, attribute), then the sources of scripts."""
-    code = re.sub(r"<!--.*?(?:-->|\Z)|(?<=>)[^<]*(?=</script)", lambda m: _hide(m.group()), source, flags=re.S)
+    code = re.sub(r"<!--.*?(?:-->|\Z)", lambda m: _hide(m.group()), source, flags=re.S)
+    code = re.sub(r"(<script\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)(.*?)(?=</script|\Z)", lambda m: m.group(1) + _hide(m.group(2)), code, flags=re.S)
     first, scripts = [], []
     for tag, attributes in _TAG.findall(code):
         for name, double, single in _ATTRIBUTE.findall(attributes):

@@ -1,0 +1,173 @@
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from depweave.functions.languages import detect_stack, language
+from depweave.operators import build, cache, enrich, extract
+from depweave.sources import files as S
+from depweave.sources import graph_files as G
+
+
+@pytest.fixture
+def tree(tmp_path):
+    def put(name, text="x\n"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+
+    for name in ("src/index.js", "src/util.ts", "src/helper.py", "node_modules/lib.js", "dist/bundle.js", ".git/config", "note.txt"):
+        put(name)
+    put("large.js", "x" * ((2 << 20) + 1))
+    put("edge.js", "x" * (2 << 20))
+    os.symlink(tmp_path / "src/index.js", tmp_path / "link.js")
+    return tmp_path
+
+
+def names(df, root):
+    return sorted(os.path.relpath(r.path, root) for r in df.collect())
+
+
+def test_discovery(spark, tree):
+    found, ignored = S.list_files(spark, str(tree), str(tree / "src"), rules=S.IgnoreRules([".git", "node_modules", "dist"]))
+    assert names(found, tree) == ["edge.js", "src/helper.py", "src/index.js", "src/util.ts"] and ignored == 3
+    assert found.count() == found.select("path").distinct().count()
+    assert S.list_files(spark, str(tree / "nothing"))[0].count() == 0
+
+
+def test_distributed_scan(spark, tree):
+    got = S.scan_files(spark, str(tree / "src"))
+    assert names(got, tree) == ["src/helper.py", "src/index.js", "src/util.ts"] and {r.size for r in got.collect()} == {2}
+
+
+@pytest.mark.parametrize(
+    ("patterns", "path", "want"),
+    [
+        (["node_modules"], "a/node_modules/x.js", True), (["dist/"], "dist", False), (["dist/"], "dist/x.js", True), (["*.min.js"], "a/b.min.js", True), (["/build"], "a/build", False), (["/build"], "build/x", True),
+        (["a/**/z.js"], "a/b/c/z.js", True), (["a/**/z.js"], "a/z.js", True), (["*.js", "!keep.js"], "keep.js", False), (["a?c"], "abc", True), (["a?c"], "a/c", False), (["[!x]y"], "zy", True), (["[!x]y"], "xy", False),
+    ],
+)
+def test_ignore_rules(patterns, path, want):
+    assert S.IgnoreRules(patterns).ignores(path) is want
+
+
+def test_ignore_file(tmp_path):
+    (tmp_path / ".agentignore").write_text("# comment\n\n  dist  \n*.log\n")
+    assert S.read_ignore_file(str(tmp_path)) == ["dist", "*.log"] and S.read_ignore_file(str(tmp_path / "no")) == []
+
+
+@pytest.mark.parametrize(
+    ("markers", "stack"),
+    [
+        ({}, "node"), ({"package.json": '{"dependencies": {"react": "1", "next": "1"}}'}, "nextjs"), ({"package.json": '{"devDependencies": {"vue": ""}}'}, "vue"), ({"package.json": "{}"}, "node"),
+        ({"package.json": "{", "Cargo.toml": ""}, "rust"), ({"requirements.txt": "# django\nFlask>=2\n"}, "flask"), ({"requirements.txt": "numpy"}, "python"), ({"pom.xml": ""}, "java"), ({"go.mod": "", "Makefile": ""}, "cpp"), ({"Gemfile": ""}, "ruby"),
+    ],
+)
+def test_stacks(markers, stack, tmp_path):
+    for name, text in markers.items():
+        (tmp_path / name).write_text(text)
+    assert detect_stack(markers) == stack == S.stack_of(str(tmp_path))
+
+
+def test_packages(spark, tmp_path):
+    assert S.packages(spark, str(tmp_path)).count() == 0
+    (tmp_path / "package.json").write_text('{"dependencies": {"a": "1"}, "devDependencies": {"b": "1", "a": "2"}}')
+    assert {r.name for r in S.packages(spark, str(tmp_path)).collect()} == {"a", "b"}
+
+
+def test_languages(spark):
+    df = spark.createDataFrame([(".TS",), (".h",), ("",), (None,)], "e string")
+    assert [r[0] for r in df.select(language(F.col("e"))).collect()] == ["TypeScript", "C++", "Unknown", "Unknown"]
+
+
+def test_tree_to_graph_and_back(spark, tmp_path):
+    for name, text in {
+        "frontend/app.js": "import './utils/helpers.js'; import '../shared/constants.js'; import 'react'; class App { run() {} }",
+        "frontend/utils/helpers.js": "export function help() {}",
+        "frontend/index.html": '<script src="app.js"></script>',
+        "shared/constants.js": "/** Constants. */ const c = 1;",
+        "backend/server.js": "const e = require('express'); require('../shared/constants.js'); function start() {}",
+        "backend/main.py": "import os\nclass M:\n    def go(self): pass\n",
+        "empty.js": "",
+    }.items():
+        p = tmp_path / "t" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    found, _ = S.list_files(spark, str(tmp_path / "t"))
+    parsed = extract.parse_files(S.with_content(found)).cache()
+    assert parsed.where("error").count() == 1
+    nodes, edges = build.build_graph(parsed)
+    nodes = enrich.enrich(nodes, edges).cache()
+    folder = G.OutputFolder(str(tmp_path))
+    path = folder.write(G.graph_json(nodes, edges), "graph.json")
+    held = json.load(open(path))
+    assert held["options"] == {"type": "mixed", "multi": True, "allowSelfLoops": True}
+    constants = str(tmp_path / "t/shared/constants.js")
+    assert sum(e["target"] == constants for e in held["edges"]) == 2
+    back_nodes, back_edges = G.read_graph(spark, path)
+    pick = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    for c in (("id", "label", "community"), ("id", "color"), ("id", "size")):
+        assert pick(back_nodes, *c) == pick(nodes, *c)
+    assert pick(back_edges.fillna(""), "src", "dst", "relation", "relationship") == pick(edges.fillna(""), "src", "dst", "relation", "relationship")
+    assert "</script>" in G.graph_html(nodes, edges)
+    nodes.unpersist()
+    parsed.unpersist()
+
+
+def test_reading_bad_files(spark, tmp_path):
+    assert G.read_graph(spark, str(tmp_path / "no.json")) is None and G.read_cycles(spark, str(tmp_path / "no.json")) is None and G.read_cache(spark, str(tmp_path / "no")) is None
+    (tmp_path / "bad.json").write_text("{")
+    with pytest.raises(ValueError):
+        G.read_graph(spark, str(tmp_path / "bad.json"))
+    assert G.read_cycles(spark, str(tmp_path / "bad.json")) is None
+
+
+def test_cycles_file(spark, tmp_path, graph):
+    from depweave.operators.cycles import detect_cycles
+
+    cycles = detect_cycles(*graph([("a", "F"), ("b", "F")], [("a", "b"), ("b", "a")]))
+    for text in (G.cycles_json(cycles), '{"cycles": ' + G.cycles_json(cycles) + "}"):
+        (tmp_path / "c.json").write_text(text)
+        assert [r.asDict(True) for r in G.read_cycles(spark, str(tmp_path / "c.json")).collect()] == [r.asDict(True) for r in cycles.collect()]
+    (tmp_path / "c.json").write_text("[]")
+    assert G.read_cycles(spark, str(tmp_path / "c.json")).count() == 0
+
+
+def test_writes_stay_inside(tmp_path):
+    folder = G.OutputFolder(str(tmp_path))
+    assert os.path.exists(folder.write("x", "deep", "er", "f.txt"))
+    for bad in (("..", "out.txt"), ("/etc/passwd",), ("a", "..", "..", "x"), ()):
+        with pytest.raises(G.OutsideFolder):
+            folder.write("x", *bad)
+
+
+def test_retry_file(tmp_path):
+    folder = G.OutputFolder(str(tmp_path))
+    assert G.read_retry(folder) == []
+    G.write_retry(folder, [{"index": 1}])
+    assert G.read_retry(folder) == [{"index": 1}]
+    G.write_retry(folder, [])
+    assert G.read_retry(folder) == []
+
+
+def test_cache(spark, tmp_path):
+    from depweave.schema import CACHE
+
+    record = ("/a.js", ["x"], ([], [], [], [], []), False)
+    old = spark.createDataFrame([("/a.js", 1.5, 10, record), ("/b.js", 1.0, 5, None), ("/gone.js", 1.0, 1, record)], CACHE)
+    files = spark.createDataFrame([("/a.js", 1.5, 10), ("/b.js", 1.0, 5), ("/c.js", 2.0, 7), ("/v.js", None, None)], "path string, mtime_ms double, size long")
+    assert {r.path: r.status for r in cache.split_by_cache(files, old).collect()} == {"/a.js": "hit", "/b.js": "miss", "/c.js": "miss", "/v.js": "miss"}
+    for change in ((1.6, 10), (1.5, 11)):
+        moved = spark.createDataFrame([("/a.js", *change)], "path string, mtime_ms double, size long")
+        assert cache.split_by_cache(moved, old).first().status == "miss"
+    assert [r.path for r in cache.stale_paths(files, old).collect()] == ["/gone.js"]
+    fresh = spark.createDataFrame([("/b.js", [], ([], [], [], [], []), False), ("/c.js", [], ([], [], [], [], []), True), ("/v.js", [], ([], [], [], [], []), False)], "id string, dependencies array<string>, entities " + CACHE.split("entities: ")[1].rsplit(", error", 1)[0] + ", error boolean")
+    new = cache.updated_cache(old, files, fresh)
+    assert {(r.path, r.size, r.data.error) for r in new.collect()} == {("/a.js", 10, False), ("/b.js", 5, False), ("/c.js", 7, True)}
+    path = str(tmp_path / "cache")
+    G.write_cache(new, path)
+    G.write_cache(G.read_cache(spark, path), path)
+    assert G.read_cache(spark, path).count() == 3
+    G.read_cache(spark, path).withColumn("version", F.lit(99)).write.parquet(path + "99")
+    assert G.read_cache(spark, path + "99") is None
