@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -20,8 +21,26 @@ from pyspark.sql import functions as F
 from .. import reach_workers
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+#: Of texts that go to Python at once, whatever their number of rows.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let workers import the package, and bound what a batch of rows takes there by bytes, as texts may be long."""
     reach_workers(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return a task's memory to the machine, as its Python process stays for the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

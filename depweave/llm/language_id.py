@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, cols, fresh, load
+from .common import col, cols, fresh, give_back, load
 
 #: At most so many labelled rows of a language are fitted on; it bounds the
 #: driver's memory together with MOST_LANGUAGES and SAMPLE_CHARS.
@@ -202,6 +202,7 @@ def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE
             lang = np.concatenate(languages) if languages else np.zeros(0, object)
             value = np.concatenate(best) if best else np.zeros(0)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(value, pa.float64(), mask=np.isnan(value))], fields=list(out_type))
+        give_back()
 
     if model is None:
         none = docs.select(*cols(own), F.lit(None).cast("string").alias(language), F.lit(None).cast("double").alias(score))

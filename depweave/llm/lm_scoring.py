@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, cols, fresh, load, stored
+from .common import col, cols, fresh, give_back, load
 from .language_id import slices
 from .subword import LOCKSTEP, MODEL, SPACE, Vocabulary, vocabulary
 
@@ -228,6 +228,7 @@ def lm_score(docs: DataFrame, model: str = MODEL, prior: float = PRIOR, log_prob
                 parts.append(np.bincount(np.repeat(np.arange(len(counts)), counts), each[coded.indices.to_numpy()], len(counts)))
             value = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pc.if_else(pc.is_null(texts), pa.scalar(None, pa.float64()), value)
+        give_back()
 
     out = docs.select(*cols(own), run(col("text").cast("string")).alias(raw), F.length(col("text").cast("string")).alias(f"{raw}_n"))
     return out.select(*cols(own), F.col(raw).alias(log_prob), F.when(F.col(f"{raw}_n") > 0, -F.col(raw) / (math.log(2) * F.col(f"{raw}_n"))).alias(bits))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, cols, file_flags, fresh, load, stored, with_file
+from .common import col, cols, file_flags, fresh, give_back, load, stored, with_file
 
 #: Signature bits, and the distance up to which two documents are near.
 BITS, RADIUS = 128, 22
@@ -104,6 +104,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has = np.concatenate([h for _, h in sigs])
             packed = pa.Array.from_buffers(pa.binary(16), len(whole), [None, pa.py_buffer(np.ascontiguousarray(whole).tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pc.if_else(pa.array(has), packed, pa.scalar(None, pa.binary()))], names=[*batch.schema.names[:-1], "sig"])
+    give_back()
 
 
 def shard_plan(n: int, bits: int = BITS, design: int = DESIGN, recall: float = RECALL) -> tuple[int, int]:
@@ -247,6 +248,7 @@ def _link(radius: int):
                 held, size = [(table[cut:], key[cut:], sig[cut:])], len(key) - cut
         if held and (out := edges(held)) is not None:
             yield out
+        give_back()
 
     return run
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, cols, fresh, load
+from .common import col, cols, fresh, give_back, load
 from .language_id import slices
 from .subword import MODEL, vocabulary
 
@@ -68,6 +68,7 @@ def encode(docs: DataFrame, model: str = MODEL, ids: str = "ids", n_ids: str = "
             lists = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
             lists = pc.if_else(pc.is_null(texts), pa.scalar(None, lists.type), lists)
             yield pa.StructArray.from_arrays([lists, pa.array(np.concatenate(same) if same else [], pa.bool_())], names=["ids", "lossless"])
+        give_back()
 
     out = docs.select(*cols(own), run(col("text").cast("string")).alias(coded))
     found = F.col(coded)["ids"]
