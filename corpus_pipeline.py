@@ -10,40 +10,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave import reach_workers
 from depweave.llm import exact_dedup, language_id, mixing, near_dedup, tokenization
-from depweave.llm.common import stored
+from depweave.llm.common import prepare, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no known language is found go."""
-    reach_workers(spark)
+    prepare(spark)
     return language_id.identify(docs).where(F.col("accepted")).select(*COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    reach_workers(spark)
+    prepare(spark)
     return exact_dedup.exact_dedup(docs).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    reach_workers(spark)
+    prepare(spark)
     return near_dedup.near_dedup(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or thinned until sources weigh the square root of their tokens."""
-    reach_workers(spark)
+    prepare(spark)
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's piece ids, checked against the text they decode to."""
-    reach_workers(spark)
+    prepare(spark)
     return tokenization.encode(docs).select("doc_id", "lang", "source", "ids", "n_ids", "lossless")
 
 
@@ -61,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the documents of ``sf_dir``."""
-    reach_workers(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
