@@ -173,7 +173,7 @@ class _Inflated(io.RawIOBase):
 
 def records(f, packed: bool, fits, payload: bool = True) -> Iterator[dict]:
     """The records of an open file that fit. What follows a broken record is found at the next version line."""
-    stream = io.BufferedReader(_Inflated(f), CHUNK) if packed else f
+    stream = io.BufferedReader(_Inflated(f), CHUNK) if packed else f if isinstance(f, io.BytesIO) else io.BufferedReader(f, CHUNK)
     at = 0
 
     def line() -> bytes:
