@@ -310,7 +310,7 @@ def cpp(source: str) -> Found:
     methods = []
     for m in _C_CALL.finditer(code):
         name = m.group(2)
-        if name in _C_NOT or re.search(r"\boperator\s*$|[.>~]\s*$", code[max(0, m.start() - 12) : m.start()]):
+        if name in _C_NOT or re.search(r"\boperator\s*$|[.>~,]\s*$|(?<!:)(?<!public)(?<!private)(?<!protected):\s*$", code[max(0, m.start() - 12) : m.start()]):
             continue
         around = scopes.around(m.start())
         if not _C_BODY.match(code[closing(code, m.end() - 1) + 1 :][:500]):
