@@ -1,4 +1,4 @@
-"""Tables written between rounds of an iteration."""
+"""Tables written to the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
+    """A new folder below the cluster's ``spark.checkpoint.dir``.
+
+    Only where the session has no such setting and runs on one machine, as
+    in tests, is a temporary folder taken, which goes when the driver ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="depweave-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{local}")
@@ -22,7 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends at a place that outlives executors."""
+    """``df`` written to the shared folder and read again.
+
+    It cuts the lineage at a place that outlives executors, and gives the
+    planner true sizes for its choice between broadcast and shuffle.
+    """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
