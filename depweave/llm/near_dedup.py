@@ -21,7 +21,7 @@ BITS, RADIUS = 128, 22
 DESIGN, RECALL = 18, 0.95
 SEED = 977
 LONG_WORD, SHINGLE, SHORT, WEIGHTY = 24, 5, 2, 12
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 2 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
