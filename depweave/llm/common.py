@@ -1,12 +1,10 @@
 """Helpers that the operators of this subpackage share."""
 
+# ruff: noqa: F401  (shared_dir and stored are taken from here)
+
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import reach_workers
+from ..operators.storage import shared_dir, stored
 
 
 #: Of texts that go to Python at once, whatever their number of rows.
@@ -44,42 +43,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``.
-
-    Only where the session has no such setting, as in tests on one machine,
-    is a temporary folder taken, which goes when the driver ends.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            local = tempfile.mkdtemp(prefix="depweave-")
-            atexit.register(shutil.rmtree, local, ignore_errors=True)
-            spark.sparkContext.setCheckpointDir(f"file://{local}")
-            held = spark.sparkContext.getCheckpointDir()
-        root = held
-    return f"{root.rstrip('/')}/depweave-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    It cuts the lineage at a place that outlives executors, and gives the
-    planner true sizes for its choice between broadcast and shuffle.
-    """
-    return df.sparkSession.read.schema(df.schema).parquet(stored_path(df, *partition_by))
-
-
-def stored_path(df: DataFrame, *partition_by: str) -> str:
-    path = shared_dir(df.sparkSession)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return path
-
-
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """The names wanted, lengthened until none is a column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.components import components
 from .common import col, cols, file_flags, fresh, give_back, load, stored, with_file
 
 #: Signature bits, and the distance up to which two documents are near.
@@ -268,27 +269,6 @@ def near_pairs(sigs: DataFrame, radius: int = RADIUS, n: int | None = None) -> D
     return ordered.mapInArrow(_link(radius), "a binary, b binary").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, least) for the nodes of ``edges`` (a, b): the least node each is connected to.
-
-    Large stars and small stars alternate until nothing changes; every round
-    is written to the shared folder.
-    """
-    links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    over = Window.partitionBy("u")
-    while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(over), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        starred = large.where("u <> v").distinct().withColumn("m", F.min("v").over(over))
-        small = starred.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        links = stored(small)
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least"))
-        before = now
-
-
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each group that near copies join.
 
