@@ -10,6 +10,8 @@ from ..schema import CYCLES
 from .storage import stored
 
 LIMIT = 200
+#: Up to so many links are looked at on the driver; above, Spark drops links off cycles first.
+DRIVER_LINKS = 500_000
 ARROW = " → "
 
 
@@ -21,15 +23,15 @@ def _links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(files.select(F.col("id").alias("src")), "src", "left_semi").join(files.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def without_sinks(links: DataFrame, column: str = "dst", other: str = "src") -> DataFrame:
-    """Links left when nodes that lead nowhere are dropped again and again.
+def without_sinks(links: DataFrame, column: str = "dst", other: str = "src", enough: int = DRIVER_LINKS) -> DataFrame:
+    """Links left when nodes that lead nowhere are dropped again and again, until ``enough`` are left or all that can reach a cycle.
 
-    What remains can reach a cycle. With the columns exchanged, nodes that
-    nothing leads to are dropped instead.
+    With the columns exchanged, nodes that nothing leads to are dropped
+    instead.
     """
     links = stored(links)
     before = links.count()
-    while before:
+    while before > enough:
         going = links.select(F.col(other).alias(column)).distinct()
         links = stored(links.join(going, column, "left_semi"))
         now = links.count()
@@ -76,9 +78,9 @@ def depth_first(starts: list[str], out: dict[str, list[str]], limit: int = LIMIT
 def detect_cycles(nodes: DataFrame, edges: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(id, size, files, edges, label): cycles that a depth-first walk in node order closes.
 
-    Files that can't reach a cycle are dropped in Spark first; the order in
-    which the rest, which alone comes to the driver, is walked decides which
-    cycles are found.
+    The order of the walk decides which cycles are found, so the links come
+    to the driver; where there are many, files that can't reach a cycle are
+    dropped in Spark first, which changes nothing.
     """
     spark = nodes.sparkSession
     order = F.col("ord") if "ord" in nodes.columns else F.lit(0)
@@ -96,26 +98,68 @@ def detect_cycles(nodes: DataFrame, edges: DataFrame, limit: int = LIMIT) -> Dat
     return spark.createDataFrame(rows, CYCLES)
 
 
-def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def strongly_cyclic(out: dict[str, list[str]]) -> list[str]:
+    """Nodes that lead to themselves, by one walk that finds strong components."""
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    waiting: list[str] = []
+    there: set[str] = set()
+    found = []
+    for start in out:
+        if start in index:
+            continue
+        todo = [(start, iter(out[start]))]
+        index[start] = low[start] = len(index)
+        waiting.append(start)
+        there.add(start)
+        while todo:
+            node, ahead = todo[-1]
+            for to in ahead:
+                if to not in index:
+                    index[to] = low[to] = len(index)
+                    waiting.append(to)
+                    there.add(to)
+                    todo.append((to, iter(out.get(to, ()))))
+                    break
+                if to in there:
+                    low[node] = min(low[node], index[to])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == index[node]:
+                    part = []
+                    while not part or part[-1] != node:
+                        part.append(waiting.pop())
+                        there.discard(part[-1])
+                    if len(part) > 1 or node in out.get(node, ()):
+                        found.extend(part)
+    return found
+
+
+def cyclic_nodes(nodes: DataFrame, edges: DataFrame, enough: int = DRIVER_LINKS) -> DataFrame:
     """(id) of files that lead to themselves, in whatever order they are walked.
 
-    Only links between nodes that can reach a cycle and be reached from one
-    are followed. A round doubles the steps that pairs cover, so their number
-    is the log of the longest way; every round is written to the shared
-    folder.
+    Links off cycles are dropped from both ends until ``enough`` are left for
+    one walk on the driver. If more than that lie between cycles, pairs of
+    nodes are followed in Spark, each round doubling the steps they cover.
     """
-    core = without_sinks(without_sinks(_links(nodes, edges).select("src", "dst")), "src", "dst")
-    reached = stored(core.select("src", "dst").distinct())
-    before = reached.count()
-    while before:
+    core = without_sinks(without_sinks(_links(nodes, edges).select("src", "dst"), enough=enough), "src", "dst", enough)
+    before = core.count()
+    if before <= enough:
+        out: dict[str, list[str]] = {}
+        for r in core.toLocalIterator():
+            out.setdefault(r.src, []).append(r.dst)
+        return nodes.sparkSession.createDataFrame([(n,) for n in strongly_cyclic(out)], "id string")
+    reached = core
+    while True:
         ahead = reached.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
         longer = reached.join(ahead, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst"))
         reached = stored(reached.unionByName(longer).distinct())
         now = reached.count()
         if now == before:
-            break
+            return reached.where("src = dst").select(F.col("src").alias("id"))
         before = now
-    return reached.where("src = dst").select(F.col("src").alias("id"))
 
 
 def cycle_ids(cycles: DataFrame, target: str) -> list[int]:

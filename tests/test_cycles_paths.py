@@ -70,7 +70,20 @@ def test_walk_by_brute_force():
 
 def test_cyclic_nodes(graph):
     ns, es = graph(files("abcdef"), [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("e", "e"), ("d", "f")])
-    assert {r.id for r in C.cyclic_nodes(ns, es).collect()} == {"b", "c", "e"}
+    for enough in (0, 100):
+        assert {r.id for r in C.cyclic_nodes(ns, es, enough).collect()} == {"b", "c", "e"}
+    assert C.without_sinks(C._links(ns, es), enough=0).count() == 4
+
+
+def test_strong_components_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        names = [str(i) for i in range(rng.randint(1, 9))]
+        out = {a: rng.sample(names, rng.randint(0, min(len(names), 2))) for a in names}
+        reach = {a: set(out[a]) for a in names}
+        for _ in names:
+            reach = {a: r.union(*(out[b] for b in r)) for a, r in reach.items()}
+        assert set(C.strongly_cyclic(out)) == {a for a in names if a in reach[a]}
 
 
 def test_shortest_path(graph):
