@@ -238,8 +238,13 @@ def write_warc(pages: DataFrame, path: str, compress: bool = True) -> DataFrame:
     """Files (path, n) of the folder ``path`` with ``pages`` (page_id, url, html) as request and response records.
 
     A task writes one file aside, then moves it to the name of its partition,
-    so a lost, repeated or speculative task leaves one whole file. Rows with a null html become records of type ``revisit`` without
-    a payload.
+    so a lost, repeated or speculative task leaves one whole file. Rows with
+    a null html become records of type ``revisit`` without a payload.
+
+    Defined results: a null id or url is null again when read; white space in
+    a url becomes one space; null and empty pages differ; repeated rows stand
+    twice; pages of any length are one record; extra columns are left out. An
+    empty table gives files without pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
