@@ -80,8 +80,9 @@ def hilbert_shards(
 
     Each dimension is quantised to ``2**bits`` cells of about equal numbers
     of rows. Cells are walked along the curve and cut into runs of
-    ``shard_chars``; a cell larger than that alone is spread over as many
-    runs by a hash of the row. Row group statistics of the written files
+    ``shard_chars``; a cell of more than an eighth of that is spread over its
+    length of the walk by a hash of the row, so no run is much longer than
+    asked. Row group statistics of the written files
     then prune on any dimension. Only the table of occupied cells, of
     ``2**(bits * dimensions)`` rows at most, is sent to all executors.
 
@@ -117,7 +118,7 @@ def hilbert_shards(
     cells = stored(per_cell.select(F.col(index_column), F.col(amount), F.coalesce(F.sum(amount).over(walk), F.lit(0)).alias(start)))
     last = cells.agg((F.floor((F.max(F.col(start) + F.col(amount))) / shard_chars) + 1).alias("n")).first().n
     share = F.pmod(F.xxhash64(*cols([n for n in ("doc_id", size) if n in own])), F.lit(1 << 20)) / float(1 << 20)
-    spread = F.when(F.col(amount) > shard_chars, share * F.col(amount)).otherwise(0.0)
+    spread = F.when(F.col(amount) * 8 > shard_chars, share * F.col(amount)).otherwise(0.0)
     sharded = indexed.join(F.broadcast(cells), index_column).withColumn(shard_column, F.floor((F.col(start) + spread) / shard_chars).cast("int"))
     inside = [index_column] + [n for n in ("doc_id",) if n in own]
     return sharded.repartitionById(int(last or 1), F.col(shard_column)).sortWithinPartitions(*inside).select(*cols(own), index_column, shard_column)

@@ -117,7 +117,7 @@ def test_shards_prune(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s")).withColumn("f", F.input_file_name())
     assert sorted(r.doc_id for r in back.collect()) == sorted(r.doc_id for r in df.select("doc_id").collect())
     per = back.groupBy("shard_id").agg(F.countDistinct("f").alias("files"), F.min("curve_index").alias("lo"), F.max("curve_index").alias("hi"), F.sum("n_chars").alias("n")).orderBy("shard_id").collect()
-    assert {r.files for r in per} == {1} and len(per) > 15 and max(r.n for r in per) <= 2.2 * 100000
+    assert {r.files for r in per} == {1} and len(per) > 15 and max(r.n for r in per) <= 1.6 * 100000
     assert all(a.hi <= b.lo for a, b in zip(per, per[1:]))
     touched = lambda by: back.groupBy("f").agg(F.min(by).alias("a"), F.max(by).alias("b"))
     small = touched("n_chars").where("a <= 300").count()
