@@ -21,7 +21,9 @@ BITS, RADIUS = 128, 22
 #: A pair at distance DESIGN shares at least one shard with probability RECALL.
 DESIGN, RECALL = 18, 0.95
 SEED = 977
-LONG_WORD, SHINGLE, SHORT, WEIGHTY = 24, 5, 2, 12
+LONG_WORD, SHINGLE, WEIGHTY = 24, 5, 16
+#: The weight of the set of all words in a long text, and what a text of one word adds to it.
+WHOLE, FEW = 24, 120
 SLICE_CHARS = 2 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -60,9 +62,12 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(n, 2) words of 64 signature bits for each text, and whether it has any feature.
 
-    A feature is a word of the lower-cased text, counted once, and weighs its
-    length less SHORT, which takes the place of a stop list; texts of short
-    words only weigh each by 1.
+    A feature is a word of the lower-cased text, counted once. It weighs the
+    square root of its length (of WEIGHTY characters at most), times 10, which
+    takes the place of a stop list. The set of all words is one more feature,
+    of weight WHOLE and FEW over their number, which is next to nothing in a
+    text of some length and keeps apart texts of a few words that share the
+    longest.
     """
     n = len(texts)
     owner, word, names = _words(texts)
@@ -74,22 +79,21 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out, has = np.zeros((n, 2), np.uint64), np.zeros(n, bool)
     if not len(pair):
         return out, has
-    weight = np.clip(lengths, 0, WEIGHTY) - SHORT
-    best = np.full(n, -WEIGHTY)
-    np.maximum.at(best, owner, weight[word])
-    plain = best <= 0
-    weight = np.maximum(weight, 0)
+    weight = (10 * np.sqrt(np.clip(lengths, 0, WEIGHTY))).astype(np.int32)
     first = pd.util.hash_array(np.array(names, object), categorize=False).astype(np.uint64)
     hashes = (_scramble(first), _scramble(first + _GOLD))
     starts = np.flatnonzero(np.diff(owner, prepend=-1))
     who = owner[starts]
     has[who] = True
-    use = weight[word].astype(np.int32)
-    use[plain[owner]] = 1
+    use = weight[word]
+    whole = _scramble(np.add.reduceat(hashes[0][word], starts))
+    sets = (whole, _scramble(whole + _GOLD))
+    share = WHOLE + FEW // np.diff(np.append(starts, len(owner)))
     for side in range(2):
         for bit in range(64):
             plane = (((hashes[side] >> np.uint64(bit)) & np.uint64(1)).astype(np.int32) << 1) - 1
             total = np.add.reduceat(plane[word] * use, starts)
+            total += share.astype(np.int32) * ((((sets[side] >> np.uint64(bit)) & np.uint64(1)).astype(np.int32) << 1) - 1)
             out[who, side] |= (total > 0).astype(np.uint64) << np.uint64(bit)
     return out, has
 

@@ -99,6 +99,8 @@ def test_signatures():
     texts = ["One two THREE", "three, two; one!", None, "", " \n", "!!", "日本語の文章はスペースがありません、とても長い一文です", "a b"]
     s, has = N.signatures(pa.array(texts))
     assert has.tolist() == [True, True, False, False, False, False, True, True] and (s[0] == s[1]).all()
+    short = N.signatures(pa.array(["Of the thing", "In the thing", "The thing is in it", "Extraordinarily.", "An extraordinarily"]))[0]
+    assert min(np.bitwise_count(short[i] ^ short[j]).sum() for i in range(5) for j in range(i)) > N.RADIUS
     again, _ = N.signatures(pa.array(texts[6:]))
     assert (again == s[6:]).all()
 
