@@ -85,7 +85,7 @@ def test_tree_to_graph_and_back(spark, tmp_path):
     for name, text in {
         "frontend/app.js": "import './utils/helpers.js'; import '../shared/constants.js'; import 'react'; class App { run() {} }",
         "frontend/utils/helpers.js": "export function help() {}",
-        "frontend/index.html": '<script src="app.js"></script>',
+        "frontend/index.html": "<p>x</p><script defer src='app.js'></script>",
         "shared/constants.js": "/** Constants. */ const c = 1;",
         "backend/server.js": "const e = require('express'); require('../shared/constants.js'); function start() {}",
         "backend/main.py": "import os\nclass M:\n    def go(self): pass\n",
