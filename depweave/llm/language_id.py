@@ -22,9 +22,12 @@ SAMPLE_CHARS = 4000
 LANDMARKS = 256
 RIDGE = 1e-3
 ORDERS = (1, 2, 3)
-#: A document is rejected if no language's regression gives it more than this
-#: (targets are 1 for the language and -1 for the others).
-REJECT = -0.5
+#: A document is rejected if it is less familiar than labelled texts of its
+#: language and size are. Unfamiliar may be SLACK times what is at this
+#: quantile of theirs, ODD at least, and the grams of one odd letter.
+REJECT, SLACK, ODD = 0.02, 3, 0.15
+#: Sizes, as powers of two of grams, for which there are cuts.
+SIZES = 16
 #: Symbols: boundary, other letter, and the commonest letters.
 ALPHABET = 64
 SLICE_CHARS = 1 << 20
@@ -38,11 +41,19 @@ class Kernel:
         self.width = weights.shape[0]
         spoken = lookup[2:ALPHABET]
         self.letters = spoken[spoken < self.width]
+        #: (languages, width): which grams a language's landmarks have; (languages, SIZES): its cuts
+        self.own = np.ones((len(languages), self.width), bool)
+        self.cuts = np.zeros((len(languages), SIZES))
 
     def presence(self, texts: pa.Array) -> np.ndarray:
         """(n, width) float32: which grams of the dictionary each text contains."""
+        return self._read(texts)[0]
+
+    def _read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Presence, and of how many grams of the highest order, how many of them in the dictionary, each text consists."""
         n = len(texts)
         held = np.zeros((n, self.width + 1), np.float32)
+        total, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
         points, owner, left = _points(texts)
         flat = held.reshape(-1)
         for at in range(0, len(points), SLICE_CHARS):
@@ -53,14 +64,42 @@ class Kernel:
                 place = self.lookup[code].astype(np.int64)
                 place[left[at:end][: len(place)] < order] = self.width
                 flat[row[: len(place)] + place] = 1
-        return held[:, : self.width]
+                if order == max(ORDERS):
+                    whole = (left[at:end][: len(place)] >= order) & (code != code_of_none(order))
+                    who = owner[at:end][: len(place)]
+                    total += np.bincount(who[whole], minlength=n)
+                    known += np.bincount(who[whole & (place < self.width)], minlength=n)
+        return held[:, : self.width], total, known
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(n, languages) regression outputs, and whether a text has any letter that a landmark has."""
-        b = self.presence(texts)
+        return self._scores(self.presence(texts))
+
+    def _scores(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         norm = np.sqrt(np.maximum(b.sum(axis=1), 1))[:, None]
         return (b @ self.weights) / norm + self.bias, b[:, self.letters].any(axis=1)
 
+    def familiarity(self, texts: pa.Array, language: np.ndarray, read: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """How well each text's grams are known for its ``language`` (a number), and its size class.
+
+        That is the share of the text's grams that any landmark has, times
+        the share of those present that the language's own landmarks have.
+        """
+        b, total, known = read or self._read(texts)
+        own = np.einsum("ij,ij->i", b, self.own[language]) / np.maximum(b.sum(axis=1), 1)
+        return np.where(total > 0, known / np.maximum(total, 1), 1.0) * own, np.minimum(np.log2(np.maximum(total, 1)), SIZES - 1)
+
+    def classify(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the number of its language, the score, whether it has a known letter and whether it is familiar enough."""
+        read = self._read(texts)
+        s, has = self._scores(read[0])
+        top = s.argmax(axis=1)
+        share, size = self.familiarity(texts, top, read)
+        low = np.floor(size).astype(np.int64)
+        high = np.minimum(low + 1, SIZES - 1)
+        cut = self.cuts[top, low] + (size - low) * (self.cuts[top, high] - self.cuts[top, low])
+        return top, s[np.arange(len(top)), top], has, has & (share >= cut)
+
 
 def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all texts on end; of each, its text and how many of the text are left from it on."""
@@ -84,7 +123,49 @@ def _grams(codes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         base += ALPHABET**order
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 5) -> Kernel:
+def code_of_none(order: int) -> int:
+    """The number of the gram of nothing but boundaries."""
+    return sum(ALPHABET**o for o in ORDERS if o < order)
+
+
+def _cuts(rows: list[tuple[str, str]], chosen: set[int], kernel: Kernel, others: Kernel, reject: float, seed: int) -> np.ndarray:
+    """The least familiarity of each language and size class, from pieces of the labelled texts at all sizes.
+
+    Pieces are held against landmarks other than their own text: ``others``
+    knows only what at least two have, and serves for texts that are
+    landmarks. A class without pieces has the cut of the next lower one, and
+    a language of which nothing can be held out, 0.
+    """
+    rng = np.random.default_rng(seed)
+    number = {lang: i for i, lang in enumerate(kernel.languages)}
+    found: list[tuple[int, float, float]] = []
+    for model, mine in ((others, True), (kernel, False)):
+        pieces, owner = [], []
+        for i, (lang, text) in enumerate(rows):
+            if (i in chosen) == mine:
+                for length in [1 << k for k in range(2, SIZES + 1) if 1 << k < len(text)] + [len(text)]:
+                    at = int(rng.integers(0, len(text) - length + 1))
+                    pieces.append(text[at : at + length])
+                    owner.append(number[lang])
+        for i in range(0, len(pieces), 64):
+            share, size = model.familiarity(pa.array(pieces[i : i + 64]), np.array(owner[i : i + 64]))
+            found += zip(owner[i : i + 64], share, size)
+    out = np.zeros((len(kernel.languages), SIZES))
+    if not found:
+        return out
+    who, share, size = (np.array(x) for x in zip(*found))
+    size = np.round(size)
+    for lang in range(len(out)):
+        for k in range(SIZES):
+            here = share[(who == lang) & (size == k)]
+            if len(here):
+                out[lang, k] = max(0.0, 1 - max(ODD, SLACK * (1 - np.quantile(here, reject))) - max(ORDERS) / (1 << k))
+            elif k:
+                out[lang, k] = out[lang, k - 1]
+    return out
+
+
+def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 5, reject: float = REJECT) -> Kernel:
     """A classifier from (language, text) rows.
 
     The kernel of two texts is the number of grams (of 1 to 3 symbols, of
@@ -95,6 +176,10 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     regression on them against the rest. All of that is linear in the
     presence of grams, so it folds into one matrix: landmarks' presences
     times the dual weights.
+
+    One-versus-rest outputs of L languages sum to 2 - L for any text at all,
+    so they tell languages apart but not text in a known one from other
+    text. That is told by the text's familiarity, see :func:`_cuts`.
     """
     languages = sorted({lang for lang, _ in rows})
     letters: dict[str, int] = {}
@@ -123,6 +208,8 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     marks = present([rows[i][1] for i in chosen])
     grams = np.flatnonzero(marks.any(axis=0) & (np.arange(full) != 0))
     marks = marks[:, grams].astype(np.float32)
+    mark_language = np.array([languages.index(rows[i][0]) for i in chosen])
+    times = np.stack([marks[mark_language == i].sum(axis=0) for i in range(len(languages))])
     lookup = np.full(full, len(grams), np.int32)
     lookup[grams] = np.arange(len(grams))
     marks /= np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None]
@@ -145,7 +232,14 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     penalty = ridge / len(languages) * np.eye(z.shape[1])
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve(z.T @ (w * z) + penalty, z.T @ (w * target))
-    return Kernel(symbols, lookup, (marks.T @ (root @ beta[:-1])).astype(np.float32), languages, beta[-1].astype(np.float32))
+    model = Kernel(symbols, lookup, (marks.T @ (root @ beta[:-1])).astype(np.float32), languages, beta[-1].astype(np.float32))
+    model.own = times > 0
+    again = lookup.copy()
+    again[grams[times.sum(axis=0) < 2]] = len(grams)
+    others = Kernel(symbols, again, kernel.weights, languages)
+    others.own = times > 1
+    model.cuts = _cuts(rows, set(chosen), model, others, reject, seed)
+    return model
 
 
 def training_rows(docs: DataFrame, per_language: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
@@ -174,8 +268,12 @@ def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE
     The classifier is fitted on a bounded sample of rows whose ``lang`` is
     given: ``per_language`` of each, hashed from the ids. All documents are
     then scored over their whole texts, in batches of matrix products. The
-    language has the highest score, ties going to the first by name; a
-    document is accepted if that score exceeds ``reject``.
+    language has the highest score, ties going to the first by name. A
+    document is accepted if its grams are as familiar as those of labelled
+    texts of that language and size, held against others than themselves:
+    its unfamiliar share may be SLACK times that at their quantile
+    ``reject``, ODD at least, and one odd letter more. So text in a language that no label
+    names, and noise, are rejected, unless too short to tell.
 
     Defined results: null and empty texts, and texts without a letter that is
     known, have a null language and score and aren't accepted; if no row has
@@ -183,25 +281,25 @@ def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE
     rows get equal results; extra columns pass through, but for those with
     the names of the three made. An empty table gives an empty one.
     """
-    model = fit(rows) if (rows := training_rows(docs, per_language)) else None
+    model = fit(rows, reject=reject) if (rows := training_rows(docs, per_language)) else None
     own = [n for n in docs.columns if n.lower() not in (language.lower(), score.lower(), accepted.lower())]
     found = fresh(docs, "found")[0]
-    out_type = pa.struct([("language", pa.string()), ("score", pa.float64())])
+    out_type = pa.struct([("language", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
-    @F.arrow_udf("struct<language: string, score: double>")
+    @F.arrow_udf("struct<language: string, score: double, accepted: boolean>")
     def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             if isinstance(texts, pa.ChunkedArray):
                 texts = texts.combine_chunks()
-            languages, best = [], []
+            languages, best, taken = [], [], []
             for a, b in slices(texts):
-                s, has = model.scores(texts.slice(a, b - a))
-                top = s.argmax(axis=1)
+                top, s, has, familiar = model.classify(texts.slice(a, b - a))
                 languages.append(np.where(has, np.array(model.languages, object)[top], None))
-                best.append(np.where(has, s[np.arange(len(top)), top], np.nan))
+                best.append(np.where(has, s, np.nan))
+                taken.append(familiar)
             lang = np.concatenate(languages) if languages else np.zeros(0, object)
             value = np.concatenate(best) if best else np.zeros(0)
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(value, pa.float64(), mask=np.isnan(value))], fields=list(out_type))
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(value, pa.float64(), mask=np.isnan(value)), pa.array(np.concatenate(taken) if taken else np.zeros(0, bool))], fields=list(out_type))
         give_back()
 
     if model is None:
@@ -212,7 +310,7 @@ def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE
         *cols(own),
         F.col(found)["language"].alias(language),
         F.col(found)["score"].alias(score),
-        F.coalesce(F.col(found)["score"] > reject, F.lit(False)).alias(accepted),
+        F.coalesce(F.col(found)["accepted"], F.lit(False)).alias(accepted),
     )
 
 

@@ -68,6 +68,21 @@ def test_language_edges(spark):
     assert L.identify(df.where("false")).collect() == []
 
 
+def test_unlabelled_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"
+    noise = "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400))
+    odd = spark.createDataFrame([(-1, finnish, None, "s", 0), (-2, noise, None, "s", 0), (-3, "asdf jklö qwer zxcv " * 9, None, "s", 0)], DOCS)
+    for one in ("es", "fr", "de"):
+        known = F.when(F.col("lang") != one, F.col("lang"))
+        got = L.identify(docs.withColumn("lang", known).unionByName(odd)).select("doc_id", "accepted").toPandas()
+        long = docs.where("n_chars >= 60").select("doc_id", "lang").toPandas().merge(got, on="doc_id")
+        assert not got.accepted[got.doc_id < 0].any()
+        assert long.accepted[long.lang == one].mean() < 0.05 and long.accepted[long.lang != one].mean() > 0.98
+    got = L.identify(docs.unionByName(odd)).select("doc_id", "accepted").toPandas()
+    assert not got.accepted[got.doc_id < 0].any() and got.accepted[got.doc_id >= 0].mean() > 0.99
+
+
 def test_sample_is_bounded(spark):
     got = L.training_rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 20)
     assert set(Counter(lang for lang, _ in got).values()) == {20}
