@@ -18,8 +18,8 @@ from .common import col, cols, file_flags, fresh, give_back, load, stored, with_
 
 #: Signature bits, and the distance up to which two documents are near.
 BITS, RADIUS = 128, 22
-#: A pair at distance DESIGN shares at least one shard with probability RECALL.
-DESIGN, RECALL = 18, 0.95
+#: A pair at distance DESIGN, the farthest that counts, shares at least one shard with probability RECALL.
+DESIGN, RECALL = RADIUS, 0.95
 SEED = 977
 LONG_WORD, SHINGLE, WEIGHTY = 24, 5, 16
 #: The weight of the set of all words in a long text, and what a text of one word adds to it.
@@ -116,11 +116,13 @@ def shard_plan(n: int, bits: int = BITS, design: int = DESIGN, recall: float = R
     """(sampled bits, tables) for ``n`` signatures.
 
     A shard holds some four signatures at any ``n``; the number of tables
-    keeps the recall at the design distance.
+    keeps the recall at the design distance. Bits are sampled without
+    replacement, so a pair meets in a table with the chance that none of the
+    ``k`` places is among the ``design`` that differ.
     """
-    k = min(48, max(10, math.ceil(math.log2(max(2, n))) - 2))
-    meet = (1 - design / bits) ** k
-    return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+    k = min(48, max(10, math.ceil(math.log2(max(2, n))) - 2), max(0, bits - design))
+    meet = math.comb(max(0, bits - design), k) / math.comb(bits, k)
+    return k, 1 if meet >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
 
 
 def _shards(k: int, tables: int):
@@ -266,7 +268,7 @@ def near_pairs(sigs: DataFrame, radius: int = RADIUS, n: int | None = None) -> D
     queries are, so no tree has to be sent anywhere.
     """
     spark = sigs.sparkSession
-    k, tables = shard_plan(n if n is not None else sigs.count())
+    k, tables = shard_plan(n if n is not None else sigs.count(), design=radius)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = sigs.select("sig").mapInArrow(_shards(k, tables), "shard_table int, shard_key long, sig binary")
     ordered = spread.repartition(width, "shard_table", "shard_key").sortWithinPartitions("shard_table", "shard_key", "sig")
@@ -279,8 +281,8 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Documents are near if their 128-bit SimHash signatures differ in at most
     ``radius`` bits; groups are what such pairs connect. The smallest
     ``doc_id`` stays. Pairs are searched in BK-trees over shards by sampled
-    bits; by ``shard_plan`` a pair at distance 18 is found with probability
-    0.95 at least, a nearer one with more.
+    bits; by ``shard_plan`` a pair at distance ``radius`` is found with
+    probability 0.95 at least, a nearer one with more.
 
     Defined results: null texts and texts without a letter or digit say
     nothing and stay; equal texts are near; of a group without any

@@ -113,6 +113,24 @@ def test_shard_plan():
         assert 1 - (1 - (1 - N.DESIGN / N.BITS) ** k) ** tables >= N.RECALL
 
 
+def test_pairs_at_the_radius_meet():
+    for n in (10**4, 10**6, 10**7, 10**8, 10**9):
+        k, tables = N.shard_plan(n)
+        apart = 1.0
+        for i in range(k):
+            apart *= (N.BITS - N.RADIUS - i) / (N.BITS - i)
+        assert 1 - (1 - apart) ** tables >= N.RECALL
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << 63, (2000, 2), dtype=np.uint64)
+    b = a.copy()
+    for row in b:
+        for place in rng.choice(N.BITS, N.RADIUS, replace=False):
+            row[place >> 6] ^= np.uint64(1) << np.uint64(place & 63)
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.concatenate([a, b])], pa.binary())], names=["sig"])
+    keys = np.array([r.column(1).to_numpy() for r in N._shards(*N.shard_plan(10**6))(iter([batch]))])
+    assert (keys[:, :2000] == keys[:, 2000:]).any(axis=0).mean() > 0.93
+
+
 def near(text, rng, share):
     return " ".join(rng.choice(["instead", "changed", "another"]) + str(rng.randint(0, 99)) if rng.random() < share else w for w in text.split())
 
