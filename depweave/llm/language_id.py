@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +29,44 @@ ORDERS = (1, 2, 3)
 REJECT, SLACK, ODD = 0.02, 3, 0.15
 #: Sizes, as powers of two of grams, for which there are cuts.
 SIZES = 16
-#: Symbols: boundary, other letter, and the commonest letters.
-ALPHABET = 64
+#: Symbols: boundary, letter in no labelled text, and each letter of those; Unicode has fewer letters than that.
+ALPHABET = 1 << 18
+#: Grams of more than one symbol are hashed to 2**SLOT_BITS places (up to FEW languages) or 2**MANY_SLOT_BITS.
+SLOT_BITS, MANY_SLOT_BITS, FEW = 20, 18, 50
 SLICE_CHARS = 1 << 20
 
 
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all letters, and of each its lower case (itself, if that is several characters)."""
+    every = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    return np.array([ord(c) for c in every]), np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in every])
+
+
+class Lookup:
+    """The place in the dictionary of each gram by its number: of single symbols exactly, of others by a hash."""
+
+    def __init__(self, places: np.ndarray, symbols: int, bits: int):
+        self.places, self.symbols, self.bits = places, symbols, bits
+
+    def slots(self, code: np.ndarray, order: int) -> np.ndarray:
+        if order == 1:
+            return code
+        x = code.astype(np.uint64)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x9E3779B97F4A7C15)
+        return (x >> np.uint64(64 - self.bits)).astype(np.int64) + self.symbols
+
+    def __getitem__(self, code: int) -> int:
+        return int(self.places[self.slots(np.array([code]), 1 if code < ALPHABET else 2)[0]])
+
+
 class Kernel:
     """What scoring needs: symbols of characters, grams of the dictionary, and weights."""
 
-    def __init__(self, symbols: np.ndarray, lookup: np.ndarray, weights: np.ndarray, languages: list[str], bias: np.ndarray | float = 0.0):
+    def __init__(self, symbols: np.ndarray, lookup: Lookup, weights: np.ndarray, languages: list[str], bias: np.ndarray | float = 0.0):
         self.symbols, self.lookup, self.weights, self.languages, self.bias = symbols, lookup, weights, languages, bias
         self.width = weights.shape[0]
-        spoken = lookup[2:ALPHABET]
+        spoken = lookup.places[2 : lookup.symbols]
         self.letters = spoken[spoken < self.width]
         #: (languages, width): which grams a language's landmarks have; (languages, SIZES): its cuts
         self.own = np.ones((len(languages), self.width), bool)
@@ -58,10 +85,10 @@ class Kernel:
         flat = held.reshape(-1)
         for at in range(0, len(points), SLICE_CHARS):
             end = min(len(points), at + SLICE_CHARS)
-            codes = self.symbols[np.minimum(points[at : end + max(ORDERS) - 1], len(self.symbols) - 1)].astype(np.int32)
+            codes = self.symbols[np.minimum(points[at : end + max(ORDERS) - 1], len(self.symbols) - 1)].astype(np.int64)
             row = owner[at:end] * (self.width + 1)
             for order, code in _grams(codes, end - at):
-                place = self.lookup[code].astype(np.int64)
+                place = self.lookup.places[self.lookup.slots(code, order)].astype(np.int64)
                 place[left[at:end][: len(place)] < order] = self.width
                 flat[row[: len(place)] + place] = 1
                 if order == max(ORDERS):
@@ -72,7 +99,7 @@ class Kernel:
         return held[:, : self.width], total, known
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(n, languages) regression outputs, and whether a text has any letter that a landmark has."""
+        """(n, languages) regression outputs, and whether a text has any letter that a labelled text has."""
         return self._scores(self.presence(texts))
 
     def _scores(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,43 +202,43 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     Nystroem features are ``K C^-1/2``, and each language has a ridge
     regression on them against the rest. All of that is linear in the
     presence of grams, so it folds into one matrix: landmarks' presences
-    times the dual weights.
+    times the dual weights. Every letter of the rows is a symbol of its own,
+    whatever the script.
 
     One-versus-rest outputs of L languages sum to 2 - L for any text at all,
     so they tell languages apart but not text in a known one from other
     text. That is told by the text's familiarity, see :func:`_cuts`.
     """
     languages = sorted({lang for lang, _ in rows})
-    letters: dict[str, int] = {}
-    for _, text in rows:
-        for c in text.lower():
-            if c.isalpha() and ord(c) < 0x10000:
-                letters[c] = letters.get(c, 0) + 1
-    common = sorted(letters, key=lambda c: (-letters[c], c))[: ALPHABET - 2]
-    number = {c: i + 2 for i, c in enumerate(common)}
-    symbols = np.zeros(0x10001, np.uint8)
-    for i in range(0x10000):
-        c = chr(i)
-        if c.isalpha():
-            symbols[i] = number.get(c.lower(), 1)
-    symbols[0x10000] = 1  # the far planes are mostly letters
-    full = sum(ALPHABET**o for o in ORDERS)
-    every = Kernel(symbols, np.arange(full, dtype=np.int32), np.zeros((full, 1), np.float32), languages)
+    point, lower = _letters()
+    seen = np.unique([ord(c) for c in set().union(*(set(text) for _, text in rows)) if c.isalpha()]).astype(np.int64)
+    seen = np.unique(lower[np.searchsorted(point, seen)])
+    symbols = np.zeros(0x110000, np.int32)
+    at = np.minimum(np.searchsorted(seen, lower), max(0, len(seen) - 1))
+    symbols[point] = np.where(seen[at] == lower, at + 2, 1) if len(seen) else 1
+    bits = SLOT_BITS if len(languages) <= FEW else MANY_SLOT_BITS
+    full = len(seen) + 2 + (1 << bits)
+    every = Kernel(symbols, Lookup(np.arange(full, dtype=np.int32), len(seen) + 2, bits), np.zeros((full, 1), np.float32), languages)
     rng = np.random.default_rng(seed)
     by = {lang: [i for i, r in enumerate(rows) if r[0] == lang] for lang in languages}
     share = max(1, landmarks // len(languages))
     chosen = [int(i) for lang in languages for i in rng.permutation(by[lang])[:share]]
 
-    def present(texts: list[str]) -> np.ndarray:
-        return np.concatenate([every.presence(pa.array(texts[i : i + 16])).astype(bool) for i in range(0, len(texts), 16)])
-
-    marks = present([rows[i][1] for i in chosen])
-    grams = np.flatnonzero(marks.any(axis=0) & (np.arange(full) != 0))
-    marks = marks[:, grams].astype(np.float32)
+    having = [np.flatnonzero(b) for i in chosen for b in every.presence(pa.array([rows[i][1]]))]
+    there = np.zeros(full, bool)
+    there[2 : len(seen) + 2] = True  # any letter of a labelled text is known, though no landmark has it
+    for h in having:
+        there[h] = True
+    there[0] = False
+    grams = np.flatnonzero(there)
+    places = np.full(full, len(grams), np.int32)
+    places[grams] = np.arange(len(grams))
+    lookup = Lookup(places, len(seen) + 2, bits)
+    marks = np.zeros((len(chosen), len(grams)), np.float32)
+    for mark, h in zip(marks, having):
+        mark[places[h[h > 0]]] = 1
     mark_language = np.array([languages.index(rows[i][0]) for i in chosen])
     times = np.stack([marks[mark_language == i].sum(axis=0) for i in range(len(languages))])
-    lookup = np.full(full, len(grams), np.int32)
-    lookup[grams] = np.arange(len(grams))
     marks /= np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None]
     kernel = Kernel(symbols, lookup, np.zeros((len(grams), 1), np.float32), languages)
     texts = [t for _, t in rows]
@@ -234,9 +261,9 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     beta = np.linalg.solve(z.T @ (w * z) + penalty, z.T @ (w * target))
     model = Kernel(symbols, lookup, (marks.T @ (root @ beta[:-1])).astype(np.float32), languages, beta[-1].astype(np.float32))
     model.own = times > 0
-    again = lookup.copy()
+    again = places.copy()
     again[grams[times.sum(axis=0) < 2]] = len(grams)
-    others = Kernel(symbols, again, kernel.weights, languages)
+    others = Kernel(symbols, Lookup(again, lookup.symbols, bits), kernel.weights, languages)
     others.own = times > 1
     model.cuts = _cuts(rows, set(chosen), model, others, reject, seed)
     return model
@@ -275,8 +302,8 @@ def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE
     ``reject``, ODD at least, and one odd letter more. So text in a language that no label
     names, and noise, are rejected, unless too short to tell.
 
-    Defined results: null and empty texts, and texts without a letter that is
-    known, have a null language and score and aren't accepted; if no row has
+    Defined results: null and empty texts, and texts without a letter that
+    the labelled rows fitted on have, have a null language and score and aren't accepted; if no row has
     a ``lang``, that holds for all; null ids are hashed as such; repeated
     rows get equal results; extra columns pass through, but for those with
     the names of the three made. An empty table gives an empty one.
@@ -292,7 +319,7 @@ def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE
             if isinstance(texts, pa.ChunkedArray):
                 texts = texts.combine_chunks()
             languages, best, taken = [], [], []
-            for a, b in slices(texts):
+            for a, b in slices(texts, rows=max(1, min(128, (1 << 24) // max(1, model.width)))):
                 top, s, has, familiar = model.classify(texts.slice(a, b - a))
                 languages.append(np.where(has, np.array(model.languages, object)[top], None))
                 best.append(np.where(has, s, np.nan))

@@ -83,6 +83,20 @@ def test_unlabelled_languages_are_rejected(spark):
     assert not got.accepted[got.doc_id < 0].any() and got.accepted[got.doc_id >= 0].mean() > 0.99
 
 
+def test_letters_of_all_scripts_count(spark):
+    rng = random.Random(4)
+    scripts = {"en": "abcdefghijklmnopqrstuvwxyz", "cs": "aábcčdďeéěfghiíjklmnňoóprřsštťuúůvyýzž", "vi": "aăâbcdđeêghiklmnoôơpqrstuưvxyạảấầẩẫậắằẳẵặẹẻẽếềểễệịỉĩọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 800))), "gothic": "".join(map(chr, range(0x10330, 0x10348)))}
+    words = {lang: ["".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(120)] for lang, a in scripts.items()}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(80))
+    rows = [(lang, text(lang)) for lang in scripts for _ in range(150 if lang in ("en", "cs", "vi") else 6)]
+    model = L.fit(rows)
+    new = [(lang, text(lang)) for lang in scripts for _ in range(10)] + [(lang, words[lang][0]) for lang in ("ru", "el", "zh", "gothic")]
+    top, _, has, accepted = model.classify(pa.array([t for _, t in new]))
+    assert has.all() and accepted.all() and [model.languages[i] for i in top] == [lang for lang, _ in new]
+    strange = model.classify(pa.array(["ქართული ენა", "한국어 문장"]))
+    assert not strange[2].any() and not strange[3].any()
+
+
 def test_sample_is_bounded(spark):
     got = L.training_rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 20)
     assert set(Counter(lang for lang, _ in got).values()) == {20}
