@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,9 +17,11 @@ from .common import col, cols, fresh, give_back, load
 #: At most so many labelled rows of a language are fitted on; it bounds the
 #: driver's memory together with MOST_LANGUAGES and SAMPLE_CHARS.
 SAMPLE_ROWS = 300
+#: The commonest languages so many are told apart; a label beyond isn't predicted.
 MOST_LANGUAGES = 200
-#: Of a sampled text so many characters are fitted on. Scoring reads all.
-SAMPLE_CHARS = 4000
+#: Of a sampled text so many characters are fitted on: all of a text no
+#: longer, else PIECES runs spread evenly over it. Scoring reads all.
+SAMPLE_CHARS, PIECES = 4000, 16
 LANDMARKS = 256
 RIDGE = 1e-3
 ORDERS = (1, 2, 3)
@@ -269,14 +271,23 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return model
 
 
-def training_rows(docs: DataFrame, per_language: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+def _spread_over(text: Column) -> Column:
+    """SAMPLE_CHARS of a text: PIECES runs that begin at even distances, the last of which ends the text."""
+    run = SAMPLE_CHARS // PIECES
+    starts = [F.floor((F.length(text) - run) * i / (PIECES - 1)).cast("int") + 1 for i in range(PIECES)]
+    pieces = F.concat_ws(" ", *(F.substring(text, start, F.lit(run)) for start in starts))
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(pieces)
+
+
+def training_rows(docs: DataFrame, per_language: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> list[tuple[str, str]]:
     """At most ``per_language`` rows of each language: those whose ids hash lowest.
 
-    Their heads only are taken; the commonest MOST_LANGUAGES languages count.
+    Of long texts, runs from all over are taken; the commonest
+    ``most_languages`` languages count, ties going to the first by name.
     """
     labelled = docs.where(col("lang").isNotNull() & (F.length(F.trim(col("text"))) > 0))
     order = F.xxhash64(col("doc_id").cast("string"), F.lit(11))
-    counts = docs.where(col("lang").isNotNull()).groupBy(col("lang").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = docs.where(col("lang").isNotNull()).groupBy(col("lang").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
         return []
     # a share of the ids by hash, some four times what is needed, so that no text is sorted but these
@@ -284,16 +295,19 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE_ROWS) -> list[tupl
     for r in counts:
         share = F.when(col("lang") == r.lang, min(1.0, 4.0 * per_language / r["count"] + 1e-9)).otherwise(share)
     within = F.pmod(order, F.lit(1 << 20)) / float(1 << 20) < share
-    few = labelled.where(within & col("lang").isin([r.lang for r in counts])).select(col("lang").alias("lang"), F.substring(col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"), order.alias("o"))
+    few = labelled.where(within & col("lang").isin([r.lang for r in counts])).select(col("lang").alias("lang"), _spread_over(col("text").cast("string")).alias("text"), order.alias("o"))
     top = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("r") <= per_language)
     return sorted((r.lang, r.text) for r in top.select("lang", "text").collect())
 
 
-def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE_ROWS, language: str = "language", score: str = "language_score", accepted: str = "accepted") -> DataFrame:
+def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE_ROWS, language: str = "language", score: str = "language_score", accepted: str = "accepted", most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """``docs`` with the language found, its score and whether it is accepted.
 
     The classifier is fitted on a bounded sample of rows whose ``lang`` is
-    given: ``per_language`` of each, hashed from the ids. All documents are
+    given: ``per_language`` of each, hashed from the ids, and of a long one
+    runs from all over it. Only the ``most_languages`` with the most rows
+    are told apart; raise it, at the cost of the driver's memory, for tables
+    with more. All documents are
     then scored over their whole texts, in batches of matrix products. The
     language has the highest score, ties going to the first by name. A
     document is accepted if its grams are as familiar as those of labelled
@@ -308,7 +322,7 @@ def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE
     rows get equal results; extra columns pass through, but for those with
     the names of the three made. An empty table gives an empty one.
     """
-    model = fit(rows, reject=reject) if (rows := training_rows(docs, per_language)) else None
+    model = fit(rows, reject=reject) if (rows := training_rows(docs, per_language, most_languages)) else None
     own = [n for n in docs.columns if n.lower() not in (language.lower(), score.lower(), accepted.lower())]
     found = fresh(docs, "found")[0]
     out_type = pa.struct([("language", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])

@@ -97,6 +97,19 @@ def test_letters_of_all_scripts_count(spark):
     assert not strange[2].any() and not strange[3].any()
 
 
+def test_samples_reach_past_a_foreign_head(spark):
+    head = "all rights reserved by the holders of this text and its parts " * 100
+    german = "und der die das ist nicht von mit einem wort über alle dinge gesprochen " * 100
+    rows = [(i, head + german, "de", "s", 1) for i in range(5)] + [(10 + i, head + "the rest of it is told here in plain words as before " * 100, "en", "s", 1) for i in range(5)]
+    rows += [(20, german[:300], None, "s", 1)] + [(30 + i, "um dois três quatro cinco", "pt", "s", 1) for i in range(2)]
+    df = spark.createDataFrame(rows, DOCS)
+    sample = L.training_rows(df)
+    assert all("gesprochen" in t for lang, t in sample if lang == "de") and max(len(t) for _, t in sample) <= L.SAMPLE_CHARS + L.PIECES
+    got = {r.doc_id: r for r in L.identify(df).collect()}
+    assert (got[20].language, got[20].accepted) == ("de", True) and got[30].language == "pt"
+    assert {lang for lang, _ in L.training_rows(df, most_languages=2)} == {"de", "en"}
+
+
 def test_sample_is_bounded(spark):
     got = L.training_rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 20)
     assert set(Counter(lang for lang, _ in got).values()) == {20}
