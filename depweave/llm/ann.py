@@ -86,6 +86,13 @@ def bucket_dims(n: int, width: int) -> tuple[int, ...]:
     return tuple(dims)
 
 
+def coarser(dims: tuple[int, ...]) -> tuple[int, ...]:
+    """Hashes of half as many buckets or fewer; the coarsest has two, which two probes both visit."""
+    if dims[-1] > 1:
+        return (*dims[:-1], dims[-1] // 2)
+    return dims[:-1] or dims
+
+
 def units(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors, filled with zeros to a power of two; and which lists have a direction."""
     counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -125,7 +132,9 @@ def calibrate(vectors: DataFrame, dims: tuple[int, ...], width: int, k: int, rec
     """The cheapest numbers of tables and probes that find ``recall`` of the true neighbours of CALIBRATION queries.
 
     These are compared with all vectors, which is linear in their number. A
-    table costs its stored copies and its probes.
+    table costs its stored copies and its probes. Where no plan reaches the
+    recall, there are fewer buckets, down to two that are both visited,
+    which is exact comparison.
     """
     sample = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION).toPandas()
     q_id = sample.id.to_numpy()
@@ -149,21 +158,26 @@ def calibrate(vectors: DataFrame, dims: tuple[int, ...], width: int, k: int, rec
     row = {int(i): n for n, i in enumerate(q_id)}
     owner = np.array([row[int(i)] for i in top.q])
     x = unpack(top.vec.tolist())
-    best: tuple[float, Plan] | None = None
-    place = np.full((0, len(owner)), MOST_PROBES)
-    for tables in TABLES:
-        for t in range(len(place), tables):
-            plan = Plan(dims, t + 1, 1, seed)
-            mine = probes(x, plan, t, 1)[:, 0]
-            seen = probes(q, plan, t, MOST_PROBES)[owner] == mine[:, None]
-            place = np.concatenate([place, np.where(seen.any(axis=1), seen.argmax(axis=1), MOST_PROBES)[None]])
-        for m in range(1, MOST_PROBES + 1):
-            if (place.min(axis=0) < m).mean() >= recall:
-                cost = tables * (1.0 + m)
-                if best is None or cost < best[0]:
-                    best = (cost, Plan(dims, tables, m, seed))
-                break
-    return best[1] if best else Plan(dims, TABLES[-1], MOST_PROBES, seed)
+    while True:
+        best: tuple[float, Plan] | None = None
+        place = np.full((0, len(owner)), MOST_PROBES)
+        for tables in TABLES:
+            for t in range(len(place), tables):
+                plan = Plan(dims, t + 1, 1, seed)
+                mine = probes(x, plan, t, 1)[:, 0]
+                seen = probes(q, plan, t, MOST_PROBES)[owner] == mine[:, None]
+                place = np.concatenate([place, np.where(seen.any(axis=1), seen.argmax(axis=1), MOST_PROBES)[None]])
+            for m in range(1, MOST_PROBES + 1):
+                if (place.min(axis=0) < m).mean() >= recall:
+                    cost = tables * (1.0 + m)
+                    if best is None or cost < best[0]:
+                        best = (cost, Plan(dims, tables, m, seed))
+                    break
+        if best:
+            return best[1]
+        if coarser(dims) == dims:
+            raise ValueError(f"no plan reaches a recall of {recall}")
+        dims = coarser(dims)
 
 
 def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, recall: float = RECALL, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:

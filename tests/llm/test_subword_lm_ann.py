@@ -204,6 +204,19 @@ def test_recall(spark, n):
         assert all(abs(c - s[i, b]) < 1e-5 for _, b, c in found)
 
 
+def test_recall_holds_where_no_plan_reaches_it(spark, monkeypatch):
+    monkeypatch.setattr(A, "BUCKET", 10)
+    monkeypatch.setattr(A, "TABLES", (1,))
+    monkeypatch.setattr(A, "MOST_PROBES", 2)
+    x = np.random.default_rng(4).normal(size=(500, 32))
+    got = A.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j)) for i, row in enumerate(np.argsort(-s, axis=1)[:, : A.NEIGHBOURS]) for j in row}
+    assert len({(r.vec_id, r.neighbor) for r in got} & want) >= 0.95 * len(want)
+
+
 def test_neighbour_edges(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [1.0, 0.1, 0.0]), (3, [1.0, 0.1, 0.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [1.0, 2.0]), (7, [float("nan"), 1.0, 1.0]), (8, [None, 1.0, 1.0]), (None, [1.0, 0.0, 0.0]), (9, [-1.0, 0.0, 0.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, bucket int")
