@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import gzip
-import io
+import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,9 +21,12 @@ from .common import col, fresh, load, shared_dir
 PARTITION_BYTES = 64 << 20
 #: So many bytes of payload make up a batch of rows.
 BATCH_BYTES = 4 << 20
-CHUNK = 1 << 16
+#: Bytes read of a packed file at once, and of another, where much may be passed over.
+CHUNK, PLAIN = 1 << 16, 1 << 14
+#: A longer payload is passed over first, to see that its length is right before it is held.
+TRUSTED = 16 << 20
 
-SCHEMA = "file string, offset long, warc_type string, record_id string, target_uri string, date string, content_type string, content_length long, http_status int, http_content_type string, headers map<string,string>, payload string"
+SCHEMA = "file string, offset long, warc_type string, record_id string, target_uri string, date string, content_type string, content_length long, http_status int, http_content_type string, headers map<string,string>, payload string, damaged boolean"
 #: Column -> header. These can be judged before a payload is touched.
 HEADERS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type"}
 
@@ -37,7 +41,11 @@ def _fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(folder)``; option ``payload`` = ``false`` leaves payloads null."""
+    """``spark.read.format("warc").load(folder)``; option ``payload`` = ``false`` leaves payloads null.
+
+    Defined results: damaged files give what can be read of them, and no
+    error; see :func:`records`. A file that isn't there or can't be opened is one.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -89,7 +97,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: WarcPartition) -> Iterator[pa.RecordBatch]:
         fs, _ = _fs(self.options["path"])
         want = self.options.get("payload", "true").lower() != "false"
-        kinds = {"offset": pa.int64(), "content_length": pa.int64(), "http_status": pa.int32(), "headers": pa.map_(pa.string(), pa.string())}
+        kinds = {"offset": pa.int64(), "content_length": pa.int64(), "http_status": pa.int32(), "damaged": pa.bool_(), "headers": pa.map_(pa.string(), pa.string())}
         rows: list[dict] = []
         size = 0
         for path in partition.paths:
@@ -147,81 +155,213 @@ def _head(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
-class _Inflated(io.RawIOBase):
-    """All members of a gzip file as one stream; skipping inflates into nothing."""
+MAGIC = b"\x1f\x8b\x08"
+_LENGTH, _STATUS = re.compile("[0-9]{1,18}"), re.compile(b"[0-9]{3}")
+
 
-    def __init__(self, f):
-        self.f, self.z, self.left = f, zlib.decompressobj(31), b""
+class _Tape:
+    """The bytes of a file in order, inflated if it is packed.
 
-    def readable(self) -> bool:
-        return True
+    What lies between gzip members is passed over. Where one is damaged or
+    cut off, what it holds before that is given, then a blank line, and the
+    next member is looked for; ``faults`` are the members' begins and the
+    places of such lines.
+    """
 
-    def readinto(self, b) -> int:
+    def __init__(self, f, packed: bool):
+        self.f, self.faults = f, []
+        head = f.read(5)
+        self.packed = head[:2] == MAGIC[:2] or packed and not head.startswith(b"WARC/")
+        self.members: deque[tuple[int, int]] = deque()  # where members begin in the file, and in what is given
+        self._restart(0, 0)
+
+    def _restart(self, raw: int, at: int) -> None:
+        self.f.seek(raw)
+        self.buf, self.i, self.base, self.end = b"", 0, at, at
+        self.z, self.begun, self.began, self.left, self.left_at = None, at, raw, b"", raw
+
+    def tell(self) -> int:
+        return self.base + self.i
+
+    def _next(self) -> bytes:
+        if not self.packed:
+            out = self.f.read(PLAIN)
+            self.end += len(out)
+            return out
         while True:
-            if self.z.eof:
-                self.left = self.z.unused_data
-                self.z = zlib.decompressobj(31)
-            more = self.left or self.f.read(CHUNK)
-            if not more:
-                return 0
-            out = self.z.decompress(more, len(b))
-            self.left = b"" if self.z.eof else self.z.unconsumed_tail
+            if self.z is None:
+                while (k := self.left.find(MAGIC)) < 0:
+                    more = self.f.read(CHUNK)
+                    if not more:
+                        return b""
+                    self.left_at += max(0, len(self.left) - 2)
+                    self.left = self.left[-2:] + more
+                self.left, self.left_at = self.left[k:], self.left_at + k
+                self.z, self.begun, self.began = zlib.decompressobj(31), self.end, self.left_at
+                if not self.members or self.members[-1][1] < self.end:
+                    self.members.append((self.left_at, self.end))
+            last = not self.left and not (more := self.f.read(CHUNK))
+            if not self.left and not last:
+                self.left = more
+            before = self.z.copy()
+            try:
+                out = self.z.decompress(self.left, CHUNK)
+                rest = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+                bad = last and not out and not self.z.eof
+            except zlib.error:
+                out, rest, bad = _salvage(before, self.left), b"", True
+            self.left_at += len(self.left) - len(rest)
+            self.left, eof = rest, self.z.eof
+            if bad:  # the next member may begin before the place where this one's fault shows
+                self.faults.append((self.begun, self.end + len(out)))
+                out += b"\r\n\r\n"
+                self.left_at = self.began + len(MAGIC)
+                self.f.seek(self.left_at)
+            if bad or eof:
+                self.z = None
             if out:
-                b[: len(out)] = out
-                return len(out)
+                self.end += len(out)
+                return out
+
+    def more(self) -> bool:
+        got = self._next()
+        self.buf, self.base, self.i = self.buf[self.i :] + got, self.base + self.i, 0
+        return bool(got)
+
+    def line(self, most: int = CHUNK) -> bytes:
+        """Up to a line's end, or so many bytes of a longer one."""
+        while (j := self.buf.find(b"\n", self.i, self.i + most)) < 0 and len(self.buf) - self.i < most and self.more():
+            pass
+        return self._cut(j + 1 if j >= 0 else self.i + most)
+
+    def _cut(self, to: int) -> bytes:
+        out = self.buf[self.i : to]
+        self.i += len(out)
+        return out
+
+    def take(self, n: int, keep: bool) -> bytes:
+        """The next ``n`` bytes, or fewer at the end; if they needn't be kept, an unpacked file is only sought through."""
+        parts = []
+        while n > 0:
+            if self.i == len(self.buf):
+                if not keep and not self.packed:
+                    here = self.tell()
+                    self.goto(min(here + n, self.f.seek(0, 2)))
+                    break
+                if not self.more():
+                    break
+            got = self._cut(self.i + n)
+            n -= len(got)
+            if keep:
+                parts.append(got)
+        return b"".join(parts)
+
+    def goto(self, at: int) -> None:
+        """To a place given before: at the current record, or behind."""
+        if self.base <= at <= self.base + len(self.buf):
+            self.i = at - self.base
+        elif not self.packed:
+            self._restart(at, at)
+        else:
+            raw, out = next(m for m in reversed(self.members) if m[1] <= at)
+            self._restart(raw, out)
+            self.faults = [x for x in self.faults if x[1] < out]
+            self.take(at - out, False)
+
+    def forget(self, before: int) -> None:
+        while len(self.members) > 1 and self.members[1][1] <= before:
+            self.members.popleft()
+        self.faults = [x for x in self.faults if x[1] >= before]
+
+    def record_ends(self) -> bool:
+        """Whether nothing but line ends lies before the next version line, member or end; they are passed."""
+        begin = self.tell()
+        while True:
+            while len(self.buf) - self.i < 16 and self.more():
+                pass
+            ahead = self.buf[self.i : self.i + 16]
+            self.i += len(ahead) - len(ahead.lstrip(b"\r\n"))
+            if not ahead or ahead.strip(b"\r\n"):
+                return not ahead or self.buf.startswith(b"WARC/", self.i) or any(begin <= at <= self.tell() for _, at in self.members)
+
+    def next_version(self) -> int:
+        """The place of the next version line that follows a blank one, or of the end."""
+        blank = False
+        while got := self.line():
+            if blank and got.startswith(b"WARC/"):
+                return self.tell() - len(got)
+            blank = not got.strip()
+        return self.tell()
+
+
+def _salvage(z, data: bytes) -> bytes:
+    """What can be inflated of damaged data."""
+    out, at = b"", 0
+    for step in (4096, 64, 1):
+        while at < len(data):
+            before = z.copy()
+            try:
+                out += z.decompress(data[at : at + step])
+            except zlib.error:
+                z = before
+                break
+            at += step
+    return out
 
 
 def records(f, packed: bool, fits, payload: bool = True) -> Iterator[dict]:
-    """The records of an open file that fit. What follows a broken record is found at the next version line."""
-    stream = io.BufferedReader(_Inflated(f), CHUNK) if packed else f if isinstance(f, io.BytesIO) else io.BufferedReader(f, CHUNK)
-    at = 0
-
-    def line() -> bytes:
-        nonlocal at
-        got = stream.readline()
-        at += len(got)
-        return got
-
-    def skip(n: int) -> None:
-        nonlocal at
-        at += n
-        if not packed:
-            stream.seek(at)
-        else:
-            while n > 0 and (got := len(stream.read(min(n, CHUNK)))):
-                n -= got
-
-    while got := line():
+    """The records of an open file that fit.
+
+    Whether the file is packed shows in its first bytes, ``packed`` decides
+    where they don't tell. A record is ``damaged`` if its Content-Length
+    doesn't lead to the next version line or the end, or if its gzip member
+    is broken or cut off. Its payload ends before the next version line that
+    follows a blank one, and reading goes on there. Bytes between records or
+    members, padding too, are passed over; what has no length isn't a record.
+    """
+    tape = _Tape(f, packed)
+    while got := tape.line():
         if not got.startswith(b"WARC/"):
             continue
-        offset = at - len(got)
+        offset = tape.tell() - len(got)
+        tape.forget(offset)
         lines = []
-        while (got := line()).strip():
+        while (got := tape.line()).strip():
             lines.append(got)
         head = _head(lines)
-        length = head.get("content-length", "")
-        if not length.isdigit():
-            continue
-        left = int(length)
-        row = {name: head.get(h) for name, h in HEADERS.items()} | {"offset": offset, "content_length": left, "http_status": None, "http_content_type": None, "headers": head, "payload": None}
-        if not fits(row, FIRST):
-            skip(left)
+        if not _LENGTH.fullmatch(head.get("content-length", "")):
             continue
-        if (row["content_type"] or "").startswith("application/http"):
-            begin, http = at, []
-            while at - begin < left and (got := line()).strip():
+        length, begin = int(head["content-length"]), tape.tell()
+        row = {name: head.get(h) for name, h in HEADERS.items()} | {"offset": offset, "content_length": length, "http_status": None, "http_content_type": None, "headers": head, "payload": None}
+        wanted = fits(row, FIRST)
+        if wanted and (row["content_type"] or "").startswith("application/http"):
+            http = []
+            while (left := begin + length - tape.tell()) > 0 and (got := tape.line(left)).strip():
                 http.append(got)
-            left -= at - begin
             status = http[0].split() if http else []
-            row["http_status"] = int(status[1]) if len(status) > 1 and status[1].isdigit() else None
+            row["http_status"] = int(status[1]) if len(status) > 1 and _STATUS.fullmatch(status[1]) else None
             row["http_content_type"] = _head(http[1:]).get("content-type")
-        if not fits(row, ("http_status",)) or not payload:
-            skip(max(0, left))
-        else:
-            body = stream.read(max(0, left))
-            at += len(body)
-            row["payload"] = body.decode("utf-8", "replace")
-        if fits(row, ("http_status",)):
+        wanted = wanted and fits(row, ("http_status",))
+        inner = tape.tell()
+        keep = wanted and payload
+        body = tape.take(begin + length - inner, keep and length <= TRUSTED)
+        damaged = tape.tell() < begin + length or not tape.record_ends()
+        if keep and not damaged and length > TRUSTED:
+            ahead = tape.tell()
+            tape.goto(inner)
+            body = tape.take(begin + length - inner, True)
+            tape.goto(ahead)
+        if damaged:
+            tape.goto(begin)
+            ahead = tape.next_version()
+            if keep:
+                tape.goto(inner)
+                body = tape.take(min(begin + length, ahead) - inner, True)
+            tape.goto(ahead)
+        if wanted:
+            row["damaged"] = damaged or any(a < inner + len(body) and offset < b <= tape.tell() for a, b in tape.faults)
+            if keep:
+                row["payload"] = body.decode("utf-8", "replace")
             yield row
 
 

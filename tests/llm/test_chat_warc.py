@@ -133,7 +133,7 @@ def test_payloads_are_skipped():
     small = W.record("metadata", "http://s", "2", "text/plain", b"small")
     f = Counting(big + small + big)
     (row,) = W.records(f, False, lambda r, known: "warc_type" not in known or r["warc_type"] == "metadata")
-    assert row["payload"] == "small" and f.taken < 100
+    assert row["payload"] == "small" and f.taken <= 5 * W.PLAIN < 100000
     packed = io.BytesIO(gzip.compress(big) + gzip.compress(small))
     assert [r["payload"] for r in W.records(packed, True, lambda r, known: "warc_type" not in known or r["warc_type"] == "metadata")] == ["small"]
 
@@ -141,7 +141,57 @@ def test_payloads_are_skipped():
 def test_broken_records():
     good = W.record("metadata", "http://s", "2", "text/plain", b"fine")
     data = b"garbage\r\n" + b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n" + good + b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 99\r\n\r\nshort"
-    assert [r["payload"] for r in W.records(io.BytesIO(data), False, lambda r, k: True)] == ["fine", "short"]
+    assert [(r["payload"], r["damaged"]) for r in W.records(io.BytesIO(data), False, lambda r, k: True)] == [("fine", False), ("short", True)]
+
+
+def meta(n, text, length=None):
+    out = W.record("metadata", f"http://{n}", str(n), "text/plain", text.encode())
+    return out if length is None else out.replace(f"Content-Length: {len(text)}".encode(), f"Content-Length: {length}".encode())
+
+
+def read(data, packed, fits=lambda r, k: True):
+    return [((r["target_uri"] or "")[7:], r["payload"], r["damaged"]) for r in W.records(io.BytesIO(data), packed, fits)]
+
+
+@pytest.mark.parametrize("packed", [False, True, "whole"])
+def test_wrong_lengths(packed):
+    pack = {False: lambda rs: b"".join(rs), True: lambda rs: b"".join(map(gzip.compress, rs)), "whole": lambda rs: gzip.compress(b"".join(rs))}[packed]
+    wrong = [meta(1, "one"), meta(2, "two", 60), meta(3, "three"), meta(4, "four and more", 4), meta(5, "five"), meta(6, "six", 10**15), meta(7, "z" * 300000, 10**17), meta(8, "eight", 10**30), meta(9, "nine")]
+    got = read(pack(wrong), bool(packed))
+    short = [(n, p.strip() if d else p, d) for n, p, d in got]
+    assert short == [("1", "one", False), ("2", "two", True), ("3", "three", False), ("4", "four", True), ("5", "five", False), ("6", "six", True), ("7", "z" * 300000, True), ("9", "nine", False)]
+    only = read(pack(wrong), bool(packed), lambda r, k: "target_uri" not in k or r["target_uri"] in ("http://3", "http://9"))
+    assert only == [("3", "three", False), ("9", "nine", False)]
+
+
+def test_damaged_members():
+    a, b, c = (gzip.compress(meta(i, f"text {i} " * 2000)) for i in (1, 2, 3))
+    whole = [(str(i), f"text {i} " * 2000, False) for i in (1, 2, 3)]
+    assert read(a + b"\0" * 5000 + b + b"rubbish \x1f\x8b between" + c + b"\0" * 100000, True) == whole
+    assert read(b"# a note before" + a + b + c, True) == whole and read(a + b + c, False) == whole
+    assert read(meta(1, "plain"), True) == [("1", "plain", False)]
+    assert read(b"\0" * 3000, True) == read(b"", True) == read(b"", False) == []
+    for cut in (12, len(b) // 3, len(b) // 2, len(b) - 9, len(b) - 1):
+        got = read(a + b[:cut], True)
+        assert got[0] == whole[0] and all(d and whole[1][1].startswith(p.rstrip("\r\n")) for _, p, d in got[1:])
+        got = read(a + b[:cut] + c, True)
+        assert got[0] == whole[0] and got[-1] == whole[2] and all(d for *_, d in got[1:-1]) and len(got) <= 3
+    for at in range(0, len(b), 7):  # a byte of the middle one is wrong
+        got = read(a + b[:at] + bytes([b[at] ^ 0x55]) + b[at + 1 :] + c, True)
+        assert got[0] == whole[0] and got[-1] == whole[2] and len(got) <= 3
+        assert all(d or p == whole[1][1] for _, p, d in got[1:-1])
+
+
+def test_a_damaged_file_beside_a_good_one(spark, tmp_path):
+    good = b"".join(gzip.compress(W.record("response", f"http://{i}", str(i), "application/http", b"HTTP/1.1 200 OK\r\n\r\n<p>" + b"x" * i)) for i in range(50))
+    (tmp_path / "good.warc.gz").write_bytes(good)
+    (tmp_path / "padded.warc.gz").write_bytes(good + b"\0" * 512)
+    (tmp_path / "broken.warc.gz").write_bytes(good[: len(good) // 2] + b"\xff" * 200 + good[len(good) // 2 + 200 :])
+    (tmp_path / "none.warc.gz").write_bytes(b"not packed at all")
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = W.read_warc(spark, str(tmp_path)).withColumn("name", F.regexp_extract("file", "([a-z]+)[.]warc", 1)).groupBy("name", "damaged").count().collect()
+    count = {(r.name, r.damaged): r["count"] for r in got}
+    assert count["good", False] == count["padded", False] == 50 and 45 <= count["broken", False] < 50 and {n for n, _ in count} == {"good", "padded", "broken"}
 
 
 def test_predicates_reach_the_source(spark, tmp_path):
