@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -207,8 +208,26 @@ def test_mixing_edges(spark):
     df = spark.createDataFrame(rows, DOCS)
     got = M.mix(df)
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect() if r.source == "empty") == [1, 2]
-    assert M.mix(df, {"x": 1.0}).where("source = 'x'").count() in (2, 3, 4, 5)
-    assert M.mix(df.where("false")).collect() == []
+    assert M.mix(df, {"x": 1.0}).where("source = 'x'").count() == M.mix(df, {"x": 1.0}).count() == 3
+    assert M.mix(df.where("false")).collect() == [] == M.mix(df.where("false"), {"x": 1}).collect()
+    assert M.mix(df, {}).collect() == [] == M.mix(df, {"nobody": 2.0}).collect() == M.mix(df, {"x": 0}).collect()
+    assert sorted(r.doc_id for r in M.mix(df, {"empty": 1.0}).collect()) == [1, 2]
+    for wrong in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="not negative"):
+            M.mix(df, {"x": wrong})
+
+
+def test_mixing_repeats_and_thins(spark):
+    rows = [(i, "w " * (i % 7 + 1), "en", s, 1) for i, s in enumerate(["a"] * 900 + ["b"] * 60 + ["c"] * 40)]
+    df = spark.createDataFrame(rows, DOCS)
+    rates = expected(rows, {"a": 1, "b": 1, "c": 2})
+    assert rates["a"] < 0.4 and rates["b"] > 3 and rates["c"] > 9
+    times = Counter(r.doc_id for r in M.mix(df, {"a": 1, "b": 1, "c": 2}).collect())
+    for i, t, _, s, _ in rows:
+        draw = int(hashlib.md5(f"{i}:{M.SEED}".encode()).hexdigest()[:8], 16) / 2**32
+        assert times[i] == int(rates[s]) + (draw < rates[s] % 1)
+    plain, more = (Counter(r.source for r in M.mix(df, emphasis=e).collect()) for e in (None, {"c": 8.0, "a": 0.0}))
+    assert more["c"] > 2 * plain["c"] and more["a"] == 0 < plain["a"]
 
 
 def test_mixing_oracle(spark, oracle):
