@@ -13,6 +13,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -125,7 +126,7 @@ def blank_script(source: str) -> Blanked:
                 i = end
             elif c == "`":
                 i = template(i)
-            elif (r := _REGEX.match(source, i)) and _BEFORE_REGEX.search("".join(code[max(0, i - 24) : i])):
+            elif (r := _REGEX.match(source, i)) and _BEFORE_REGEX.search(tail(code, i, 2)):
                 hide(i, r.end())
                 i = r.end()
             else:
@@ -137,17 +138,50 @@ def blank_script(source: str) -> Blanked:
     return out
 
 
+@lru_cache(maxsize=6)
+def _closes(code: str, pair: str) -> dict[int, int]:
+    out, stack = {}, []
+    for m in re.finditer(f"[{re.escape(pair)}]", code):
+        if m.group() == pair[0]:
+            stack.append(m.start())
+        elif stack and not (pair == "<>" and code[m.start() - 1] == "="):
+            out[stack.pop()] = m.start()
+    return out
+
+
 def closing(code: str, at: int, pair: str = "()") -> int:
-    """The place of the bracket that closes the one at ``at``, or the end."""
-    depth = 0
-    for i in range(at, len(code)):
-        if code[i] == pair[0]:
-            depth += 1
-        elif code[i] == pair[1]:
-            depth -= 1
-            if not depth:
-                return i
-    return len(code)
+    """The place of the bracket that closes the one at ``at``, or the end. The arrow ``=>`` closes nothing."""
+    return _closes(code, pair).get(at, len(code))
+
+
+def _word(c: str) -> bool:
+    return c.isalnum() or c in "_$"
+
+
+def tail(code, at: int, n: int = 5) -> str:
+    """The last ``n`` words and signs before a place, with a line end or a space for the white space between."""
+    parts: list[str] = []
+    while at > 0 and n:
+        b = at - 1
+        if code[b].isspace():
+            while b > 0 and code[b - 1].isspace():
+                b -= 1
+            parts.append("\n" if "\n" in code[b:at] else " ")
+        else:
+            if _word(code[b]):
+                while b > 0 and _word(code[b - 1]):
+                    b -= 1
+            parts.append("".join(code[b:at]))
+            n -= 1
+        at = b
+    return "".join(reversed(parts))
+
+
+_SPACES = re.compile(r"\s*")
+
+
+def _skip(code: str, at: int) -> int:
+    return _SPACES.match(code, at).end()
 
 
 class Scopes:
@@ -177,29 +211,86 @@ _IMPORTS = re.compile(r"(?<![\w$.])import\b(?:\s*\(\s*|(?:[^;'\"()]*?\bfrom)?\s*
 _EXPRESSION = re.compile(r"(?:[=(,:?\[&|!+]|\b(?:return|new|typeof|await|yield|throw|case))\s*(?:async\s*)?$")
 _FUNCTION = re.compile(rf"(?<![\w$.])function\s+({_NAME})\s*[<(]")
 _CLASS = re.compile(rf"(?<![\w$.])class\s+({_NAME})")
-_VALUE = re.compile(rf"\b(const|let|var)\s+({_NAME})\s*(?::[^=;]*?(?:=>[^=;]*?)?)?=(?![=>])\s*(?:async\s+)?(function\b(?!\s*\*)|\(|<|{_NAME}\s*=>)")
-_MEMBER = re.compile(rf"(?<![\w$.#])(#?{_NAME})\s*(?:<[^<>(){{}}]*>)?\(")
+_VALUE = re.compile(rf"\b(const|let|var)\s+({_NAME})\s*(?=[:=])")
+_VALUE_OF = re.compile(rf"\s*=(?![=>])\s*(?:async\b\s*)?(function\b(?!\s*\*)|\(|<|{_NAME}\s*=>)")
+_MEMBER = re.compile(rf"(?<![\w$.#])(#?{_NAME})\s*(?=[(<])")
 _NOT_MEMBER = {"if", "for", "while", "switch", "catch", "function", "return", "with", "super", "await", "typeof", "import", "new"}
 
 
+_BRACKETS = {"(": "()", "[": "[]", "<": "<>", "{": "{}"}
+
+
+def _leads_to(code: str, at: int, wanted: str) -> bool:
+    """Whether ``wanted`` (an arrow or an open brace) follows, at once or after the type that a colon begins.
+
+    Brackets of the type are stepped over whole; a brace where a type is
+    due is one of its own.
+    """
+    at = _skip(code, at)
+    if code.startswith(wanted, at):
+        return True
+    if not code.startswith(":", at):
+        return False
+    at, due = _skip(code, at + 1), True
+    while at < len(code):
+        c = code[at]
+        if code.startswith("=>", at):
+            if wanted == "=>":
+                return True
+            at, due = _skip(code, at + 2), True
+        elif c == "{" and not due:
+            return wanted == "{"
+        elif c in _BRACKETS:
+            at, due = _skip(code, closing(code, at, _BRACKETS[c]) + 1), False
+        elif c in ";,)}]=":
+            return False
+        elif _word(c):
+            end = at
+            while end < len(code) and (_word(code[end]) or code[end] == "."):
+                end += 1
+            due = code[at:end] in ("keyof", "typeof", "readonly", "is", "asserts", "extends", "infer", "unique", "new")
+            at = _skip(code, end)
+        else:
+            at, due = _skip(code, at + 1), c in "|&?:"
+    return False
+
+
+def _end_of_type(code: str, at: int) -> int:
+    """Where the type that a colon begins ends: at the next equals sign outside of brackets, or what can't be in one."""
+    if not code.startswith(":", at):
+        return at
+    at += 1
+    while at < len(code) and code[at] not in ";,)}]":
+        if code[at] == "=":
+            if not code.startswith("=>", at):
+                return at
+            at += 2
+        else:
+            at = closing(code, at, _BRACKETS[code[at]]) + 1 if code[at] in _BRACKETS else at + 1
+    return at
+
+
 def _script(source: str, typed: bool) -> Found:
     held = blank_script(source)
     code = held.code
     deps = [s for m in _IMPORTS.finditer(code) if (s := held.string(m.end()))]
-    declared = lambda m: not _EXPRESSION.search(code[max(0, m.start() - 24) : m.start()])
-    classes = [m.group(1) for m in _CLASS.finditer(code) if declared(m) and not (typed and re.search(r"\babstract\s+$", code[: m.start()][-20:]))]
+    declared = lambda m: not _EXPRESSION.search(tail(code, m.start(), 3))
+    classes = [m.group(1) for m in _CLASS.finditer(code) if declared(m) and not (typed and re.search(r"\babstract\s+$", tail(code, m.start(), 1)))]
     functions = [(m.start(1), m.group(1)) for m in _FUNCTION.finditer(code) if declared(m)]
     for m in _VALUE.finditer(code):
         if m.group(1) == "var" and not typed:
             continue
-        how = m.group(3)
+        value = _VALUE_OF.match(code, _end_of_type(code, m.end()))
+        if not value:
+            continue
+        how = value.group(1)
         if how in ("(", "<"):
-            at = m.start(3)
+            at = value.start(1)
             if how == "<":
-                at = code.find("(", at)
-                if at < 0:
+                at = _skip(code, closing(code, at, "<>") + 1)
+                if not code.startswith("(", at):
                     continue
-            if not re.match(r"\s*(?::[^;{}()]*)?=>", code[closing(code, at) + 1 :][:200]):
+            if not _leads_to(code, closing(code, at) + 1, "=>"):
                 continue
         functions.append((m.start(2), m.group(2)))
     methods = []
@@ -207,10 +298,13 @@ def _script(source: str, typed: bool) -> Found:
         name = m.group(1)
         if name in _NOT_MEMBER or (typed and name.startswith("#")):
             continue
-        before = code[max(0, m.start() - 40) : m.start()]
+        before = tail(code, m.start(), 3)
         if re.search(r"\b(?:function|new)\s*\*?\s*$", before) or not re.search(r"(?:[{};,*]|\*/|\b(?:static|async|get|set|public|private|protected|override|readonly)|\n)\s*$|^\s*$", before):
             continue
-        if re.match(r"\s*(?::\s*[^;{}=]*(?:\{[^{}]*\}[^;{}=]*)?)?\s*\{", code[closing(code, m.end() - 1) + 1 :][:300]):
+        at = m.end()
+        if code[at] == "<":
+            at = _skip(code, closing(code, at, "<>") + 1)
+        if code.startswith("(", at) and _leads_to(code, closing(code, at) + 1, "{"):
             methods.append(name)
     docs = [c for c in held.comments if c.startswith("/**")]
     return deps, _entities(classes, [n for _, n in sorted(functions)], methods, docs)
@@ -285,7 +379,45 @@ def _python_lines(source: str) -> Found:
 
 _C_NOT = {"if", "for", "while", "switch", "catch", "return", "sizeof", "decltype", "alignof", "noexcept", "static_assert", "new", "delete", "throw", "requires"}
 _C_CALL = re.compile(r"(?<![\w~.>])((?:[A-Za-z_]\w*(?:<[^<>;{}]*>)?\s*::\s*)*)([A-Za-z_]\w*)\s*\(")
-_C_BODY = re.compile(r"\s*(?:(?:(?:const|noexcept|override|final|volatile)\b|&&?)\s*)*(?:->\s*[\w:<>&*\s]+)?(?::\s*[^;{}]*(?:\{[^{}]*\}\s*,?\s*[^;{}]*)*)?\{")
+_C_RECORD = re.compile(r"(?:\s*:[^;{}()]*)?\s*\{")
+_C_TAIL = re.compile(r"(?:const|override|final|volatile|mutable|try)\b|&&?")
+_C_CHECKED = re.compile(r"(?:noexcept|throw|requires)\b\s*")
+_C_UNTIL = re.compile(r"[^(){};<]*")
+
+
+def _c_body(code: str, at: int) -> bool:
+    """Whether a body follows a function's arguments: after qualifiers, a trailing type, and what members begin with."""
+    while True:
+        at = _skip(code, at)
+        if m := _C_TAIL.match(code, at):
+            at = m.end()
+        elif m := _C_CHECKED.match(code, at):
+            at = closing(code, m.end()) + 1 if code.startswith("(", m.end()) else m.end()
+        elif code.startswith("->", at):
+            at = _C_UNTIL.match(code, at).end()
+            while code[at : at + 1] in ("<", "("):
+                at = _C_UNTIL.match(code, closing(code, at, _BRACKETS[code[at]]) + 1).end()
+        else:
+            break
+    if code.startswith("{", at):
+        return True
+    if not code.startswith(":", at) or code.startswith("::", at):
+        return False
+    at += 1
+    while True:  # a member, and its value in brackets or braces
+        at = _C_UNTIL.match(code, at).end()
+        c = code[at : at + 1]
+        if c == "<":
+            at = closing(code, at, "<>") + 1
+        elif c == "(" or c == "{" and (tail(code, at, 1).strip()[-1:].isalnum() or tail(code, at, 1).strip()[-1:] in ("_", ">")):
+            at = _skip(code, closing(code, at, _BRACKETS[c]) + 1)
+            at += 3 * code.startswith("...", at)
+            at = _skip(code, at)
+            if not code.startswith(",", at):
+                return code.startswith("{", at)
+            at += 1
+        else:
+            return False
 
 
 def cpp(source: str) -> Found:
@@ -295,10 +427,10 @@ def cpp(source: str) -> Found:
     scopes = Scopes(code)
     classes, bodies, records = [], set(), set()
     for m in re.finditer(r"\b(class|struct|union)\s+(?:\[\[[^\]]*\]\]\s*)?([A-Za-z_]\w*)(?:\s+final)?\s*(?=(:[^;{}]*)?([{;>,)&*]|\w|$))", code):
-        before = code[: m.start()].rstrip()[-8:]
+        before = tail(code, m.start(), 1).rstrip()
         if before.endswith(("<", ",")) or re.search(r"\benum$", before):
             continue
-        body = code.find("{", m.end()) if re.match(r"(?:\s*:[^;{}()]*)?\s*\{", code[m.end() :]) else -1
+        body = code.find("{", m.end()) if _C_RECORD.match(code, m.end()) else -1
         if m.group(1) == "class":
             classes.append(m.group(2))
             bodies.add(body)
@@ -307,19 +439,20 @@ def cpp(source: str) -> Found:
     bodies.discard(-1)
     records.discard(-1)
     functions = [(m.start(1), m.group(1)) for m in re.finditer(r"\bnamespace\s+([A-Za-z_]\w*)\s*\{", code)]
+    spaces = {m.end() - 1 for m in re.finditer(r"\bnamespace\b[\w\s:]*\{|\bextern\s*\"[^\"]*\"\s*\{", code)}
     methods = []
     for m in _C_CALL.finditer(code):
         name = m.group(2)
-        if name in _C_NOT or re.search(r"\boperator\s*$|[.>~,]\s*$|(?<!:)(?<!public)(?<!private)(?<!protected):\s*$", code[max(0, m.start() - 12) : m.start()]):
+        if name in _C_NOT or re.search(r"\boperator\s*$|[.>~,]\s*$|(?<!:)(?<!public)(?<!private)(?<!protected):\s*$", tail(code, m.start(), 3)):
             continue
         around = scopes.around(m.start())
-        if not _C_BODY.match(code[closing(code, m.end() - 1) + 1 :][:500]):
+        if not _c_body(code, closing(code, m.end() - 1) + 1):
             continue
         if m.group(1).strip():
             methods.append(name)
         elif around in bodies:
             methods.append(name)
-        elif around not in records and (around < 0 or re.search(r"\bnamespace\b[\w\s:]*$|\bextern\s*\"\s*\"?\s*$", code[:around][-80:])):
+        elif around not in records and (around < 0 or around in spaces):
             functions.append((m.start(2), name))
     docs = list(held.comments)
     return deps, _entities(classes, [n for _, n in sorted(functions)], methods, docs)
@@ -330,6 +463,9 @@ def cpp(source: str) -> Found:
 _JAVA_NOT = {"if", "for", "while", "switch", "catch", "return", "new", "super", "this", "synchronized", "try", "throw", "assert"}
 
 
+_JAVA_BODY = re.compile(r"\s*(?:\[\s*\]\s*)*(?:throws\s[^;{}]*|default\s[^;{}]*)?[{;]")
+
+
 def java(source: str) -> Found:
     held = blank(source, _C_LIKE)
     code = held.code
@@ -343,14 +479,14 @@ def java(source: str) -> Found:
             classes.append(m.group(2))
     for m in re.finditer(r"\bnew\s+[\w$.<>,\s]+\(", code):  # a class without a name
         end = closing(code, m.end() - 1)
-        if (n := re.match(r"\s*\{", code[end + 1 :])) is not None:
-            kind[end + n.end()] = "class"
+        if code.startswith("{", at := _skip(code, end + 1)):
+            kind[at] = "class"
     functions, methods = [], []
     for m in re.finditer(r"(?<![\w$.@])([A-Za-z_$][\w$]*)\s*\(", code):
         around = scopes.around(m.start())
-        if around not in kind or m.group(1) in _JAVA_NOT or not re.match(r"\s*(?:\[\s*\]\s*)*(?:throws\s[^;{}]*|default\s[^;{}]*)?[{;]", code[closing(code, m.end() - 1) + 1 :][:400]):
+        if around not in kind or m.group(1) in _JAVA_NOT or not _JAVA_BODY.match(code, closing(code, m.end() - 1) + 1):
             continue
-        before = code[max(0, m.start() - 60) : m.start()]
+        before = tail(code, m.start(), 4)
         typed = re.search(r"[\w$>\]]\s+$|[>\]]$", before) and not re.search(r"(?:^|[;{}])\s*(?:public|private|protected)?\s*$|\b(?:public|private|protected)\s+$", before)
         if re.search(r"\b(?:new|return|=)\s*$|=\s*$", before):
             continue
@@ -374,7 +510,7 @@ def go(source: str) -> Found:
     classes = []
     for m in re.finditer(r"^[ \t]*type\s+(?:(\()|([A-Za-z_]\w*))", code, re.M):
         if not m.group(1):
-            if not re.match(r"\s*=", code[m.end() :]):
+            if not code.startswith("=", _skip(code, m.end())):
                 classes.append(m.group(2))
             continue
         depth = 0

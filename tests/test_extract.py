@@ -52,6 +52,54 @@ def test_typed_script():
     assert deps == ["types", "react"] and got["classes"] == ["Box"] and got["methods"] == ["get", "map"] and got["functions"] == ["old", "typed"]
 
 
+def test_types_of_any_length():
+    wide = "{ " + " ".join(f"field{i}: Map<string, (a: number) => void>;" for i in range(60)) + " }"
+    src = f"""
+    const k = (a: number): {{ x: number }} => ({{ x: a }});
+    const far = async <T extends {{ a: 1 }}>(a: T, b = (1 + 2)): Promise<{wide}> => null;
+    const held: (a: {wide}) => void = (a) => {{}};
+    const not = (a + b); const nor = (cond) ? (x): y; const plain: {{ f: () => void }} = make(() => 1);
+    class C {{
+      near(): {{ x: number }} {{ return null; }}
+      wide(a: {wide}): {wide} | Array<{wide}> {{ return null; }}
+      generic<T extends Map<string, (x: T) => void>>(x: T): asserts x is {{ a: 1 }} {{ call(x); }}
+      declared(): {{ x: number }};
+      {"static " + " " * 400 + "async"} spaced() {{ if (a) {{ b(); }} }}
+      field = (a) => {{ run(a); }};
+    }}
+    """
+    _, got = X.typescript(src)
+    assert got["functions"] == ["k", "far", "held"] and got["methods"] == ["near", "wide", "generic", "spaced"] and got["classes"] == ["C"]
+
+
+def test_long_heads():
+    init = ", ".join(f"member{i}(static_cast<std::map<int, int>>(a)), other{i}{{a, {{b}}}}" for i in range(60))
+    src = f"""
+    namespace {"a::" * 60}z {{ int deep() {{ return 0; }} }}
+    class Big {{ public: Big(int a, int b) noexcept(sizeof(int) > 2) : {init} {{ run(); }} void only(int a); Big& operator=(const Big&) {{ return *this; }} }};
+    Big::Big(int a) : {init} {{ other(); }}
+    auto far(int a) -> std::map<int, std::vector<decltype(a)>> {{ return f(a); }}
+    int declared(int a);
+    int used() {{ return declared(1) ? declared(2) : declared(3); }}
+    """
+    _, got = X.cpp(src)
+    assert got["methods"] == ["Big", "Big"] and got["functions"] == ["deep", "far", "used"] and got["classes"] == ["Big"]
+    throws = ", ".join(f"some.long.name.of.an.Exception{i}" for i in range(60))
+    _, got = X.java(f"class A {{ A(int a) throws {throws} {{ go(); }} void run() throws {throws} {{ stop(); }} {'public ' + ' ' * 300}int x(int a) {{ return f(a); }} }} interface I {{ int m() throws {throws}; }}")
+    assert got["methods"] == ["run", "x"] and got["functions"] == ["A", "m"]
+
+
+def test_time_on_damaged_code():
+    import time
+
+    began = time.perf_counter()
+    for extractor in (X.javascript, X.typescript, X.cpp, X.java, X.go, X.rust, X.css, X.html):
+        for piece in ("f(", "a<", "class A { m(", "{ x(): {", "const a: {", "x = /", "namespace a { ", "use "):
+            extractor(piece * 4000)
+    assert X.parse("deep.js", "`${" * 4000)[3]
+    assert time.perf_counter() - began < 120
+
+
 def test_python():
     src = '''"""Module."""
 import os, numpy as np
