@@ -5,23 +5,33 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import col, load, stored
+from .common import col, give_back, load, stored
 
 NEIGHBOURS = 10
-#: Vectors that a bucket should hold; more vectors give more buckets.
-BUCKET = 400
+#: Vectors that the smallest buckets looked at hold; more vectors give more buckets.
+BUCKET = 200
 #: Recall that the tables are chosen for, on so many queries measured exactly.
 RECALL, CALIBRATION = 0.95, 256
-TABLES = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+TABLES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 MOST_PROBES = 24
+#: What hashing a vector for a table and sending it to a bucket cost, in comparisons of two vectors.
+HASHING, SENDING = 600, 150
+#: Vectors that a task hashes before it sends them on, and bytes of vectors in a task that compares them.
+BLOCK, PART_BYTES = 1 << 16, 96 << 20
+#: So many vectors give the first bound of a query's k-th best in a part.
+FIRST_LOOK = 768
+#: How far single precision may be off.
+SLACK = 1e-5
 SEED = 41
 
 
@@ -33,14 +43,23 @@ class Plan:
     seed: int = SEED
 
 
+@cache
+def _hadamard(d: int) -> np.ndarray:
+    h = np.ones((1, 1), np.float32)
+    while len(h) < d:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
 def rotate(x: np.ndarray) -> np.ndarray:
-    """The normalised Hadamard transform of rows of a power of two of columns."""
+    """The normalised fast Hadamard transform of rows of a power of two of columns, sixteen at a time."""
     n, d = x.shape
-    h = 1
-    while h < d:
-        y = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(n, d)
-        h *= 2
+    done, left = 1, d
+    while left > 1:
+        h = min(16, left)
+        y = x.reshape(n * (d // (h * done)), h, done)
+        x = (y.transpose(0, 2, 1).reshape(-1, h) @ _hadamard(h)).reshape(-1, done, h).transpose(0, 2, 1).reshape(n, d)
+        done, left = done * h, left // h
     return x / np.float32(math.sqrt(d))
 
 
@@ -65,13 +84,18 @@ def probes(x: np.ndarray, plan: Plan, table: int, many: int) -> np.ndarray:
     code, cost = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.float32)
     for reach in axes(x, plan, table):
         r = min(many, reach.shape[1])
-        top = np.argsort(-reach, axis=1, kind="stable")[:, :r]
+        if r == 1:
+            top = reach.argmax(axis=1)[:, None]
+        else:
+            top = np.argpartition(-reach, r - 1, axis=1)[:, :r] if r < reach.shape[1] else np.broadcast_to(np.arange(r), reach.shape)
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(reach, top, 1), axis=1, kind="stable"), 1)
         value = np.take_along_axis(reach, top, 1)
         short = (value[:, :1] - value) ** 2
         code = (code[:, :, None] * reach.shape[1] + top[:, None, :]).reshape(len(x), -1)
         cost = (cost[:, :, None] + short[:, None, :]).reshape(len(x), -1)
-        best = np.argsort(cost, axis=1, kind="stable")[:, :many]
-        code, cost = np.take_along_axis(code, best, 1), np.take_along_axis(cost, best, 1)
+        if code.shape[1] > many:
+            best = np.argsort(cost, axis=1, kind="stable")[:, :many]
+            code, cost = np.take_along_axis(code, best, 1), np.take_along_axis(cost, best, 1)
     return code
 
 
@@ -128,13 +152,14 @@ def _top(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: in
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def calibrate(vectors: DataFrame, dims: tuple[int, ...], width: int, k: int, recall: float = RECALL, seed: int = SEED) -> Plan:
-    """The cheapest numbers of tables and probes that find ``recall`` of the true neighbours of CALIBRATION queries.
+def calibrate(vectors: DataFrame, dims: tuple[int, ...], n: int, k: int, recall: float = RECALL, seed: int = SEED) -> Plan:
+    """The cheapest hashes, tables and probes that find ``recall`` of the true neighbours of CALIBRATION queries.
 
-    These are compared with all vectors, which is linear in their number. A
-    table costs its stored copies and its probes. Where no plan reaches the
-    recall, there are fewer buckets, down to two that are both visited,
-    which is exact comparison.
+    These are compared with all ``n`` vectors, which is linear in their
+    number. From the finest hashes ``dims`` on, ever coarser ones are tried
+    until the best plan costs more; the coarsest has two buckets that are
+    both visited, which is exact comparison, so some plan always reaches the
+    recall.
     """
     sample = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION).toPandas()
     q_id = sample.id.to_numpy()
@@ -152,32 +177,223 @@ def calibrate(vectors: DataFrame, dims: tuple[int, ...], width: int, k: int, rec
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s), pa.array([vec[place[int(i)]] for i in b], pa.binary())], names=["q", "id", "s", "vec"])
 
     near = vectors.select("id", "vec").mapInArrow(run, "q long, id long, s double, vec binary")
-    top = near.dropDuplicates(["q", "id"]).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))).where(F.col("r") <= k).toPandas()
+    top = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))).where(F.col("r") <= k).toPandas()
     if not len(top):
-        return Plan(dims, TABLES[0], 1, seed)
+        return Plan(dims, 1, 1, seed)
     row = {int(i): n for n, i in enumerate(q_id)}
     owner = np.array([row[int(i)] for i in top.q])
     x = unpack(top.vec.tolist())
+    chosen: tuple[float, Plan] | None = None
     while True:
         best: tuple[float, Plan] | None = None
+        bucket = n / math.prod(2 * d for d in dims)
         place = np.full((0, len(owner)), MOST_PROBES)
         for tables in TABLES:
+            if best and tables * (HASHING + bucket) >= best[0]:
+                break
             for t in range(len(place), tables):
                 plan = Plan(dims, t + 1, 1, seed)
                 mine = probes(x, plan, t, 1)[:, 0]
                 seen = probes(q, plan, t, MOST_PROBES)[owner] == mine[:, None]
                 place = np.concatenate([place, np.where(seen.any(axis=1), seen.argmax(axis=1), MOST_PROBES)[None]])
-            for m in range(1, MOST_PROBES + 1):
-                if (place.min(axis=0) < m).mean() >= recall:
-                    cost = tables * (1.0 + m)
-                    if best is None or cost < best[0]:
-                        best = (cost, Plan(dims, tables, m, seed))
-                    break
-        if best:
-            return best[1]
+            ranks = np.sort(place.min(axis=0))
+            m = int(ranks[math.ceil(recall * len(ranks)) - 1]) + 1
+            cost = tables * (HASHING + m * (SENDING + bucket))
+            if m <= MOST_PROBES and (best is None or cost < best[0]):
+                best = (cost, Plan(dims, tables, m, seed))
+        if chosen and best and best[0] > chosen[0] or coarser(dims) == dims and best is None:
+            break
+        chosen = best or chosen
         if coarser(dims) == dims:
-            raise ValueError(f"no plan reaches a recall of {recall}")
+            break
         dims = coarser(dims)
+    if chosen is None:
+        raise ValueError(f"no plan reaches a recall of {recall}")
+    return chosen[1]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+class Best:
+    """The k best found so far of each of some vectors, by exact cosine and then id."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids, x, k
+        self.q, self.n, self.c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floor = np.full(len(ids), -9, np.float32)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def compare(self, ask: np.ndarray, own: np.ndarray) -> None:
+        """Look at ``own`` as neighbours of ``ask``, both places of vectors."""
+        for b in range(0, len(own), 1 << 14):
+            held = own[b : b + (1 << 14)]
+            right = self.x[held].T
+            step = max(1, (1 << 21) // len(held))
+            for a in range(0, len(ask), step):
+                some = ask[a : a + step]
+                s = self.x[some] @ right
+                floor = self.floor[some]
+                if s.shape[1] > 4 * self.k and (fresh := np.flatnonzero(floor < -2)).size:  # nothing known yet: some give a bound
+                    few = s[fresh, :FIRST_LOOK]
+                    at = few.shape[1] - self.k - 1  # one of the k + 1 may be itself
+                    if at >= 0:
+                        floor[fresh] = np.partition(few, at, axis=1)[:, at]
+                i, j = np.nonzero(s >= floor[:, None] - np.float32(SLACK))
+                i, j = some[i], held[j]
+                keep = i != j
+                self.new.append((i[keep], j[keep]))
+                self.waiting += len(i)
+                if self.waiting > 1 << 20:
+                    self.settle()
+
+    def settle(self) -> None:
+        if not self.new:
+            return
+        q, n = (np.concatenate(c) for c in zip(*self.new))
+        self.new, self.waiting = [], 0
+        if not len(q):
+            return
+        pair = np.unique(q * len(self.ids) + n)
+        q, n = pair // len(self.ids), pair % len(self.ids)
+        c = np.concatenate([np.round(np.einsum("ij,ij->i", self.x[q[a : a + 65536]].astype(np.float64), self.x[n[a : a + 65536]].astype(np.float64)), 9) for a in range(0, len(q), 65536)])
+        q, n, c = np.concatenate([self.q, q]), np.concatenate([self.n, n]), np.concatenate([self.c, c])
+        _, once = np.unique(q * len(self.ids) + n, return_index=True)
+        q, n, c = q[once], n[once], c[once]
+        order, place = _ranked(q, self.ids[n], c)
+        order, place = order[place < self.k], place[place < self.k]
+        self.q, self.n, self.c = q[order], n[order], c[order]
+        full = place == self.k - 1
+        self.floor[self.q[full]] = self.c[full]
+
+
+def _ranked(q: np.ndarray, ids: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by query, best first, and each one's place among its query's."""
+    order = np.lexsort((ids, -c, q))
+    q = q[order]
+    first = np.flatnonzero(np.diff(q, prepend=q[0] - 1)) if len(q) else np.zeros(0, np.int64)
+    return order, np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+
+
+def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    part, *rest = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(c, pa.binary()) for c in rest)], names=names)
+
+
+def _spread(plan: Plan, parts: int):
+    """Vectors (id, vec) to (part, ids, vecs, place, bucket, own): what each part has to compare, each vector once a part and block."""
+    names = ["part", "ids", "vecs", "place", "bucket", "own"]
+
+    def block(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, place, own = [], [], []
+        for t in range(plan.tables):
+            code = probes(x, plan, t, plan.probes) + (t << 48)
+            keys.append(code.ravel())
+            place.append(np.repeat(np.arange(len(x), dtype=np.int32), code.shape[1]))
+            own.append(np.tile(np.arange(code.shape[1]) == 0, len(x)))
+        keys, place, own = np.concatenate(keys), np.concatenate(place), np.concatenate(own)
+        part = (_mix(keys) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        keys, place, own, part = keys[order], place[order], own[order], part[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        rows, size = [], 0
+        for a, b in zip(cuts, np.append(cuts[1:], len(part))):
+            who, where = np.unique(place[a:b], return_inverse=True)
+            rows.append((int(part[a]), ids[who].tobytes(), x[who].tobytes(), where.astype(np.int32).tobytes(), keys[a:b].tobytes(), own[a:b].tobytes()))
+            size += x[0].nbytes * len(who)
+            if size > 1 << 23:
+                yield _packed(rows, names)
+                rows, size = [], 0
+        if rows:
+            yield _packed(rows, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(batch.num_rows, -1)))
+                n += batch.num_rows
+            if n >= BLOCK:
+                yield from block(*(np.concatenate(c) for c in zip(*held)))
+                held, n = [], 0
+        if held:
+            yield from block(*(np.concatenate(c) for c in zip(*held)))
+        give_back()
+
+    return run
+
+
+def _compare(width: int, k: int, parts: int):
+    """A part's vectors to (part, q, n, c): the best of each in its buckets, packed by the part of the asking one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vecs, places, keys, owns = [], [], [], [], []
+        base = 0
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                ids.append(np.frombuffer(row[0], np.int64))
+                vecs.append(np.frombuffer(row[1], np.float32).reshape(-1, width))
+                places.append(np.frombuffer(row[2], np.int32).astype(np.int64) + base)
+                keys.append(np.frombuffer(row[3], np.int64))
+                owns.append(np.frombuffer(row[4], bool))
+                base += len(ids[-1])
+        if not ids:
+            return
+        ids, vecs, places, keys, owns = (np.concatenate(c) for c in (ids, vecs, places, keys, owns))
+        best = Best(ids, vecs, k)
+        order = np.argsort(keys, kind="stable")
+        places, keys, owns = places[order], keys[order], owns[order]
+        cuts = np.flatnonzero(np.diff(keys, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(keys))):
+            here = owns[a:b]
+            if here.any():
+                best.compare(places[a:b], places[a:b][here])
+        best.settle()
+        to = (_mix(ids[best.q]) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, q, n, c = to[order], ids[best.q[order]], ids[best.n[order]], best.c[order]
+        cuts = np.flatnonzero(np.diff(to, prepend=-1))
+        rows = [(int(to[a]), q[a:b].tobytes(), n[a:b].tobytes(), c[a:b].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(to)))]
+        for at in range(0, len(rows), 256):
+            yield _packed(rows[at : at + 256], ["part", "q", "n", "c"])
+        give_back()
+
+    return run
+
+
+def _merge(k: int):
+    """What parts found to (id, neighbor, rank, cosine)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(1, 4)))]
+        if not found:
+            return
+        q, n, c = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*found), (np.int64, np.int64, np.float64)))
+        order = np.lexsort((n, q))
+        order = order[(np.diff(q[order], prepend=0) != 0) | (np.diff(n[order], prepend=0) != 0) | (np.arange(len(order)) == 0)]
+        q, n, c = q[order], n[order], c[order]
+        order, place = _ranked(q, n, c)
+        order, place = order[place < k], place[place < k]
+        for at in range(0, len(order), 1 << 16):
+            few = order[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(q[few]), pa.array(n[few]), pa.array((place[at : at + (1 << 16)] + 1).astype(np.int32)), pa.array(c[few])], names=["id", "neighbor", "rank", "cosine"])
+        give_back()
+
+    return run
+
+
+def search(vectors: DataFrame, n: int, width: int, k: int, recall: float = RECALL) -> DataFrame:
+    """(id, neighbor, rank, cosine) of ``n`` different vectors (id long, vec), by number."""
+    plan = calibrate(vectors, bucket_dims(n, width), n, k, recall)
+    size = n * plan.tables * plan.probes * (4 * width + 24)
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
+    asked = vectors.select("id", "vec").mapInArrow(_spread(plan, parts), "part int, ids binary, vecs binary, place binary, bucket binary, own binary")
+    found = asked.repartitionById(parts, F.col("part")).mapInArrow(_compare(width, k, parts), "part int, q binary, n binary, c binary")
+    return found.repartitionById(parts, F.col("part")).mapInArrow(_merge(k), "id long, neighbor long, rank int, cosine double")
 
 
 def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, recall: float = RECALL, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -185,85 +401,66 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, recall: float = RECALL,
 
     Unit vectors go through pseudo-rotations (random signs and a fast
     Hadamard transform, three times) to the nearest signed axis, which is
-    their bucket. Each vector is stored once in each table and asks for its
-    neighbours in the buckets most promising; what a bucket holds is ranked
-    by exact cosine where it lies. Numbers of tables and probes come from
-    :func:`calibrate`, and buckets from the number of vectors, so both the
-    work for a query and the recall hold as the table grows.
-
-    Defined results: rows with a null id, and vectors that are null, of
-    another length than most, zero, or with a null or a value that is not
-    finite have no direction and are neither asked nor found; rows that
-    share an id are one point with several vectors, which isn't its own
-    neighbour; equal cosines (to nine places) are ranked by id; other columns
-    don't matter. With fewer than ``k`` others all found are given. An empty
-    table gives an empty one.
+    their bucket. Each vector is stored in its bucket of each table and asks
+    for its neighbours there and in the buckets most promising; what a bucket
+    holds is ranked by exact cosine where it lies. Hashes, tables and probes
+    come from :func:`calibrate`, so the recall holds as the table grows. The
+    work for a query then grows by a power of the table that the contrast of
+    the data sets: near 0 if neighbours are close, near 1 if they are hardly
+    nearer than others.
+
+    Defined results: ids are of any type that can be ordered; rows with a
+    null id, and vectors that are null, of another length than most, zero,
+    or with a null or a value that is not finite have no direction and are
+    neither asked nor found; equal vectors are searched for once, and each
+    row that has one finds the others at their cosine; an id with several
+    different vectors is asked for with each and isn't its own neighbour,
+    but its other vectors take their places among the ``k`` that each finds;
+    equal cosines (to nine places) are ranked by id; other columns don't
+    matter. With fewer than ``k`` others all found are given. An empty table
+    gives an empty one.
     """
     spark = embeddings.sparkSession
-    kind = embeddings.schema[id_column].dataType.simpleString()
-    schema = f"{id_column} {kind}, neighbor {kind}, rank int, cosine double"
-    raw = embeddings.select(col(id_column).cast("long").alias("id"), col(vector_column).alias("v")).where("id is not null and v is not null")
+    kind = embeddings.schema[id_column].dataType
+    name = kind.simpleString()
+    raw = embeddings.select(col(id_column).alias("id"), col(vector_column).alias("v")).where("id is not null and v is not null")
     common = raw.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width = int(common.n) if common and common.n > 0 else 0
-    if not width:
-        return spark.createDataFrame([], schema)
+    length = int(common.n) if common and common.n > 0 else 0
+    if not length:
+        return spark.createDataFrame([], T.StructType([T.StructField(id_column, kind), T.StructField("neighbor", kind), T.StructField("rank", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, good = units(batch.column(1), width)
+            x, good = units(batch.column(1), length)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([r.tobytes() for r in x[good]], pa.binary())], names=["id", "vec"])
 
-    vectors = stored(raw.mapInArrow(pack, "id long, vec binary").dropDuplicates())
-    n = vectors.count()
-    padded = 1 << max(0, (width - 1).bit_length())
-    plan = calibrate(vectors, bucket_dims(n, padded), width, k, recall)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                few = batch.slice(at, 2048)
-                ids, vec = few.column(0), few.column(1)
-                x = np.frombuffer(b"".join(vec.to_pylist()), np.float32).reshape(len(ids), -1)
-                for t in range(plan.tables):
-                    codes = probes(x, plan, t, plan.probes)
-                    for m in range(-1, codes.shape[1]):
-                        code = codes[:, max(m, 0)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(code), t, np.int32)), pa.array(code), pa.array(np.full(len(code), int(m >= 0), np.int32)), ids, vec],
-                            names=["bucket_table", "bucket", "asks", "id", "vec"],
-                        )
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows sorted by bucket, the stored before the asking."""
-        at = None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table, code, asks, ids = (batch.column(i).to_numpy() for i in range(4))
-            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float32).reshape(len(ids), -1)
-            cuts = np.flatnonzero((np.diff(table, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0) | (np.diff(asks, prepend=-1) != 0))
-            out = []
-            for a, b in zip(cuts, np.append(cuts[1:], len(ids))):
-                if (where := (table[a], code[a])) != at:
-                    at, held = where, []
-                if not asks[a]:
-                    held.append((ids[a:b], x[a:b]))
-                elif held:
-                    if len(held) > 1:
-                        held = [tuple(np.concatenate(c) for c in zip(*held))]
-                    out.append(_top(ids[a:b], x[a:b], *held[0], k))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["id", "neighbor", "cosine"])
-
-    width_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tables = vectors.mapInArrow(spread, "bucket_table int, bucket long, asks int, id long, vec binary")
-    ordered = tables.repartition(width_, "bucket_table", "bucket").sortWithinPartitions("bucket_table", "bucket", "asks")
-    found = ordered.mapInArrow(rank, "id long, neighbor long, cosine double")
-    pairs = found.groupBy("id", "neighbor").agg(F.max("cosine").alias("cosine"))
-    best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbor")
-    top = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return top.select(F.col("id").cast(kind).alias(id_column), F.col("neighbor").cast(kind).alias("neighbor"), "rank", "cosine")
+    vectors = stored(raw.mapInArrow(pack, f"id {name}, vec binary").dropDuplicates())
+    width = 1 << max(0, (length - 1).bit_length())
+    told = vectors.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct(F.xxhash64("vec")).alias("vecs")).first()
+    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) and told.n == told.ids == told.vecs:
+        top = search(vectors.select(F.col("id").cast("long").alias("id"), "vec"), told.n, width, k, recall)
+        return top.select(F.col("id").cast(kind).alias(id_column), F.col("neighbor").cast(kind).alias("neighbor"), "rank", "cosine")
+    # different vectors are numbered by their least id, so that ties stay in order
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    once = vectors.groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("many"))
+    numbered = stored(once.repartitionByRange(parts, "least", "vec").sortWithinPartitions("least", "vec").withColumn("no", F.monotonically_increasing_id()))
+    members = stored(vectors.join(numbered.select("vec", "no"), "vec").select("no", "id"))
+    pairs = search(numbered.select(F.col("no").alias("id"), "vec"), numbered.count(), width, k, recall).select(F.col("id").alias("no"), F.col("neighbor").alias("to"), "cosine")
+
+    @F.pandas_udf("double")
+    def own_cosine(vec):
+        return vec.map(lambda v: round(float((np.frombuffer(v, np.float32).astype(np.float64) ** 2).sum()), 9)).astype(float)
+
+    pairs = pairs.unionByName(numbered.where("many > 1").select("no", F.col("no").alias("to"), own_cosine("vec").alias("cosine")))
+    firsts = members.withColumn("r", F.row_number().over(Window.partitionBy("no").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("no").alias("to"), F.col("id").alias("neighbor"))
+    best = lambda *by: Window.partitionBy(*by).orderBy(F.desc("cosine"), "neighbor")
+    lists = pairs.join(firsts, "to").groupBy("no", "neighbor").agg(F.max("cosine").alias("cosine"))
+    lists = lists.withColumn("r", F.row_number().over(best("no"))).where(F.col("r") <= k + 1).drop("r")
+    each = members.join(lists, "no").where("id <> neighbor")
+    if told.ids < told.n:
+        each = each.groupBy("id", "neighbor").agg(F.max("cosine").alias("cosine"))
+    top = each.withColumn("rank", F.row_number().over(best("id"))).where(F.col("rank") <= k)
+    return top.select(F.col("id").alias(id_column), "neighbor", "rank", "cosine")
 
 
 def op8_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

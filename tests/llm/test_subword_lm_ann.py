@@ -217,11 +217,57 @@ def test_recall_holds_where_no_plan_reaches_it(spark, monkeypatch):
     assert len({(r.vec_id, r.neighbor) for r in got} & want) >= 0.95 * len(want)
 
 
+def by_brute_force(rows, k=10):
+    """{id: {neighbour: cosine}} of all others, the best of ids with several vectors, and the k-th best cosine."""
+    u = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    u = (u / np.linalg.norm(u, axis=1)[:, None]).astype(np.float32).astype(np.float64)
+    s = u @ u.T
+    out = {}
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows):
+            if a != b:
+                mine = out.setdefault(a, {})
+                mine[b] = max(mine.get(b, -2), round(s[i, j], 9))
+    return {a: sorted(((-c, b) for b, c in mine.items()))[:k] for a, mine in out.items()}
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_text_ids_and_equal_vectors(spark, kind):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(25, 16))
+    vectors = [(centres[i % 25] + 0.1 * rng.normal(size=16)).tolist() for i in range(300)]
+    rows = [(f"v{i:05d}" if kind == "string" else i, v) for i, v in enumerate(vectors)]
+    same = rng.normal(size=16).tolist()
+    rows += [(f"w{i:05d}" if kind == "string" else 1000 + i, same) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[0]], f"vec_id {kind}, embedding array<double>")
+    want = by_brute_force(rows)
+    got = {}
+    for r in A.nearest(df).orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append((-r.cosine, r.neighbor))
+    assert set(got) == set(want) and all(len(set(x)) == 10 for x in got.values())
+    assert np.mean([len(set(b for _, b in got[i]) & set(b for _, b in want[i])) / 10 for i in want]) > 0.95
+    for i in got:  # ties are in order, whole groups of equal vectors are met
+        assert got[i] == sorted(got[i])
+        if i in dict(rows[300:]):
+            assert [b for _, b in got[i]] == [b for _, b in want[i]]
+
+
+def test_many_equal_vectors(spark):
+    n = 50000
+    df = spark.range(n).selectExpr("id as vec_id", "array(1.0D, 2.0D, 3.0D) as embedding")
+    got = A.nearest(df, k=3)
+    assert got.count() == 3 * n and got.where("neighbor > 3").count() == 0
+    assert [tuple(r) for r in got.where("vec_id = 1").orderBy("rank").select("neighbor", "rank").collect()] == [(0, 1), (2, 2), (3, 3)]
+
+
 def test_neighbour_edges(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [1.0, 0.1, 0.0]), (3, [1.0, 0.1, 0.0]), (4, None), (5, [0.0, 0.0, 0.0]), (6, [1.0, 2.0]), (7, [float("nan"), 1.0, 1.0]), (8, [None, 1.0, 1.0]), (None, [1.0, 0.0, 0.0]), (9, [-1.0, 0.0, 0.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, bucket int")
     got = A.nearest(df, k=2).collect()
     assert {r.vec_id for r in got} == {1, 2, 3, 9}
     assert [(r.neighbor, r.cosine) for r in sorted(got, key=lambda r: r["rank"]) if r.vec_id == 1] == [(2, 1.0), (3, pytest.approx(0.995037, abs=1e-5))]
+    several = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0])], "vec_id long, embedding array<float>")
+    both = {(r.vec_id, r.neighbor) for r in A.nearest(several, k=2).collect()}
+    assert both >= {(1, 2), (1, 3), (2, 1), (3, 1)} and all(a != b for a, b in both)
     assert A.nearest(df.where("false")).collect() == []
     assert A.nearest(df.where("vec_id = 4")).collect() == []
