@@ -115,10 +115,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Defined results: roles are trimmed and lower-cased, and any but the
     three, null included, must be relabelled; null texts are empty, and empty
     parts leave no line in a merged turn; turns without a number come last,
-    ties go by role and text, repeated rows stand twice; rows with a null
-    ``conv_id`` are one conversation; markers inside texts are broken up; other
-    columns don't matter. An empty table gives an empty one. A conversation
-    must fit in a task's memory.
+    ties go by role and text, repeated rows stand twice; a row with a null
+    ``conv_id`` belongs to none that is known and is a conversation of its
+    own, with a null id; markers inside texts are broken up; other columns
+    don't matter. An empty table gives an empty one. A conversation must fit
+    in a task's memory.
     """
     held = fresh(turns, "held")[0]
     kind = turns.schema["conv_id"].dataType.simpleString()
@@ -128,7 +129,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.lower(F.trim(col("role").cast("string"))).alias("role"),
         col("text").cast("string").alias("text"),
     )
-    talks = turns.groupBy(col("conv_id").alias("conv_id")).agg(F.array_sort(F.collect_list(row)).alias(held))
+    known = col("conv_id").isNotNull()
+    talks = turns.where(known).groupBy(col("conv_id").alias("conv_id")).agg(F.array_sort(F.collect_list(row)).alias(held))
+    talks = talks.unionByName(turns.where(~known).select(col("conv_id").alias("conv_id"), F.array(row).alias(held)))
     slim = talks.select("conv_id", F.col(f"{held}.role").alias("roles"), F.col(f"{held}.text").alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

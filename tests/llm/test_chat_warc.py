@@ -79,6 +79,22 @@ def test_chat_empty_and_long(spark):
     assert len(got[1].rendered) > 400000 and got[1].n_turns == 2
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, i % 3, ("user", "assistant")[i % 2], f"t{i}") for i in range(400)] + [(7, 0, "user", "a"), (7, 1, "assistant", "b")]
+    got = C.format_chats(spark.createDataFrame(rows, TURNS)).collect()
+    assert len(got) == 401 and sum(r.conv_id is None for r in got) == 400
+    assert sorted(r.rendered for r in got if r.conv_id is None and r.edits.startswith("insert")) == sorted(f"{C.OPEN}user\n{C.CLOSE}\n{C.OPEN}assistant\nt{i}{C.CLOSE}\n" for i in range(1, 400, 2))
+
+
+def test_long_conversations_through_spark(spark):
+    rng = random.Random(3)
+    roles = [rng.choice(C.ROLES) for _ in range(4200)]
+    got = chats(spark, [(i, t, r, "x") for i, n in ((1, 4200), (2, 4000)) for t, r in enumerate(roles[:n])])
+    for i, n in ((1, 4200), (2, 4000)):
+        cost, edits = C.repair.__wrapped__(tuple(roles[:n]))
+        assert got[i].cost == cost and got[i].edits == " ".join(f"{what}:{role}" for what, role, _ in edits)
+
+
 def test_chat_query(spark):
     held = spark.read.parquet(SF + "/conversations.parquet")
     got = C.op2_chat_format(spark, SF).collect()
