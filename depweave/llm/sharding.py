@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,8 +15,10 @@ from pyspark.sql.window import Window
 from .common import col, cols, fresh, load, stored
 
 DIMENSIONS = ("n_chars", "source", "lang")
-CELL_BITS = 5
-SHARD_CHARS = 16 << 20
+CELL_BITS = 10
+SHARD_CHARS, MOST_SHARDS = 64 << 20, 1 << 16
+#: Rows of the table of cells that is sent to all executors.
+MOST_CELLS = 1 << 20
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -50,23 +53,47 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _as_number(df: DataFrame, name: str, bounds: dict[str, tuple]) -> Column:
-    """A dimension as an order-preserving number: strings by the six bytes after their common prefix."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        low, high = bounds.get(name) or ("", "")
-        shared = 0
-        for a, b in zip((low or "").encode(), (high or "").encode()):
-            if a != b:
-                break
-            shared += 1
-        head = F.substring(F.encode(col(name).cast("string"), "UTF-8"), shared + 1, 6)
-        return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+def _number(df: DataFrame, name: str) -> Column:
+    """A dimension that isn't text as an order-preserving number."""
+    if isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.unix_micros(col(name).cast("timestamp")).cast("double")
     return col(name).cast("double")
 
 
+def text_cuts(values: DataFrame, cells: int) -> list[str]:
+    """The first values of ``cells`` equal shares of the rows of ``values`` (v string), but for the first share.
+
+    Whole values count, over all rows: different ones are counted, put in
+    order over several tasks, and each task's running sum goes on from the
+    sums of those before it. A value belongs to the share in which its first
+    row lies; shares in which no value begins have none.
+    """
+    spark = values.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = values.where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    ordered = stored(counted.repartitionByRange(width, "v").select("v", "n", F.spark_partition_id().alias("part")))
+    sums = sorted((r.part, r.n) for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row for each task
+    total = sum(n for _, n in sums)
+    if not total:
+        return []
+    before, seen = [], 0
+    for part, n in sums:
+        before.append((part, seen))
+        seen += n
+    offset = F.broadcast(spark.createDataFrame(before, "part int, seen long"))
+    walk = Window.partitionBy("part").orderBy("v")
+    behind = F.coalesce(F.sum("n").over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ordered.withColumn("behind", behind).join(offset, "part")
+    placed = placed.select("part", "v", F.floor((F.col("seen") + F.col("behind")).cast("decimal(28,0)") * cells / total).cast("int").alias("cell"))
+    heads = placed.withColumn("last", F.lag("cell").over(walk)).where("last is null or last <> cell").select("v", "cell").collect()  # at most one for each cell and task
+    out, at = [], 0
+    for r in sorted(heads):
+        if r.cell > at:
+            out.append(r.v)
+            at = r.cell
+    return out
+
+
 def hilbert_shards(
     docs: DataFrame,
     dimensions: Sequence[str] = DIMENSIONS,
@@ -75,53 +102,65 @@ def hilbert_shards(
     size: str = "n_chars",
     index_column: str = "curve_index",
     shard_column: str = "shard_id",
+    most_shards: int = MOST_SHARDS,
 ) -> DataFrame:
     """``docs`` in runs along a Hilbert curve, one partition to a shard.
 
     Each dimension is quantised to ``2**bits`` cells of about equal numbers
-    of rows. Cells are walked along the curve and cut into runs of
-    ``shard_chars``; a cell of more than an eighth of that is spread over its
-    length of the walk by a hash of the row, so no run is much longer than
-    asked. Row group statistics of the written files
-    then prune on any dimension. Only the table of occupied cells, of
-    ``2**(bits * dimensions)`` rows at most, is sent to all executors.
+    of rows, texts by their whole values. Cells are walked along the curve
+    and cut into runs of ``shard_chars``, or of more if there were over
+    ``most_shards``. If more than MOST_CELLS are occupied, the curve's last
+    steps are left out until there are fewer, as its beginnings are a coarser
+    curve; so only a table of bounded size is sent to all executors. A cell
+    of more than an eighth of a run is spread over its length of the walk by
+    a hash of the row, so no run is much longer than asked. Row group
+    statistics of the written files then prune on any dimension.
 
     Defined results: nulls lie in the first cell of a dimension; a missing or
     negative size counts as 0; ties of all dimensions share a cell; repeated
     rows go to the same shard. The two columns made replace columns of the
     same name; other columns pass through. An empty table gives an empty one.
     """
-    if bits * len(dimensions) > 20:
-        raise ValueError("bits times dimensions must be at most 20, so that the table of cells stays small")
+    if bits * len(dimensions) > 62:
+        raise ValueError("bits times dimensions must be at most 62")
     own = [n for n in docs.columns if n.lower() not in (index_column.lower(), shard_column.lower())]
     docs = docs.select(*cols(own))
-    amount, low, mass, start, u = fresh(docs, "cell_amount", "cell_low", "cell_mass", "cell_start", "cell_u")
-    texts = [d for d in dimensions if isinstance(docs.schema[d].dataType, (T.StringType, T.BinaryType))]
-    bounds: dict[str, tuple] = {}
-    if texts:
-        row = docs.agg(*(f(col(d).cast("string")) for d in texts for f in (F.min, F.max))).first()
-        bounds = {d: (row[2 * i], row[2 * i + 1]) for i, d in enumerate(texts)}
-    numbers = [_as_number(docs, d, bounds) for d in dimensions]
+    amount, start = fresh(docs, "cell_amount", "cell_start")
+    is_text = [isinstance(docs.schema[d].dataType, (T.StringType, T.BinaryType)) for d in dimensions]
+    values = [col(d).cast("string") if text else _number(docs, d) for d, text in zip(dimensions, is_text)]
     ranks = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts_row = docs.agg(*(F.percentile_approx(x, ranks, 10000).alias(f"c{i}") for i, x in enumerate(numbers))).first()
-    cuts = [np.unique(np.array(cuts_row[i] or [], float)) for i in range(len(numbers))]
+    numbers = [F.percentile_approx(x, ranks, 10000).alias(f"c{i}") for i, (x, text) in enumerate(zip(values, is_text)) if not text]
+    found = docs.agg(*numbers).first().asDict() if numbers else {}
+    cuts = [text_cuts(docs.select(x.alias("v")), 1 << bits) if text else np.unique(np.array(found[f"c{i}"] or [], float)) for i, (x, text) in enumerate(zip(values, is_text))]
+
+    def cell(s: pd.Series, c) -> np.ndarray:
+        if isinstance(c, list):
+            code, each = pd.factorize(s)
+            return np.append([bisect_right(c, v) for v in each], 0)[code]  # -1, the last, is null
+        return np.where(s.isna(), 0, np.searchsorted(c, s.to_numpy(float, na_value=-np.inf), side="right"))
 
     @F.pandas_udf("long")
     def place(*dims: pd.Series) -> pd.Series:
-        cells = [np.where(s.isna(), 0, np.searchsorted(c, s.to_numpy(float, na_value=-np.inf), side="right")) for s, c in zip(dims, cuts)]
-        return pd.Series(hilbert_index(np.stack(cells, 1), bits))
+        return pd.Series(hilbert_index(np.stack([cell(s, c) for s, c in zip(dims, cuts)], 1), bits))
 
     weight = F.greatest(F.coalesce(col(size).cast("long"), F.lit(0)), F.lit(0))
-    indexed = docs.withColumn(index_column, place(*numbers))
-    per_cell = indexed.groupBy(index_column).agg(F.sum(weight).alias(amount))
-    walk = Window.orderBy(index_column).rowsBetween(Window.unboundedPreceding, -1)  # at most 2**20 rows
+    indexed = docs.withColumn(index_column, place(*values))
+    per_cell = stored(indexed.groupBy(index_column).agg(F.sum(weight).alias(amount)))
+    total = per_cell.agg(F.sum(amount)).first()[0] or 0
+    shard_chars = max(shard_chars, -(-total // most_shards))
+    shift = 0
+    coarse = lambda: F.shiftright(F.col(index_column), shift)
+    while per_cell.select(coarse()).distinct().count() > MOST_CELLS:
+        shift += len(dimensions)
+    per_cell = per_cell.groupBy(coarse().alias(index_column)).agg(F.sum(amount).alias(amount))
+    walk = Window.orderBy(index_column).rowsBetween(Window.unboundedPreceding, -1)  # at most MOST_CELLS rows
     cells = stored(per_cell.select(F.col(index_column), F.col(amount), F.coalesce(F.sum(amount).over(walk), F.lit(0)).alias(start)))
-    last = cells.agg((F.floor((F.max(F.col(start) + F.col(amount))) / shard_chars) + 1).alias("n")).first().n
     share = F.pmod(F.xxhash64(*cols([n for n in ("doc_id", size) if n in own])), F.lit(1 << 20)) / float(1 << 20)
     spread = F.when(F.col(amount) * 8 > shard_chars, share * F.col(amount)).otherwise(0.0)
-    sharded = indexed.join(F.broadcast(cells), index_column).withColumn(shard_column, F.floor((F.col(start) + spread) / shard_chars).cast("int"))
+    sharded = indexed.withColumn(index_column, coarse()).join(F.broadcast(cells), index_column)
+    sharded = sharded.withColumn(shard_column, F.floor((F.col(start) + spread) / shard_chars).cast("int"))
     inside = [index_column] + [n for n in ("doc_id",) if n in own]
-    return sharded.repartitionById(int(last or 1), F.col(shard_column)).sortWithinPartitions(*inside).select(*cols(own), index_column, shard_column)
+    return sharded.repartitionById(total // shard_chars + 1, F.col(shard_column)).sortWithinPartitions(*inside).select(*cols(own), index_column, shard_column)
 
 
 def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

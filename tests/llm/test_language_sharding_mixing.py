@@ -178,6 +178,34 @@ def test_shard_edges(spark):
     assert len(sizes) >= 19 and max(sizes.values()) < 200
 
 
+def test_texts_are_cut_by_whole_values(spark):
+    rng = random.Random(9)
+    urls = [f"https://www.{rng.choice(['alpha', 'beta', 'gamma', 'delta', 'omega', 'sigma', 'tau'])}.example.com/archive/{rng.randint(0, 10**9)}" for _ in range(2000)]
+    for more in ([], ["", "~", None, None]):
+        rows = [(i, "t", None, u, 1) for i, u in enumerate([*urls, *more])]
+        got = H.hilbert_shards(spark.createDataFrame(rows, DOCS), ("source",), bits=5).collect()
+        cells = Counter(r.curve_index for r in got)
+        assert len(cells) == 32 and max(cells.values()) < 1.2 * len(rows) / 32 + 5
+        by_value = sorted((r.source or "", r.curve_index) for r in got if r.source is not None)
+        assert [c for _, c in by_value] == sorted(c for _, c in by_value)
+    assert H.text_cuts(spark.createDataFrame([("a",)] * 90 + [("b",)] * 5 + [("c",)] * 5, "v string"), 4) == ["b"]
+    assert H.text_cuts(spark.createDataFrame([], "v string"), 4) == []
+    assert H.text_cuts(spark.createDataFrame([("a",)] * 40 + [("b",)] * 40 + [("c",)] * 20, "v string"), 4) == ["b", "c"]
+
+
+def test_the_table_of_cells_is_bounded(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = {r.doc_id: r.curve_index for r in H.hilbert_shards(df, shard_chars=100000).collect()}
+    monkeypatch.setattr(H, "MOST_CELLS", 60)
+    few = {r.doc_id: r.curve_index for r in H.hilbert_shards(df, shard_chars=100000).collect()}
+    assert 10 < len(set(few.values())) <= 60 < len(set(whole.values())) and few.keys() == whole.keys()
+    assert len({(whole[i] >> 1).bit_length() - few[i].bit_length() for i in few if few[i] > 3} - set(range(0, 40))) == 0
+    order = sorted(whole, key=whole.get)
+    assert [few[i] for i in order] == sorted(few.values())
+    wide = H.hilbert_shards(df, shard_chars=1000, most_shards=7)
+    assert wide.select("shard_id").distinct().count() in (7, 8) and wide.rdd.getNumPartitions() <= 8
+
+
 def expected(rows, weights=None):
     tokens, out = Counter(), Counter()
     for _, t, _, s, _ in rows:
