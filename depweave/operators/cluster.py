@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import os
 import threading
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import is_file, label
+from .storage import numbered, stored
 
 BATCH = 8
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 5, 1.0, 32.0
@@ -117,23 +121,94 @@ def map_concurrently(items: Iterable, workers: int, run: Callable, progress: Cal
         return list(pool.map(one, items))
 
 
+PROMPT = (
+    "You describe the architecture of software. You are given a group of files that belong together, as JSON: each file's classes, functions, "
+    "doc comments and the files it imports, taken from its syntax. Say shortly what the group does as a whole and what each file is for. "
+    "Keep to the facts given, and write no code."
+)
+TEMPERATURE, MOST_TOKENS = 0.3, 1024
+
+
+def request(payload: list[dict], model: str) -> dict:
+    """What is sent for one batch: the prompt and the payload as chat messages, with the sampling parameters."""
+    talk = [{"role": "system", "content": PROMPT}, {"role": "user", "content": json.dumps(payload, indent=2, ensure_ascii=False)}]
+    return {"model": model, "messages": talk, "temperature": TEMPERATURE, "max_tokens": MOST_TOKENS}
+
+
+def service(post: Callable[[dict], tuple[int, str]], model: str) -> Callable[[list[dict]], str]:
+    """A call for :func:`summarise` over ``post``, which sends a request and gives status and body."""
+
+    def call(payload: list[dict]) -> str:
+        status, body = post(request(payload, model))
+        if status == 429:
+            raise TooManyRequests("rate limited")
+        if not 200 <= status < 300:
+            raise RuntimeError(f"the service answered {status}: {body}")
+        choices = json.loads(body).get("choices") or [{}]
+        return (choices[0].get("message") or {}).get("content") or ""
+
+    return call
+
+
 def summarise(nodes: DataFrame, edges: DataFrame, call: Callable[[list[dict]], str], workers: int = 2, bucket: TokenBucket | None = None, only: list[dict] | None = None) -> tuple[DataFrame, list[dict]]:
     """(``nodes`` with ``semantic_summary``, failed batches): one call for each batch of files.
 
-    The call is the caller's, as the service is. ``only`` are failed batches
-    of an earlier run; they are then tried alone. Batches come to the
-    driver one after another, as it makes the calls.
+    The call is the caller's, as the service is; the driver makes the calls
+    and holds the payloads of some batches at a time. ``only`` are failed
+    batches of an earlier run; they are then tried alone.
     """
+    spark = nodes.sparkSession
+    names = ("ast_classes", "ast_functions", "ast_docstrings", "graph_edges_to")
     if only is None:
-        place = F.dense_rank().over(Window.orderBy("community", "batch"))  # a row for each file
-        grouped = batches(nodes).withColumn("index", place - 1).join(payloads(nodes, edges).withColumnRenamed("file", "id"), "id")
-        rows = grouped.groupBy("index").agg(F.array_sort(F.collect_list(F.struct("id", "ast_classes", "ast_functions", "ast_docstrings", "graph_edges_to"))).alias("files")).orderBy("index").collect()
-        todo = [{"index": r.index, "batch": [f.id for f in r.files], "payload": [{"file": f.id, **{k: f[k] for k in ("ast_classes", "ast_functions", "ast_docstrings", "graph_edges_to")}} for f in r.files]} for r in rows]
+        placed = batches(nodes).withColumnRenamed("batch", "in_community")
+        index = numbered(placed.select("community", "in_community").distinct(), "community", "in_community", name="index")
+        placed = stored(placed.alias("a").join(index.alias("b"), F.expr("a.community <=> b.community and a.in_community = b.in_community")).select("index", "id"))
+        told = placed.join(payloads(nodes, edges).withColumnRenamed("file", "id"), "id")
+        grouped = told.groupBy("index").agg(F.array_sort(F.collect_list(F.struct("id", *names))).alias("files"))
+        total = grouped.count()
+        todo = ({"index": r["index"], "batch": [f.id for f in r.files], "payload": [{"file": f.id, **{k: f[k] for k in names}} for f in r.files]} for r in grouped.orderBy("index").toLocalIterator())
     else:
-        todo = [dict(t) for t in only]
-    results = map_concurrently(todo, workers, lambda t: call_with_retry(lambda: call(t["payload"]), bucket))
-    failed = [{**t, "error": str(e), "totalClusters": t.get("totalClusters", len(todo))} for t, (_, e) in zip(todo, results) if e is not None]
-    told = [(i, text) for t, (text, e) in zip(todo, results) if e is None for i in t["batch"]]
-    summary = nodes.sparkSession.createDataFrame(told, "id string, told string")
+        total = len(only)
+        todo = (dict(t) for t in only)
+        placed = spark.createDataFrame([(t["index"], i) for t in only for i in t["batch"]], "index long, id string")
+    texts, failed = [], []
+    while some := list(islice(todo, workers * 16)):
+        for t, (text, e) in zip(some, map_concurrently(some, workers, lambda t: call_with_retry(lambda: call(t["payload"]), bucket))):
+            if e is None:
+                texts.append((t["index"], text))
+            else:
+                failed.append({**t, "error": str(e), "totalClusters": t.get("totalClusters", total)})
+    summary = placed.join(spark.createDataFrame(texts, "index long, told string"), "index").select("id", "told")
     old = F.col("semantic_summary") if "semantic_summary" in nodes.columns else F.lit(None).cast("string")
     return nodes.join(summary, "id", "left").withColumn("semantic_summary", F.coalesce("told", old)).drop("told"), failed
+
+
+def read_settings(path: str) -> dict:
+    """Saved settings, none if they can't be read."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        return held if isinstance(held, dict) else {}
+    except (OSError, ValueError):
+        return {}
+
+
+def credentials(path: str, env: Mapping[str, str], key_name: str, model: str | None = None, reset: bool = False, ask: Callable[[str], str | None] | None = None) -> tuple[str, str] | None:
+    """(key, model): the key from the environment before the saved one, the model as given before the saved one.
+
+    What is missing is asked for and saved; without an answer there is None.
+    """
+    saved = {} if reset else read_settings(path)
+    if model:
+        saved["model"] = model
+    key = env.get(key_name) or saved.get("apiKey") or (ask("key") if ask else None)
+    named = saved.get("model") or (ask("model") if ask else None)
+    if not key or not named:
+        return None
+    if not env.get(key_name):
+        saved["apiKey"] = key
+    saved["model"] = named
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8") as f:
+        json.dump(saved, f, indent=2)
+    return key, named

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .storage import stored
 
@@ -17,14 +16,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    over = Window.partitionBy("u")
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(over), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        starred = large.where("u <> v").distinct().withColumn("m", F.min("v").over(over))
+        large = _starred(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        small = _starred(large.where("u <> v").distinct())
         pair = lambda a: F.struct(F.col(a).alias("u"), F.col("m").alias("v"))
-        links = stored(starred.select(F.explode(F.array(pair("v"), pair("u"))).alias("e")).select("e.*").where("u <> v").distinct())
+        links = stored(small.select(F.explode(F.array(pair("v"), pair("u"))).alias("e")).select("e.*").where("u <> v").distinct())
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least"))
         before = now
+
+
+def _starred(links: DataFrame) -> DataFrame:
+    """``links`` (u, v) with the least v of each u as m: by a join, which unlike a window may split the links of a hub."""
+    return links.join(links.groupBy("u").agg(F.min("v").alias("m")), "u")

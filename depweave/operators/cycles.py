@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_file, label
@@ -141,32 +141,62 @@ def cyclic_nodes(nodes: DataFrame, edges: DataFrame, enough: int = DRIVER_LINKS)
     """(id) of files that lead to themselves, in whatever order they are walked.
 
     Links off cycles are dropped from both ends until ``enough`` are left for
-    one walk on the driver. If more than that lie between cycles, pairs of
-    nodes are followed in Spark, each round doubling the steps they cover.
+    one walk on the driver. If more than that lie between cycles, strong
+    components are found in Spark by :func:`strong_components`.
     """
-    core = without_sinks(without_sinks(_links(nodes, edges).select("src", "dst"), enough=enough), "src", "dst", enough)
-    before = core.count()
-    if before <= enough:
+    spark = nodes.sparkSession
+    links = _links(nodes, edges).select("src", "dst")
+    core = without_sinks(without_sinks(links, enough=enough), "src", "dst", enough)
+    if core.count() <= enough:
         out: dict[str, list[str]] = {}
         for r in core.toLocalIterator():
             out.setdefault(r.src, []).append(r.dst)
-        return nodes.sparkSession.createDataFrame([(n,) for n in strongly_cyclic(out)], "id string")
-    reached = core
+        return spark.createDataFrame([(n,) for n in strongly_cyclic(out)], "id string")
+    loops = core.where("src = dst").select(F.col("src").alias("id"))
+    return strong_components(core).select("id").unionByName(loops).distinct()
+
+
+def strong_components(links: DataFrame) -> DataFrame:
+    """(id, component): nodes of the strong components of two nodes and more, named by their greatest id.
+
+    Every node takes the greatest id that leads to it, over and over; those
+    that then lead back to the node of that id, within its colour, are its
+    component. Components found and links between colours go, as no cycle
+    uses them, and the rest is done again. A round moves a row for each link
+    at most, and there are as many as the longest way within a colour.
+    """
+    links = stored(links.where("src <> dst").distinct())
+    found = None
     while True:
-        ahead = reached.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
-        longer = reached.join(ahead, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst"))
-        reached = stored(reached.unionByName(longer).distinct())
-        now = reached.count()
-        if now == before:
-            return reached.where("src = dst").select(F.col("src").alias("id"))
-        before = now
+        links = without_sinks(without_sinks(links, enough=0), "src", "dst", 0)
+        if links.isEmpty():
+            break
+        color = stored(links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("color", F.col("id")))
+        while True:
+            ahead = links.join(color.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("color").alias("more"))
+            grown = F.greatest("color", F.coalesce("more", "color"))
+            step = stored(color.join(ahead, "id", "left").select("id", grown.alias("color"), (grown != F.col("color")).alias("moved")))
+            color = step.select("id", "color")
+            if step.where("moved").isEmpty():
+                break
+        within = stored(
+            links.join(color.select(F.col("id").alias("src"), "color"), "src").join(color.select(F.col("id").alias("dst"), F.col("color").alias("other")), "dst").where("color = other").select("src", "dst", "color")
+        )
+        frontier = stored(color.where("id = color").select("id"))
+        member = frontier
+        while not frontier.isEmpty():
+            back = within.join(frontier.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct()
+            frontier = stored(back.join(member, "id", "left_anti"))
+            member = stored(member.unionByName(frontier))
+        here = color.join(member, "id", "left_semi")
+        many = here.groupBy("color").count().where("count > 1").select("color")
+        here = here.join(many, "color", "left_semi").select("id", F.col("color").alias("component"))
+        found = here if found is None else found.unionByName(here)
+        gone = member.select(F.col("id").alias("src"))
+        links = stored(within.select("src", "dst").join(gone, "src", "left_anti").join(member.select(F.col("id").alias("dst")), "dst", "left_anti"))
+    return found if found is not None else links.select(F.col("src").alias("id"), F.col("dst").alias("component"))
 
 
 def cycle_ids(cycles: DataFrame, target: str) -> list[int]:
     """Ids of the cycles that ``target`` is in."""
     return [r.id for r in cycles.where(F.exists("files", lambda f: f["id"] == target)).select("id").orderBy("id").collect()]
-
-
-def as_edges(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Edges (ord, src, dst, relation, relationship) from pairs, in their order."""
-    return spark.createDataFrame([(i, a, b, None, "imports") for i, (a, b) in enumerate(pairs)], "ord long, src string, dst string, relation string, relationship string")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import clamp, common_root, dirname, extension, is_entity, is_file, label, parent, relative_path
 from ..functions.languages import language
 from .components import components
+from .storage import numbered, stored
 
 PALETTE = tuple(f"#{c}" for c in "4E79A7 F28E2B E15759 76B7B2 59A14F EDC948 B07AA1 FF9DA7 9C755F BAB0AC AF7AA1 86BCB6".split())
 EXTERNAL_COLOR, ENTITY_COLOR, PLAIN_COLOR = "#2d6a4f", "#6a2d6a", "#94a3b8"
@@ -24,10 +25,11 @@ def undirected(files: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(files.select(F.col("id").alias("a")), "a", "left_semi").join(files.select(F.col("id").alias("b")), "b", "left_semi")
 
 
-def louvain_partition(order: list[str], links: list[tuple[str, str]]) -> dict[str, int]:
-    """Communities of one connected graph by modularity, the same at every run.
+def louvain_partition(order: list[str], links: list[tuple[str, str]], of: int | None = None) -> dict[str, int]:
+    """Communities of one connected part by modularity, the same at every run.
 
-    Nodes are visited in ``order`` and move to the neighbouring community
+    ``of`` is the number of links of the whole graph, if there is more of it
+    than these, as modularity weighs links by all. Nodes are visited in ``order`` and move to the neighbouring community
     that gains most, ties to the one first met in that order; communities
     then become the nodes of the next level.
     """
@@ -38,8 +40,8 @@ def louvain_partition(order: list[str], links: list[tuple[str, str]]) -> dict[st
         weight[place[b]][place[a]] += 1.0
     own = list(range(len(order)))
     loops = [0.0] * len(order)
-    total = float(len(links)) * 2
-    if not total:
+    total = float(of or len(links)) * 2
+    if not links:
         return {n: i for i, n in enumerate(order)}
     while True:
         n = len(weight)
@@ -93,7 +95,8 @@ def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     files = nodes.where(is_file(F.col("external"), F.col("kind")))
     order = F.col("ord").cast("long") if "ord" in nodes.columns else F.lit(0).cast("long")
     files = files.select("id", order.alias("ord"))
-    pairs = undirected(files, edges)
+    pairs = stored(undirected(files, edges))
+    whole = pairs.count()
     groups = components(pairs)
     member = pairs.join(groups, pairs.a == groups.node, "left").select(F.coalesce("least", "a").alias("component"), "a", "b")
     ords = files.select(F.col("id").alias("a"), F.col("ord").alias("oa"))
@@ -102,7 +105,7 @@ def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         seen = dict(zip(pdf.a, pdf.oa)) | dict(zip(pdf.b, pdf.ob))
         names = sorted(seen, key=lambda n: (seen[n], n))
-        part = louvain_partition(names, sorted(zip(pdf.a, pdf.b)))
+        part = louvain_partition(names, sorted(zip(pdf.a, pdf.b)), whole)
         first: dict[int, str] = {}
         for n in names:
             first.setdefault(part[n], n)
@@ -130,8 +133,7 @@ def community_names(members: DataFrame) -> DataFrame:
 def community_palette(members: DataFrame) -> DataFrame:
     """(community, color_idx) from (community, ord): places 0 to 11 in order of the communities' first members."""
     first = members.groupBy("community").agg(F.min("ord").alias("first"))
-    place = F.row_number().over(Window.orderBy("first", "community"))  # a row for each community
-    return first.select("community", ((place - 1) % len(PALETTE)).cast("long").alias("color_idx"))
+    return numbered(first, "first", "community").select("community", (F.col("n") % len(PALETTE)).cast("long").alias("color_idx"))
 
 
 def entity_communities(nodes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import resolve as resolve_path
-from .storage import stored
+from .storage import numbered, stored
 
 CHOICES = 25
 
@@ -64,6 +64,27 @@ def distances(links: DataFrame, starts: DataFrame) -> DataFrame:
     return reached
 
 
+def eccentricity(links: DataFrame, starts: DataFrame) -> int:
+    """The largest distance of anything from one of ``starts`` (id) that reaches it; 0 if they reach nothing.
+
+    Starts go in groups of 64: a row holds a node, a group and the bits of
+    those that have reached it. A level is one join of the frontier with the
+    links and one with what was reached, which is written anew.
+    """
+    links = stored(links.select("src", "dst").distinct())
+    n = numbered(starts.select("id").join(links.select(F.col("src").alias("id")), "id", "left_semi"), "id")
+    seen = stored(n.select((F.col("n") / 64).cast("long").alias("grp"), "id", F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("n") % 64).cast("int")).alias("bits")).withColumn("new", F.col("bits")))
+    depth = 0
+    while True:
+        frontier = seen.where("new <> 0").select("grp", F.col("id").alias("src"), "new")
+        ahead = frontier.join(links, "src").groupBy("grp", F.col("dst").alias("id")).agg(F.bit_or("new").alias("come"))
+        bits, come = F.coalesce("bits", F.lit(0)), F.coalesce("come", F.lit(0))
+        seen = stored(seen.drop("new").join(ahead, ["grp", "id"], "full").select("grp", "id", bits.bitwiseOR(come).alias("bits"), come.bitwiseAND(F.bitwise_not(bits)).alias("new")))
+        if seen.where("new <> 0").isEmpty():
+            return depth
+        depth += 1
+
+
 def shortest_path(edges: DataFrame, source: str, target: str, order: DataFrame | None = None) -> list[str] | None:
     """The nodes of a shortest directed path, None if there is none.
 

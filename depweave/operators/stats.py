@@ -7,17 +7,40 @@ of :mod:`depweave.schema` that it uses and returns a DataFrame.
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import dirname, fixed, is_entity, is_file, label, parent
 from .cycles import cycle_ids
-from .query import distances, roots
+from .query import eccentricity, roots
 
 TOP = 5
 
 
+def how_many(top: object = TOP, every: bool = False) -> int | None:
+    """The k of a top-k from what was asked for: None for all, TOP for 0 and what isn't a number."""
+    if every:
+        return None
+    try:
+        return int(float(str(top))) or TOP
+    except (ValueError, OverflowError):
+        return TOP
+
+
+def write_stats(stats: dict, path: str | None = None) -> str:
+    """The figures as JSON, written to ``path``, whose folders are made, if there is one."""
+    text = json.dumps(stats, indent=2, ensure_ascii=False)
+    if path is not None:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+    return text
+
+
 def _files(nodes: DataFrame) -> DataFrame:
     return nodes.where(is_file(F.col("external"), F.col("kind")))
 
@@ -94,8 +117,7 @@ def max_dep_chain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: the largest distance of a file from a file that no file imports; 0 without such."""
     files = _files(nodes).select("id")
     links = file_edges(files, edges)
-    reach = distances(links, roots(files, links))
-    return reach.agg(_long(F.coalesce(F.max("depth"), F.lit(0))).alias("max_depth"))
+    return nodes.sparkSession.createDataFrame([(eccentricity(links, roots(files, links)),)], "max_depth long")
 
 
 def file_edges(files: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from ..operators.cache import split_by_cache, updated_cache
-from ..operators.storage import stored
+from ..operators.storage import scratch, stored
 from ..schema import CACHE
 from ..sources.graph_files import read_cache, write_cache
 
@@ -48,6 +48,7 @@ def follow(listings: DataFrame, path: str, checkpoint: str, parse: Callable[[Dat
         cache = read_cache(spark, path)
         if cache is None:
             cache = spark.createDataFrame([], CACHE)
-        write_cache(apply_listing(cache, batch, parse), path)
+        with scratch(spark):
+            write_cache(apply_listing(cache, batch, parse), path)
 
     return listings.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from depweave.operators import cluster as K
@@ -81,3 +83,29 @@ def test_viewer(graph):
     on_nodes, on_edges = ui.in_cycles(nodes, edges, cycles.detect_cycles(nodes, edges))
     assert {r.id for r in on_nodes.collect()} == {"a", "b"} and on_edges.count() == 3
     assert tuple(ui.bounds(nodes).first()) == (-0.5, -45.0, 11.0, 100.0)
+
+
+def test_the_service():
+    sent = []
+
+    def post(body, answers=iter([(200, '{"choices": [{"message": {"content": "good"}}]}'), (200, "{}"), (429, ""), (500, "down")])):
+        sent.append(body)
+        return next(answers)
+
+    call = K.service(post, "some-model")
+    assert call([{"file": "a"}]) == "good" and call([]) == ""
+    with pytest.raises(K.TooManyRequests):
+        call([])
+    with pytest.raises(RuntimeError, match="500: down"):
+        call([])
+    assert sent[0]["model"] == "some-model" and sent[0]["temperature"] == 0.3 and sent[0]["max_tokens"] == 1024
+    assert [m["role"] for m in sent[0]["messages"]] == ["system", "user"] and '"file": "a"' in sent[0]["messages"][1]["content"]
+
+
+def test_credentials(tmp_path):
+    path = str(tmp_path / "c" / "config.json")
+    assert K.credentials(path, {}, "KEY") is None
+    assert K.credentials(path, {}, "KEY", ask={"key": "k1", "model": "m1"}.get) == ("k1", "m1") == K.credentials(path, {}, "KEY")
+    assert K.credentials(path, {"KEY": "k2"}, "KEY", model="m2") == ("k2", "m2") and K.credentials(path, {}, "KEY") == ("k1", "m2")
+    assert K.credentials(path, {}, "KEY", reset=True) is None
+    assert K.read_settings(str(tmp_path / "none")) == {} and os.stat(path).st_mode & 0o077 == 0

@@ -121,3 +121,42 @@ def test_neighbours(graph):
     ns, es = graph(files("ab") + [("a::f", "function")], [("a", "b"), ("a", "b"), ("a", "=a::f")])
     assert {r.id for r in Q.dependencies_of(ns, es, "a").collect()} == {"b", "a::f"}
     assert {r.id for r in Q.dependents_of(ns, es, "b").collect()} == {"a"}
+
+
+def test_strong_components_in_spark(graph, spark):
+    rng = random.Random(8)
+    ids = [f"n{i:03d}" for i in range(120)]
+    links = [(rng.choice(ids), rng.choice(ids)) for _ in range(150)] + [("n000", "n000")] + [(f"r{i:02d}", f"r{(i + 1) % 30:02d}") for i in range(30)]
+    every = sorted({n for pair in links for n in pair})
+    reach = {n: {n} for n in every}
+    for _ in every:
+        for a, b in links:
+            reach[a] |= reach[b]
+    want = {}
+    for n in every:
+        mine = [m for m in reach[n] if n in reach[m]]
+        if len(mine) > 1:
+            want[n] = max(mine)
+    got = {r.id: r.component for r in C.strong_components(spark.createDataFrame(links, "src string, dst string")).collect()}
+    assert got == want and want["r00"] == "r29"
+    ns, es = graph([(n, "F") for n in every], links)
+    both = [{r.id for r in C.cyclic_nodes(ns, es, enough=k).collect()} for k in (0, 10**6)]
+    assert both[0] == both[1] == set(want) | {a for a, b in links if a == b}
+    assert C.strong_components(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")).collect() == []
+
+
+def test_eccentricity(spark):
+    rng = random.Random(2)
+    links = sorted({(f"n{rng.randint(0, 60):02d}", f"n{rng.randint(0, 60):02d}") for _ in range(90)})
+    starts = [f"n{i:02d}" for i in range(61)] + [f"s{i:03d}" for i in range(100)]
+    links += [(f"s{i:03d}", f"n{i % 61:02d}") for i in range(100)]
+    most = 0
+    for s in starts:
+        depth, frontier, seen = 0, {s}, {s}
+        while frontier := {b for a, b in links if a in frontier} - seen:
+            depth += 1
+            seen |= frontier
+        most = max(most, depth)
+    df = spark.createDataFrame(links, "src string, dst string")
+    assert Q.eccentricity(df, spark.createDataFrame([(s,) for s in starts], "id string")) == most
+    assert Q.eccentricity(df, spark.createDataFrame([], "id string")) == 0

@@ -1,3 +1,4 @@
+import json
 from depweave.operators import cycles as C
 from depweave.operators import stats as S
 
@@ -113,3 +114,10 @@ def test_rounding():
     from depweave.functions.columns import fixed
 
     assert fixed(0.15, 1) == 0.1 and fixed(1.005, 2) == 1.0 and fixed(2.5, 0) == 3 and fixed(200 / 3, 1) == 66.7
+
+
+def test_asked_for_numbers_and_files(tmp_path):
+    assert [S.how_many(x) for x in ("7", 3, "0", "x", None, "2.9", "inf")] == [7, 3, 5, 5, 5, 2, 5] and S.how_many("3", every=True) is None
+    path = tmp_path / "a" / "b" / "stats.json"
+    text = S.write_stats({"a": [1, None]}, str(path))
+    assert json.loads(path.read_text()) == json.loads(S.write_stats({"a": [1, None]})) == {"a": [1, None]} and text == path.read_text()
