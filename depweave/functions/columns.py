@@ -89,6 +89,28 @@ def rotation(nodes: Column) -> Column:
     return F.array_join(turned, "|")
 
 
+def display(id_: Column, label_: Column, kind: Column, external: Column, folder: str = "/") -> Column:
+    """(color, text) of a node in a list: externals by id, classes, functions and entities by label, the rest by path."""
+    named = F.coalesce(F.nullif(label_, F.lit("")), id_)
+    near = relative_path(id_, folder)
+    show = lambda color, text: F.struct(F.lit(color).alias("color"), text.alias("text"))
+    return (
+        F.when(F.coalesce(external, F.lit(False)), show("yellow", id_))
+        .when(kind == "class", show("green", named))
+        .when(kind.isin("function", "entity"), show("magenta", named))
+        .otherwise(show("cyan", F.coalesce(F.nullif(near, F.lit("")), id_)))
+    )
+
+
+def newer(a: Column, b: Column) -> Column:
+    """Whether version ``a`` is above ``b`` by its first three numbers; a part that isn't a number decides nothing."""
+    out = F.lit(False)
+    for i in (3, 2, 1):
+        x, y = (F.split_part(v, F.lit("."), F.lit(i)).try_cast("double") for v in (a, b))
+        out = F.when(x > y, True).when(x < y, False).otherwise(out)
+    return out
+
+
 def common_root(paths: DataFrame, path: str = "path") -> str:
     """The longest folder that holds all files, ``/`` if there is no other and '' without files.
 

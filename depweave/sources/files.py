@@ -5,13 +5,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import reach_workers
 from ..functions.languages import LANGUAGE_OF, STACKS, detect_stack, manifest_names
+from ..operators.storage import numbered
 from ..schema import FILES
 
 MOST_BYTES = 2 << 20
@@ -125,33 +130,78 @@ def list_files(spark: SparkSession, *roots: str, rules: IgnoreRules | None = Non
     return spark.createDataFrame([(*row, i) for i, row in enumerate(seen.values())], FILES), ignored
 
 
-def scan_files(spark: SparkSession, *paths: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """path, ext, size, mtime_ms, ord, content of source files below folders of any file system Spark reads.
+def _ignored_at(path: Column, rules: IgnoreRules) -> Column:
+    """The topmost part of a relative path that the rules ignore, null if none does; all in the JVM."""
 
-    Size and extension are judged on the listing, before a byte is read.
-    Numbers follow the paths' order by a hash-free rule: the path itself.
+    def ignored(p: Column) -> Column:
+        out = F.lit(False)
+        for takes, regex in rules.rules:
+            out = F.when(p.rlike("(?s)^" + regex.pattern.removesuffix(r"\Z") + r"\z"), takes).otherwise(out)
+        return out
+
+    steps = F.split(path, "/")
+    tops = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+    return F.get(F.filter(tops, ignored), 0)
+
+
+def scan_listing(spark: SparkSession, *roots: str, rules: IgnoreRules | None = None, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(files, ignored): source files below folders of any file system Spark lists, and (root, path) of what the rules ignore.
+
+    Only the listing is read. Rules see paths relative to their root and
+    hold for all below; an ignored folder counts once, at its top, if it
+    holds a file. A file below two roots counts once. ``ord`` numbers the
+    files in the order of their paths.
     """
     reach_workers(spark)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    every, ignored = None, None
+    for root in roots:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        path = F.regexp_replace("path", "^file:/+", "/")
+        base = re.sub("^file:/+", "/", root).rstrip("/") + "/"
+        listed = found.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"))
+        listed = listed.withColumn("rel_path", F.when(F.col("path").startswith(base), F.substring("path", len(base) + 1, 1 << 30)).otherwise(F.element_at(F.split("path", "/"), -1)))
+        if rules is not None and rules.rules:
+            listed = listed.withColumn("at", _ignored_at(F.col("rel_path"), rules))
+            gone = listed.where("at is not null").select(F.lit(root).alias("root"), F.col("at").alias("path")).distinct()
+            listed = listed.where("at is null").drop("at")
+            ignored = gone if ignored is None else ignored.unionByName(gone)
+        every = listed if every is None else every.unionByName(listed)
     ext = F.lower(F.regexp_extract("path", r"[^./][^/]*?(\.[^./]*)$", 1))
-    kept = found.where((F.col("length") <= most_bytes) & ext.isin(*LANGUAGE_OF))
-    path = F.regexp_replace("path", "^file:/+", "/")
-    return kept.select(path.alias("path"), ext.alias("ext"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.abs(F.xxhash64("path")).bitwiseAND((1 << 34) - 1).alias("ord"), "content")
+    kept = every.where(F.col("size") <= most_bytes).withColumn("ext", ext).where(F.col("ext").isin(*LANGUAGE_OF))
+    files = numbered(kept.dropDuplicates(["path"]), "path", name="ord").select(*(c.split()[0] for c in FILES.split(", ")))
+    return files, ignored if ignored is not None else spark.createDataFrame([], "root string, path string")
+
+
+def scan_files(spark: SparkSession, *roots: str, rules: IgnoreRules | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path, ord, content of the files of :func:`scan_listing`: the bytes of files that were left out aren't read."""
+    files, _ = scan_listing(spark, *roots, rules=rules, most_bytes=most_bytes)
+    return with_content(files)
+
+
+#: Files that a task reads at once.
+READERS = 8
 
 
 def with_content(files: DataFrame) -> DataFrame:
-    """``files`` with the bytes of each, null where they can't be read; every task reads its own."""
+    """``files`` with the bytes of each, null where they can't be read; every task reads its own, some at once.
+
+    Paths may be of any file system that Arrow knows.
+    """
+
+    def read(path: str) -> bytes | None:
+        try:
+            fs, name = pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{quote(path)}")
+            with fs.open_input_stream(name, compression=None) as f:
+                return f.read()
+        except (OSError, pa.ArrowInvalid):
+            return None
 
     def run(frames):
-        for frame in frames:
-            content = []
-            for p in frame.path:
-                try:
-                    with open(p, "rb") as f:
-                        content.append(f.read())
-                except OSError:
-                    content.append(None)
-            yield frame.assign(content=content)
+        with ThreadPoolExecutor(READERS) as pool:
+            for frame in frames:
+                for at in range(0, len(frame), 256):
+                    few = frame.iloc[at : at + 256]
+                    yield few.assign(content=list(pool.map(read, few.path)))
 
     return files.select("path", "ord").mapInPandas(run, "path string, ord long, content binary")
 
@@ -176,3 +226,33 @@ def packages(spark: SparkSession, folder: str) -> DataFrame:
     except OSError:
         names = set()
     return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+
+
+_PLAIN_FILES = "*.txt *.md *.json *.yaml *.yml *.toml *.cfg *.ini *.log *.csv *.svg *.png *.jpg *.jpeg *.gif *.ico *.woff *.woff2 *.eot *.ttf *.otf *.pdf"
+_SCRIPT_OUT, _PYTHON_OUT = "node_modules/ dist/ build/", "venv/ __pycache__/ .pytest_cache/ *.pyc dist/ build/"
+_STACK_OUT = {
+    **dict.fromkeys(("angular", "react", "vue", "svelte", "express", "fastify", "hono"), _SCRIPT_OUT),
+    **dict.fromkeys(("node", "nextjs"), _SCRIPT_OUT + " .next/"),
+    **dict.fromkeys(("python", "django", "flask", "fastapi"), _PYTHON_OUT),
+    "cpp": "build/ cmake-build-*/ .vscode/", "rust": "target/", "go": "", "php": "vendor/", "ruby": "vendor/bundle/", "java": "build/ .gradle/",
+}
+
+
+def write_ignore_file(folder: str, name: str = ".agentignore", out: str = "graph-out") -> str | None:
+    """A first ignore file for the folder's stack, and that stack; None, and nothing written, if there is one."""
+    stack = stack_of(folder)
+    parts = {
+        "Files without code": _PLAIN_FILES,
+        "Settings and plans": f".agents/ .opencode/ {name}",
+        "Versions": ".git/",
+        "Output": f"{out}/",
+        "Environment": ".env .env.local .env.*.local",
+        f"Of a project in {stack}": " ".join(p if p.endswith("/") else p + "/" for p in _STACK_OUT.get(stack, "").split()),
+        "Own patterns": "",
+    }
+    try:
+        with open(os.path.join(folder, name), "x", encoding="utf-8") as f:
+            f.write("\n".join(line for title, patterns in parts.items() for line in (f"# {title}", *patterns.split(), "")))
+    except FileExistsError:
+        return None
+    return stack

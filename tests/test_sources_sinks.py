@@ -1,11 +1,15 @@
 import json
 import os
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
 from depweave.functions.languages import detect_stack, language
 from depweave.operators import build, cache, enrich, extract
+from depweave.operators.storage import numbered, scratch, stored
 from depweave.sources import files as S
 from depweave.sources import graph_files as G
 
@@ -38,7 +42,20 @@ def test_discovery(spark, tree):
 
 def test_distributed_scan(spark, tree):
     got = S.scan_files(spark, str(tree / "src"))
-    assert names(got, tree) == ["src/helper.py", "src/index.js", "src/util.ts"] and {r.size for r in got.collect()} == {2}
+    assert names(got, tree) == ["src/helper.py", "src/index.js", "src/util.ts"] and {bytes(r.content) for r in got.collect()} == {b"x\n"}
+    assert [r.ord for r in got.orderBy("path").collect()] == [0, 1, 2]
+    (tree / "deep" / "er").mkdir(parents=True)
+    (tree / "deep" / "er" / "odd name #1.js").write_text("let a")
+    os.remove(tree / "link.js")  # the listing follows links, the walk doesn't
+    for patterns in ([".git", "node_modules", "dist"], ["src/*", "!src/util.ts"], ["dist/", "*.py"], ["deep", "!deep/er/*"], ["/src", "large*"], ["**/er"], []):
+        rules = S.IgnoreRules(patterns)
+        files, ignored = S.scan_listing(spark, str(tree), str(tree / "src"), rules=rules)
+        want = S.discover(str(tree), rules)
+        also = S.discover(str(tree / "src"), rules)
+        assert sorted(r.path for r in files.collect()) == sorted({f[0] for f in want.files} | {f[0] for f in also.files}), patterns
+        assert ignored.count() <= want.ignored + also.ignored and (ignored.count() > 0) == (want.ignored + also.ignored > 0)
+    text = {r.path[-7:]: bytes(r.content) for r in S.scan_files(spark, str(tree / "deep")).collect()}
+    assert text == {"e #1.js": b"let a"}
 
 
 @pytest.mark.parametrize(
@@ -171,3 +188,52 @@ def test_cache(spark, tmp_path):
     assert G.read_cache(spark, path).count() == 3
     G.read_cache(spark, path).withColumn("version", F.lit(99)).write.parquet(path + "99")
     assert G.read_cache(spark, path + "99") is None
+
+
+def test_numbering(spark):
+    df = spark.range(500).selectExpr("cast(id * 7919 % 500 as string) as k", "id % 3 as other").repartition(4)
+    got = numbered(df, "k").collect()
+    assert sorted((r.n, r.k) for r in got) == [(i, k) for i, k in enumerate(sorted(map(str, range(500))))]
+    assert numbered(df.where("false"), "k").collect() == []
+
+
+def test_scratch_goes(spark, tmp_path):
+    with scratch(spark):
+        held = stored(spark.range(3))
+        path = held.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert held.count() == 3 and os.path.isdir(path)
+    assert not os.path.exists(path)
+    kept = stored(spark.range(2)).inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(kept)
+
+
+def test_ignore_scaffold(tmp_path):
+    (tmp_path / "Cargo.toml").write_text("")
+    assert S.write_ignore_file(str(tmp_path)) == "rust"
+    rules = S.read_ignore_file(str(tmp_path))
+    assert "target/" in rules and "*.md" in rules and S.IgnoreRules(rules).ignores("target/x.rs") and not S.IgnoreRules(rules).ignores("src/x.rs")
+    assert S.write_ignore_file(str(tmp_path)) is None
+
+
+def test_output_folder_is_cleared_and_served(tmp_path):
+    folder = G.OutputFolder(str(tmp_path))
+    assert not folder.clear(True)
+    folder.write("<p>hello", "graph.html")
+    (tmp_path / "secret.txt").write_text("no")
+    web = G.server(folder)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{web.server_port}"
+        assert urllib.request.urlopen(f"{at}/graph.html").read() == b"<p>hello"
+        for path in ("/../secret.txt", "/%2e%2e/secret.txt"):
+            with pytest.raises(urllib.error.HTTPError):
+                urllib.request.urlopen(at + path)
+    finally:
+        web.shutdown()
+        web.server_close()
+    assert not folder.clear(False) and os.path.exists(folder.path) and folder.clear(True) and not os.path.exists(folder.path)
+
+
+def test_page_draws(graph):
+    page = G.graph_html(*graph([("/a.js", "F", {"label": "</script><b>"}), ("/b.js", "F")], [("/a.js", "/b.js")]), "A & B")
+    assert "</script><b>" not in page and "A &amp; B" in page and "lineTo" in page and page.count("</script>") == 2
