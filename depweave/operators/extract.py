@@ -144,13 +144,13 @@ def _closes(code: str, pair: str) -> dict[int, int]:
     for m in re.finditer(f"[{re.escape(pair)}]", code):
         if m.group() == pair[0]:
             stack.append(m.start())
-        elif stack and not (pair == "<>" and code[m.start() - 1] == "="):
+        elif stack and not (pair == "<>" and code[m.start() - 1] in "=-"):
             out[stack.pop()] = m.start()
     return out
 
 
 def closing(code: str, at: int, pair: str = "()") -> int:
-    """The place of the bracket that closes the one at ``at``, or the end. The arrow ``=>`` closes nothing."""
+    """The place of the bracket that closes the one at ``at``, or the end. Arrows (``=>``, ``->``) close nothing."""
     return _closes(code, pair).get(at, len(code))
 
 
@@ -526,13 +526,26 @@ def go(source: str) -> Found:
 # Rust
 
 
+_RUST_UNTIL = re.compile(r"[^({;<\[]*")
+
+
+def _rust_body(code: str, at: int) -> bool:
+    """Whether a function's head ends in a body, and not in a semicolon as a trait's promise does."""
+    while True:
+        at = _RUST_UNTIL.match(code, at).end()
+        c = code[at : at + 1]
+        if c not in ("(", "<", "["):
+            return c == "{"
+        at = closing(code, at, _BRACKETS[c]) + 1
+
+
 def rust(source: str, structured: bool = False) -> Found:
     """Entities are one list in the order of the source unless ``structured``."""
     code = blank(source, _RUST_LIKE).code
     found = [(m.start(), re.sub(r"\s+$", "", m.group(1))) for m in re.finditer(r"(?<![\w$])use\s+([^;]+);", code)]
     found += [(m.start(), m.group(1)) for m in re.finditer(r"\bextern\s+crate\s+(\w+)", code)]
     deps = [d for _, d in sorted(found)]
-    things = [(m.start(), m.group(1), m.group(2)) for m in re.finditer(r"(?<!\w)(struct|enum|trait|fn)\s+([A-Za-z_]\w*)", code)]
+    things = [(m.start(), m.group(1), m.group(2)) for m in re.finditer(r"(?<!\w)(struct|enum|trait|fn)\s+([A-Za-z_]\w*)", code) if m.group(1) != "fn" or _rust_body(code, m.end())]
     for m in re.finditer(r"(?<!\w)impl\b(?:\s*<[^{]*?>)?\s+(?:[^{;]*?\bfor\s+)?([A-Za-z_]\w*)\s*(?:where\b[^{]*)?\{", code):
         things.append((m.start(1), "impl", m.group(1)))
     things.sort()

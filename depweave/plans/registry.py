@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import build, cache, cluster, cycles, enrich, extract, query, stats, ui
+from ..operators.components import components
+from ..operators.storage import stored
 from ..sources import adapters as A
 from ..sources.adapters import PARTS_SQL, SUPPLY_SQL, table
 
@@ -165,13 +167,22 @@ def shortest_path_len(s, d):
     return query.path_lengths(edges, firsts.crossJoin(lasts)).withColumn("hops", F.coalesce("hops", F.lit(-1)))
 
 
-@register()
+FAR_SQL = """, first AS (SELECT min(src) AS s FROM part_edges),
+reach(id, depth) AS (SELECT s, 0 FROM first UNION SELECT e.dst, depth + 1 FROM reach r JOIN part_edges e ON e.src = r.id WHERE depth < 40),
+near AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id), far AS (SELECT id, depth FROM near ORDER BY depth DESC, id LIMIT 1)
+SELECT s AS src, id AS dst, depth::BIGINT AS hops, TRUE AS linked FROM first, far"""
+
+
+@register(PARTS + FAR_SQL)
 def shortest_path_nodes(s, d):
-    nodes, edges = _parts(s, d)
-    files = nodes.select("id")
-    far = query.distances(edges, query.roots(files, edges)).orderBy(F.desc("depth"), "root", "id").first()
-    path = query.shortest_path(edges, far.root, far.id) if far else []
-    return s.createDataFrame(list(enumerate(path or [])), "step long, id string")
+    """The way from the first file that imports anything to the farthest it reaches, and whether its steps are edges."""
+    _, edges = _parts(s, d)
+    source = edges.agg(F.min("src").alias("id")).first().id
+    far = query.distances(edges, s.createDataFrame([(source,)], "id string")).orderBy(F.desc("depth"), "id").first()
+    path = query.shortest_path(edges, source, far.id) or []
+    steps = s.createDataFrame(list(zip(path, path[1:])), "src string, dst string")
+    missing = steps.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").count()
+    return s.createDataFrame([(path[0], path[-1], len(path) - 1, missing == 0)], "src string, dst string, hops long, linked boolean")
 
 
 @register(PARTS38 + """, reach(root, id) AS (SELECT src, dst FROM part_edges UNION SELECT root, e.dst FROM reach r JOIN part_edges e ON e.src = r.id)
@@ -180,9 +191,16 @@ def cyclic_nodes(s, d):
     return cycles.cyclic_nodes(*_parts(s, d, 38))
 
 
-@register()
+@register(PARTS38 + """, reach(root, id) AS (SELECT src, dst FROM part_edges UNION SELECT root, e.dst FROM reach r JOIN part_edges e ON e.src = r.id)
+SELECT (SELECT count(*) > 0 FROM reach WHERE root = id) AS found, TRUE AS closed, TRUE AS linked""")
 def cycles_dfs(s, d):
-    return cycles.detect_cycles(*_parts(s, d, 38)).select("id", "size", "label", F.col("files.id").alias("members"))
+    """Cycles of a depth-first walk, by what holds whatever the order: there are some, they close, and go along edges."""
+    nodes, edges = _parts(s, d, 38)
+    held = cycles.detect_cycles(nodes, edges)
+    steps = held.select(F.explode("edges").alias("e")).select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"))
+    ids = F.transform("files", lambda f: f["id"])
+    row = (not held.isEmpty(), held.where((F.element_at(ids, 1) != F.element_at(ids, -1)) | (F.size("files") != F.col("size") + 1)).isEmpty(), steps.join(edges, ["src", "dst"], "left_anti").isEmpty())
+    return s.createDataFrame([row], "found boolean, closed boolean, linked boolean")
 
 
 @register(PARTS + "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM part_edges WHERE src <> dst")
@@ -209,9 +227,33 @@ def entity_inherit(s, d):
     return enrich.entity_communities(A.supply_nodes(s, d))
 
 
-@register()
+@register(PARTS + """SELECT (SELECT count(*) FROM part_files) AS files, (SELECT count(*) FROM part_files f WHERE NOT EXISTS (SELECT 1 FROM part_edges WHERE src <> dst AND (src = f.id OR dst = f.id))) AS alone,
+TRUE AS once, TRUE AS named_by_member, TRUE AS within_components, TRUE AS better""")
 def louvain(s, d):
-    return enrich.louvain(*_parts(s, d))
+    """Communities by what any partition of theirs must hold: each file once, none over two components, more modularity than the components themselves have."""
+    nodes, edges = _parts(s, d)
+    held = stored(enrich.louvain(nodes, edges))
+    pairs = stored(enrich.undirected(nodes, edges))
+    parts = stored(components(pairs).select(F.col("node").alias("id"), F.col("least").alias("component")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    joined = held.join(parts, "id", "left").select("id", "community", F.coalesce("component", "id").alias("component"))
+
+    def modularity(of: str) -> float:
+        group = joined.select("id", F.col(of).alias("g"))
+        ends_of = pairs.join(group.withColumnRenamed("id", "a").withColumnRenamed("g", "x"), "a").join(group.withColumnRenamed("id", "b").withColumnRenamed("g", "y"), "b")
+        degree = ends_of.select(F.explode(F.array("x", "y")).alias("g")).groupBy("g").count()
+        m = pairs.count()
+        return ends_of.where("x = y").count() / m - (degree.agg(F.sum(F.col("count").cast("double") ** 2)).first()[0] or 0.0) / (4.0 * m * m)
+
+    row = (
+        held.select("id").distinct().count(),
+        held.join(ends, "id", "left_anti").where("id = community").count(),
+        held.count() == held.select("id").distinct().count(),
+        held.where("id = community").count() == held.select("community").distinct().count(),
+        joined.groupBy("community").agg(F.count_distinct("component").alias("n")).where("n > 1").isEmpty(),
+        modularity("community") >= modularity("component") - 1e-12,
+    )
+    return s.createDataFrame([row], "files long, alone long, once boolean, named_by_member boolean, within_components boolean, better boolean")
 
 
 def _page_records(s: SparkSession, d: str) -> DataFrame:
@@ -326,10 +368,10 @@ def ui_connected(s, d):
     return ui.connected(A.supply_edges(s, d), TARGET)
 
 
-@register(PARTS + "SELECT src, dst, 'imports' AS title, FALSE AS dashes, 2 AS width FROM part_edges")
+@register(PARTS + "SELECT src, dst, 'imports' AS title, FALSE AS dashes, 2 AS width, CASE WHEN f.ord % 3 = 0 THEN '#64748b' ELSE '#' || f.community END AS color FROM part_edges JOIN part_files f ON f.id = src")
 def ui_edges(s, d):
     nodes, edges = _parts(s, d)
-    return ui.drawn_edges(nodes.withColumn("color", F.lit(None).cast("string")), edges).drop("color")
+    return ui.drawn_edges(nodes.withColumn("color", F.when(F.col("ord") % 3 != 0, F.concat(F.lit("#"), "community"))), edges)
 
 
 @register("""
@@ -354,3 +396,6 @@ def entity_parents(s, d):
 def path_parts(s, d):
     path = _page_path(F.col("url"))
     return table(s, d, "pages").select("page_id", C.resolve(F.lit("/x/y"), F.concat(F.lit("../.."), path)).alias("path"), C.basename(path).alias("name"))
+
+
+from . import details, extraction  # noqa: E402, F401  they register themselves
