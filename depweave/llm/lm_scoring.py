@@ -39,9 +39,11 @@ def file_log_probabilities(vocab: Vocabulary) -> np.ndarray:
 class Lattice:
     """Forward and backward sums over all segmentations of words."""
 
-    def __init__(self, vocab: Vocabulary, log_p: np.ndarray):
+    def __init__(self, vocab: Vocabulary, log_p: np.ndarray, more: np.ndarray | None = None):
         self.vocab, self.log_p = vocab, log_p
         self.floor = float(log_p[np.isfinite(log_p)].min())
+        #: another distribution that :meth:`forward` sums beside, over the same edges
+        self.beside = Lattice(vocab, more) if more is not None else None
 
     def spelled(self, points: np.ndarray) -> np.ndarray:
         """Log probability of characters without a piece, as bytes."""
@@ -54,18 +56,23 @@ class Lattice:
         return self.log_p[piece] if piece[0] >= 0 else self.spelled(points[i, rows])
 
     def forward(self, words: list[str]) -> np.ndarray:
-        """Log of the summed probability of all segmentations of each word, a space before it included."""
-        out = np.zeros(len(words))
+        """(distributions, words): log of the summed probability of all segmentations of each word, a space before it included."""
+        each = [self, self.beside] if self.beside else [self]
+        out = np.zeros((len(each), len(words)))
         for pick, size, points in self.vocab._lockstep(words):
-            alpha = np.full((len(points) + 1, len(pick)), -np.inf)
-            alpha[0] = 0
+            alphas = [np.full((len(points) + 1, len(pick)), -np.inf) for _ in each]
+            for alpha in alphas:
+                alpha[0] = 0
             for i, k, rows, piece in self.vocab.edges(size, points):
-                value = alpha[i][rows] + self.edge_values(i, rows, piece, points)
-                alpha[i + k][rows] = np.logaddexp(alpha[i + k][rows], value)
-            out[pick] = alpha[size, np.arange(len(pick))]
+                for one, alpha in zip(each, alphas):
+                    value = alpha[i][rows] + one.edge_values(i, rows, piece, points)
+                    alpha[i + k][rows] = np.logaddexp(alpha[i + k][rows], value)
+            for row, alpha in zip(out, alphas):
+                row[pick] = alpha[size, np.arange(len(pick))]
         for i, w in enumerate(words):
             if len(w) + 1 > LOCKSTEP:
-                out[i] = self.stream(SPACE + w.replace(" ", SPACE))
+                for row, one in zip(out, each):
+                    row[i] = one.stream(SPACE + w.replace(" ", SPACE))
         return out
 
     def _begin(self, text: str) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
@@ -196,46 +203,58 @@ def fit_unigram(docs: DataFrame, model: str = MODEL, prior: float = PRIOR) -> np
         return np.log(counts / counts.sum())
 
 
-def lm_score(docs: DataFrame, model: str = MODEL, prior: float = PRIOR, log_prob: str = "log_prob", bits: str = "bits_per_char") -> DataFrame:
+def lm_score(docs: DataFrame, model: str = MODEL, log_prob: str = "log_prob", bits: str = "bits_per_char", corpus: bool = False, prior: float = PRIOR, corpus_log_prob: str = "corpus_log_prob", corpus_bits: str = "corpus_bits_per_char") -> DataFrame:
     """``docs`` with the natural log of each text's probability, and the bits it takes a character.
 
     The probability is the sum over all segmentations of a text into pieces
     of the product of the pieces' probabilities, by forward recursion in log
-    space. Paths meet before every word, so a text's is the product of its
-    words'; each different word of a batch is summed once. The pieces'
-    probabilities are fitted on all documents (:func:`fit_unigram`).
+    space. These are the scores of the model file, normalised
+    (:func:`file_log_probabilities`), so a text's score depends on nothing
+    but itself. Paths meet before every word, so a text's is the product of
+    its words'; each different word of a batch is summed once. With
+    ``corpus``, two more columns have the same sums under probabilities that
+    are fitted on all documents (:func:`fit_unigram`), the file's scores
+    weighing the segmentations: texts of the corpus' own sort take fewer
+    bits there.
 
     Defined results: a null text has null scores; an empty one a log
     probability of 0 and null bits; characters without a piece count as their
     bytes; repeated rows get equal scores; extra columns pass through, but
-    for those with the names of the two made. An empty table gives an empty
+    for those with the names of the ones made. An empty table gives an empty
     one.
     """
     vocab = vocabulary(model)
     held = docs.sparkSession.sparkContext.broadcast(vocab)
-    fitted = fit_unigram(docs, model, prior)
-    own = [n for n in docs.columns if n.lower() not in (log_prob.lower(), bits.lower())]
-    raw = fresh(docs, "scored")[0]
+    plain, fitted = file_log_probabilities(vocab), fit_unigram(docs, model, prior) if corpus else None
+    made = [(log_prob, bits), (corpus_log_prob, corpus_bits)][: 1 + corpus]
+    own = [n for n in docs.columns if n.lower() not in {x.lower() for pair in made for x in pair}]
+    raw, length = fresh(docs, "scored", "scored_n")
+    fields = [f"s{i}" for i in range(len(made))]
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(f"struct<{', '.join(f'{f}: double' for f in fields)}>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lattice = Lattice(held.value, fitted)
+        lattice = Lattice(held.value, plain, fitted)
         for texts in batches:
             parts = []
             for a, b in slices(texts, 1 << 20, SLICE_CHARS):
                 counts, coded = lattice.vocab.segments(texts.slice(a, b - a))
-                each = lattice.forward(coded.dictionary.to_pylist())
-                parts.append(np.bincount(np.repeat(np.arange(len(counts)), counts), each[coded.indices.to_numpy()], len(counts)))
-            value = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
-            yield pc.if_else(pc.is_null(texts), pa.scalar(None, pa.float64()), value)
+                owner, word = np.repeat(np.arange(len(counts)), counts), coded.indices.to_numpy()
+                parts.append(np.stack([np.bincount(owner, each[word], len(counts)) for each in lattice.forward(coded.dictionary.to_pylist())]))
+            value = np.concatenate(parts, 1) if parts else np.zeros((len(fields), 0))
+            null = pc.is_null(texts)
+            yield pa.StructArray.from_arrays([pc.if_else(null, pa.scalar(None, pa.float64()), pa.array(v, pa.float64())) for v in value], names=fields)
         give_back()
 
-    out = docs.select(*cols(own), run(col("text").cast("string")).alias(raw), F.length(col("text").cast("string")).alias(f"{raw}_n"))
-    return out.select(*cols(own), F.col(raw).alias(log_prob), F.when(F.col(f"{raw}_n") > 0, -F.col(raw) / (math.log(2) * F.col(f"{raw}_n"))).alias(bits))
+    out = docs.select(*cols(own), run(col("text").cast("string")).alias(raw), F.length(col("text").cast("string")).alias(length))
+    scores = []
+    for f, (name, per) in zip(fields, made):
+        value = F.col(raw)[f]
+        scores += [value.alias(name), F.when(F.col(length) > 0, -value / (math.log(2) * F.col(length))).alias(per)]
+    return out.select(*cols(own), *scores)
 
 
 def op10_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score(load(spark, sf_dir, "documents")).select("doc_id", "log_prob", "bits_per_char")
+    return lm_score(load(spark, sf_dir, "documents"), corpus=True).select("doc_id", "log_prob", "bits_per_char", "corpus_log_prob", "corpus_bits_per_char")
 
 
 QUERIES = {"op10_lattice_likelihood": op10_lattice_likelihood}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -206,31 +208,46 @@ class Vocabulary:
 
     # one text of any length
 
-    def stream(self, text: str, every: int = 16) -> Iterator[int]:
-        """Ids of the best path, given out as soon as they are certain.
+    def stream(self, text: str | Iterable[str], every: int = 16, watch: Callable[[int], None] | None = None) -> Iterator[int]:
+        """Ids of the best path over a text, or over pieces of one as they come, given out as soon as they are certain.
 
-        Only the boundaries that a piece from here on can still begin at are
-        live: those of the last ``longest`` characters. When the paths back
-        from all of them share a boundary, whatever comes, the best path goes
-        through it; what lies before is given out and forgotten.
-        Characters without a piece come as -1 less their code point.
+        Scores are kept for the places that a piece from here on can still
+        begin or end at: those of a window of the ``longest`` piece. When
+        the paths back from all of them share a boundary, whatever comes,
+        the best path goes through it; what lies before is given out and
+        forgotten. Characters are read when a piece could reach them. Where
+        paths stay apart for long, as they may in periodic text, one back
+        pointer a place is kept for as long. ``watch`` is told how many
+        places are held. Characters without a piece come as -1 less their
+        code point.
         """
         if not hasattr(self, "lists"):
             self.lists = [x.tolist() for x in (self.base, self.owner, self.child, self.piece_of, self.score)]
         base, owner, child, piece_of, score = self.lists
         longest = self.longest
-        start, best, back = 0, [0.0], [(-1, 0)]  # by place from start on
+        chunks = iter([text] if isinstance(text, str) else text)
+        ahead: deque[tuple[int, int]] = deque()  # (code point, symbol) of what is read and not yet passed
+        start, i, ended = 0, 0, False
+        best: deque[float] = deque([0.0])  # by place from i on
+        back: list[tuple[int, int]] = [(-1, 0)]  # (piece, length) by place from start on
         check = every
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbols = self.symbol[points].tolist()
-        n = len(points)
-        for i in range(n):
-            while len(best) <= min(n, i + longest) - start:
+        while True:
+            while len(ahead) < longest and not ended:
+                more = next(chunks, None)
+                ended = more is None
+                if more:
+                    points = np.frombuffer(more.encode("utf-32-le", "surrogatepass"), np.uint32)
+                    ahead.extend(zip(points.tolist(), self.symbol[points].tolist()))
+            if not ahead:
+                break
+            reach = min(longest, len(ahead))
+            while len(best) <= reach:
                 best.append(-np.inf)
                 back.append((-1, 0))
-            here, v, single = best[i - start], 0, False
-            for k in range(min(longest, n - i)):
-                slot = base[v] + symbols[i + k]
+            here, v, single = best[0], 0, False
+            at = i - start
+            for k, (_, symbol) in enumerate(islice(ahead, reach)):
+                slot = base[v] + symbol
                 if owner[slot] != v:
                     break
                 v = child[slot]
@@ -238,19 +255,24 @@ class Vocabulary:
                 if piece >= 0:
                     single |= k == 0
                     value = here + score[piece]
-                    if value > best[i + k + 1 - start]:
-                        best[i + k + 1 - start], back[i + k + 1 - start] = value, (piece, k + 1)
-            if not single and here + self.unk_score > best[i + 1 - start]:
-                best[i + 1 - start], back[i + 1 - start] = here + self.unk_score, (-1 - int(points[i]), 1)
-            if i + 1 == n or i + 1 >= check:
-                # places up to i + 1 are final; pieces to come begin there, and those on the way end behind
-                ends = {i + 1} if i + 1 == n else {j for j in range(i + 1, min(n, i + longest) + 1) if best[j - start] > -np.inf} | {i + 1}
-                live = set(ends)
+                    if value > best[k + 1]:
+                        best[k + 1], back[at + k + 1] = value, (piece, k + 1)
+            if not single and here + self.unk_score > best[1]:
+                best[1], back[at + 1] = here + self.unk_score, (-1 - ahead[0][0], 1)
+            ahead.popleft()
+            best.popleft()
+            i += 1
+            last = not ahead and ended
+            if last or i >= check:
+                # the place i is final; pieces to come begin there, and those on the way end behind
+                live = {i} if last else {i + j for j, b in enumerate(best) if b > -np.inf} | {i}
                 while len(live) > 1 and max(live) > start:
                     j = max(live)
                     live.remove(j)
                     live.add(j - back[j - start][1])
                 meet = max(live)
+                if watch:
+                    watch(len(back))
                 if meet > start:
                     out, j = [], meet
                     while j > start:
@@ -258,11 +280,11 @@ class Vocabulary:
                         out.append(piece)
                         j -= k
                     yield from reversed(out)
-                    cut = meet - start
-                    shift = best[cut]
-                    best, back, start = [b - shift for b in best[cut:]], back[cut:], meet
-                # where paths stay apart for long, as in periodic text, it is asked ever more seldom
-                check = max(meet + every, i + 1 + (i + 1 - start))
+                    back, start = back[meet - start :], meet
+                    shift = best[0]
+                    best = deque(b - shift for b in best)
+                # where paths stay apart for long it is asked ever more seldom
+                check = max(meet + every, i + (i - start))
 
     # whole texts
 

@@ -63,15 +63,25 @@ def test_stream_and_lockstep_agree(vocab):
 
 
 def test_stream_gives_out_early(vocab):
-    read = []
-
-    class Watched(str):
-        pass
-
-    stream = vocab.stream("▁the" * 5000)
-    first = next(stream)
-    assert first >= 0 and not read
-    assert len(list(vocab.stream("a" * 30000))) <= 30000
+    """Ids come while the text is still being read, and what is held stays within a few windows."""
+    read = 0
+
+    def chunks(word, times):
+        nonlocal read
+        for _ in range(times):
+            read += 1
+            yield word
+
+    stream = vocab.stream(chunks("▁the", 20000))
+    assert next(stream) >= 0 and read < 20
+    held = []
+    state = vocab.stream(chunks("▁the▁quick▁brown▁fox", 20000), watch=held.append)
+    n = sum(1 for _ in state)
+    assert n >= 80000 and max(held) < 20 * vocab.longest
+    for text in ("a" * 5000, "ab" * 3000 + "▁c", "▁" + "xyz" * 1500, "é" * 700, ""):
+        whole = list(vocab.stream(text))
+        for size in (1, 7, 1000):
+            assert list(vocab.stream(text[i : i + size] for i in range(0, len(text), size))) == whole
 
 
 def test_no_worse_than_the_library(vocab):
@@ -136,7 +146,9 @@ def test_likelihood_by_brute_force():
     assert abs(np.exp(log_p).sum() - 1) < 1e-9
     lattice = P.Lattice(v, log_p)
     words = ["", "a", "ab", "abaab", "é", "aaaab", " a", "xaby"]
-    got = lattice.forward(words)
+    other = np.log(np.random.default_rng(1).dirichlet(np.ones(len(log_p))))
+    got, beside = P.Lattice(v, log_p, other).forward(words)
+    assert (got == lattice.forward(words)[0]).all() and (beside == P.Lattice(v, other).forward(words)[0]).all()
     for w, g in zip(words, got):
         text = S.SPACE + w.replace(" ", S.SPACE)
         assert g == pytest.approx(total(v, log_p, text)) == pytest.approx(lattice.stream(text))
@@ -154,7 +166,7 @@ def test_expected_counts():
     up, down = log_p.copy(), log_p.copy()
     up[i] += eps
     down[i] -= eps
-    slope = (P.Lattice(v, up).forward(words) - P.Lattice(v, down).forward(words)) @ times / (2 * eps)
+    slope = (P.Lattice(v, up).forward(words)[0] - P.Lattice(v, down).forward(words)[0]) @ times / (2 * eps)
     assert counts[i] == pytest.approx(slope, rel=1e-4)
 
 
@@ -162,16 +174,32 @@ def test_scores(spark):
     rows = [(1, "the same words again", "en", "s", 1), (2, "the same words again", "en", "s", 1), (3, None, "en", "s", 1), (4, "", "en", "s", 1), (5, "日本 zq", "en", "s", 1), (6, "the  words", "en", "s", 1), (7, "k" * 5000, "en", "s", 1)]
     rows += [(10 + i, "the words of the corpus", "en", "s", 1) for i in range(30)]
     df = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", scored int")
-    got = {r.doc_id: r for r in P.lm_score(df).collect()}
+    got = {r.doc_id: r for r in P.lm_score(df, corpus=True).collect()}
+    alone = {r.doc_id: r for r in P.lm_score(df.where("doc_id < 10")).collect()}
+    assert all(alone[i].log_prob == got[i].log_prob for i in alone) and "corpus_log_prob" not in alone[1]
     assert got[1].log_prob == got[2].log_prob < 0 and got[3].log_prob is None and got[4].log_prob == 0 and got[4].bits_per_char is None
     assert got[1].bits_per_char < got[5].bits_per_char
     assert P.lm_score(df.where("false")).collect() == []
     v = S.vocabulary()
     fitted = P.fit_unigram(df)
-    lattice = P.Lattice(v, fitted)
-    for i in (1, 5, 6, 7):
-        text = {r[0]: r[1] for r in rows}[i]
-        assert got[i].log_prob == pytest.approx(lattice.stream(S.SPACE + text.replace(" ", S.SPACE)))
+    for lattice, column in ((P.Lattice(v, P.file_log_probabilities(v)), "log_prob"), (P.Lattice(v, fitted), "corpus_log_prob")):
+        for i in (1, 5, 6, 7):
+            text = {r[0]: r[1] for r in rows}[i]
+            assert got[i][column] == pytest.approx(lattice.stream(S.SPACE + text.replace(" ", S.SPACE)))
+    assert got[10].corpus_bits_per_char < got[10].bits_per_char
+
+
+def test_likelihood_query(spark):
+    """The query on a scale's whole table, against one walk over each text's lattice."""
+    got = {r.doc_id: r for r in P.op10_lattice_likelihood(spark, SF).collect()}
+    docs = spark.read.parquet(SF + "/documents.parquet").toPandas()
+    assert set(got) == set(docs.doc_id)
+    v = S.vocabulary()
+    lattice = P.Lattice(v, P.file_log_probabilities(v))
+    for i, text in zip(docs.doc_id[:25], docs.text[:25]):
+        want = lattice.stream((S.SPACE + text[:4000]).replace(" ", S.SPACE)) if len(text) <= 4000 else None
+        assert want is None or got[i].log_prob == pytest.approx(want, rel=1e-9)
+        assert got[i].bits_per_char == pytest.approx(-got[i].log_prob / math.log(2) / len(text))
 
 
 def test_rotation_keeps_lengths_and_axes():
