@@ -70,6 +70,8 @@ class Kernel:
         self.width = weights.shape[0]
         spoken = lookup.places[2 : lookup.symbols]
         self.letters = spoken[spoken < self.width]
+        #: the rows that are landmarks
+        self.chosen: list[int] = []
         #: (languages, width): which grams a language's landmarks have; (languages, SIZES): its cuts
         self.own = np.ones((len(languages), self.width), bool)
         self.cuts = np.zeros((len(languages), SIZES))
@@ -262,7 +264,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve(z.T @ (w * z) + penalty, z.T @ (w * target))
     model = Kernel(symbols, lookup, (marks.T @ (root @ beta[:-1])).astype(np.float32), languages, beta[-1].astype(np.float32))
-    model.own = times > 0
+    model.own, model.chosen = times > 0, chosen
     again = places.copy()
     again[grams[times.sum(axis=0) < 2]] = len(grams)
     others = Kernel(symbols, Lookup(again, lookup.symbols, bits), kernel.weights, languages)

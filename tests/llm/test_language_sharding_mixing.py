@@ -44,6 +44,45 @@ def test_scores_by_brute_force(model):
         assert np.allclose(s, want, atol=1e-3) and h == any(g in set(model.letters.tolist()) for g in mine)
 
 
+def test_fit_by_brute_force():
+    """Kernel, Nystroem features and ridge regression from sets of grams, against the folded matrix."""
+    rng = random.Random(12)
+    letters = {"aa": "abcdeklmno", "bb": "defghklmnp", "cc": "ghijkqrstu"}
+    text = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 6))) for _ in range(12))
+    rows = [(lang, text(lang)) for lang in letters for _ in range(14 if lang == "aa" else 9)]
+    model = L.fit(rows, landmarks=15)
+    assert len(model.chosen) == 15 and Counter(rows[i][0] for i in model.chosen) == {"aa": 5, "bb": 5, "cc": 5}
+    sets = [grams(t, model) for _, t in rows]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    marks = [sets[i] for i in model.chosen]
+    c = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(c)
+    keep = value > 1e-6 * value[-1]
+    root = vector[:, keep] / np.sqrt(value[keep])
+    features = lambda given: np.array([[kernel(a, b) for b in marks] for a in given]) @ root
+    z = np.concatenate([features(sets), np.ones((len(rows), 1))], 1)
+    count = Counter(lang for lang, _ in rows)
+    beta = []
+    for one in model.languages:  # one against the rest, each language weighing alike
+        w = np.array([1 / count[lang] / 3 for lang, _ in rows])
+        y = np.array([1.0 if lang == one else -1.0 for lang, _ in rows])
+        penalty = np.diag([L.RIDGE / 3] * (z.shape[1] - 1) + [1e-9])
+        beta.append(np.linalg.solve((z * w[:, None]).T @ z + penalty, (z * w[:, None]).T @ y))
+    new = [text(lang) for lang in letters for _ in range(6)]
+    want = np.concatenate([features([grams(t, model) for t in new]), np.ones((len(new), 1))], 1) @ np.array(beta).T
+    got, _ = model.scores(pa.array(new))
+    assert np.allclose(got, want, atol=2e-3) and (got.argmax(axis=1) == np.repeat([0, 1, 2], 6)).all()
+
+
+def test_language_query(spark, model):
+    got = {r.doc_id: r for r in L.op3_language_id(spark, SF).collect()}
+    docs = spark.read.parquet(SF + "/documents.parquet").toPandas()
+    top, score, has, accepted = model.classify(pa.array(docs.text))
+    assert has.all() and set(got) == set(docs.doc_id)
+    for i, t, s, a in zip(docs.doc_id, top, score, accepted):
+        assert (got[i].language, got[i].accepted) == (model.languages[t], a) and abs(got[i].language_score - s) < 1e-4
+
+
 def test_whole_texts_count(model):
     text = "der die und nicht " * 40 + "the and of with " * 80000
     assert len(text) > L.SLICE_CHARS
@@ -193,6 +232,19 @@ def test_texts_are_cut_by_whole_values(spark):
     assert H.text_cuts(spark.createDataFrame([("a",)] * 40 + [("b",)] * 40 + [("c",)] * 20, "v string"), 4) == ["b", "c"]
 
 
+def test_sharding_query(spark):
+    """Every document once, in shards that are runs of the curve no longer than asked."""
+    got = H.op4_hilbert_sharding(spark, SF).toPandas()
+    docs = spark.read.parquet(SF + "/documents.parquet").toPandas()
+    assert sorted(got.doc_id) == sorted(docs.doc_id) and list(got.columns[:-2]) == list(docs.columns)
+    per = got.groupby("shard_id").agg(low=("curve_index", "min"), high=("curve_index", "max"), n=("n_chars", "sum")).sort_index()
+    assert (per.high.to_numpy()[:-1] <= per.low.to_numpy()[1:]).all() and per.n.max() <= 1.13 * H.SHARD_CHARS
+    whole = docs.merge(got[["doc_id", "curve_index"]], on="doc_id")
+    for lang, source in set(zip(whole.lang, whole.source)):  # in a cell of two dimensions the third is in steps
+        some = whole[(whole.lang == lang) & (whole.source == source)]
+        assert some.groupby("curve_index").n_chars.agg(lambda x: x.max() - x.min()).max() <= docs.n_chars.max() / 4
+
+
 def test_the_table_of_cells_is_bounded(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     whole = {r.doc_id: r.curve_index for r in H.hilbert_shards(df, shard_chars=100000).collect()}
