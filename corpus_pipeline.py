@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweave.llm import exact_dedup, language_id, mixing, near_dedup, tokenization
-from depweave.llm.common import prepare, stored
+from depweave.llm.common import fresh, prepare
+from depweave.operators.storage import delete, scratch, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no known language is found go."""
+    """Documents in which no known language is found go; the others have the one found as ``lang``."""
     prepare(spark)
-    return language_id.identify(docs).where(F.col("accepted")).select(*COLUMNS)
+    found, taken = fresh(docs, "found_language", "found_accepted")
+    told = language_id.identify(docs, language=found, accepted=taken).where(F.col(taken))
+    return told.select("doc_id", "text", F.col(found).alias("lang"), "source", "n_chars")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +38,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or thinned until sources weigh the square root of their tokens."""
+    """Documents are repeated or thinned until sources weigh the square root of their tokens, some more or less by EMPHASIS."""
     prepare(spark)
-    return mixing.mix(docs).select(*COLUMNS)
+    return mixing.mix(docs, emphasis=mixing.EMPHASIS).select(*COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +64,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the documents of ``sf_dir``."""
     prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = shared_dir(spark)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        delete(spark, *before)  # what the stage before left is read no more
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
