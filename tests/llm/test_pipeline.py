@@ -1,4 +1,5 @@
 import hashlib
+import random
 import shutil
 import subprocess
 import sys
@@ -11,46 +12,92 @@ import pyarrow as pa
 import __spark_entry__ as entry
 import corpus_pipeline as P
 from depweave.llm import language_id, near_dedup, subword
-from depweave.llm.mixing import SEED
+from depweave.llm.mixing import EMPHASIS, SEED
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent.parent
 
 
-def by_hand(spark, docs):
-    """The five stages over plain rows."""
-    rows = docs.toPandas()
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_stages_by_hand(spark, tmp_path):
+    """Every stage on what the one before kept, against plain Python, and that each takes something away or adds it."""
+    docs = spark.read.parquet(SF + "/documents.parquet")
+    first = docs.where("lang = 'en' and n_chars > 800").orderBy("doc_id").limit(4).collect()
+    rng = random.Random(5)
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(500))
+    odd = [(9001, finnish, "en", "src1", 1), (9002, noise, None, "src2", 1), (9003, "12 34 !!", None, "src3", 1), (9004, None, "en", "src3", 1)]
+    odd += [(9100 + i, r.text, None, r.source, r.n_chars) for i, r in enumerate(first)]
+    odd += [(9200 + i, r.text + " changed", r.lang, r.source, r.n_chars) for i, r in enumerate(first)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+
+    def through(i, docs):
+        path = str(tmp_path / str(i))
+        P.STAGES[i][1](spark, docs, SF).write.parquet(path)
+        return spark.read.parquet(path)
+
+    one = through(0, docs)
     model = language_id.fit(language_id.training_rows(docs))
-    s, has = model.scores(pa.array(rows.text))
-    rows = rows[has & (s.max(axis=1) > language_id.REJECT)]
-    rows = rows.sort_values("doc_id").drop_duplicates("text")
-    sigs, has = near_dedup.signatures(pa.array(rows.text))
+    table = docs.toPandas()
+    top, _, _, accepted = model.classify(pa.array(table.text, pa.string()))
+    want = sorted(((int(i), t, model.languages[k], src, int(n)) for i, t, src, n, k, ok in zip(table.doc_id, table.text, table.source, table.n_chars, top, accepted) if ok), key=repr)
+    assert rows_of(one) == want
+    kept = {r.doc_id: r.lang for r in one.collect()}
+    assert not {9001, 9002, 9003, 9004} & set(kept) and {kept[9100 + i] for i in range(4)} == {"en"}
+    assert len({r.doc_id for r in docs.collect() if r.doc_id < 9000} - set(kept)) <= 2
+
+    two = through(1, one)
+    table = one.toPandas().sort_values("doc_id").drop_duplicates("text")
+    assert rows_of(two) == sorted(map(tuple, table.astype(object).itertuples(index=False)), key=repr)
+    assert not {9100 + i for i in range(4)} & {r.doc_id for r in two.collect()}
+
+    three = through(2, two)
+    table = two.toPandas()
+    sigs, has = near_dedup.signatures(pa.array(table.text))
     near = (np.bitwise_count(sigs[:, None, :] ^ sigs[None, :, :]).sum(axis=2) <= near_dedup.RADIUS) & has[:, None] & has[None, :]
-    label = np.arange(len(rows))
+    label = np.arange(len(table))
     for i, j in zip(*np.nonzero(np.triu(near, 1))):
         label[label == max(label[i], label[j])] = min(label[i], label[j])
-    rows = rows[(label == np.arange(len(rows)))]
+    want = {int(table.doc_id[label == g].min()) for g in set(label)}
+    got = {r.doc_id for r in three.collect()}
+    # a pair is found with odds of 0.95 at the radius itself, and more within
+    assert want <= got and len(got - want) <= max(1, 0.05 * (len(table) - len(want))) and len(got) < len(table) and not {9200 + i for i in range(4)} & got
+    assert set(rows_of(three)) <= set(rows_of(two))
+
+    four = through(3, three)
+    table = three.toPandas()
     tokens = Counter()
-    for t, src in zip(rows.text, rows.source):
+    for t, src in zip(table.text, table.source):
         tokens[src] += len(t.split())
-    whole, total = sum(n**0.5 for n in tokens.values()), sum(tokens.values())
-    out = Counter()
+    weight = {src: n**0.5 * EMPHASIS.get(src, 1.0) for src, n in tokens.items()}
+    whole, total = sum(weight.values()), sum(tokens.values())
+    rate = {src: weight[src] / whole * total / tokens[src] for src in tokens}
+    want = Counter()
+    for row in table.astype(object).itertuples(index=False):
+        draw = int(hashlib.md5(f"{row.doc_id}:{SEED}".encode()).hexdigest()[:8], 16) / 2**32
+        want[tuple(row)] = int(rate[row.source]) + (draw < rate[row.source] % 1)
+    assert Counter(map(tuple, four.collect())) == +want
+    assert max(rate.values()) >= 2 > 0.5 > min(rate.values()) and max(want.values()) >= 2 and min(want.values()) == 0
+
+    five = P.STAGES[4][1](spark, four, SF).collect()
+    assert all(r.lossless and r.n_ids == len(r.ids) for r in five)
     vocab = subword.vocabulary()
-    for i, t, src in zip(rows.doc_id, rows.text, rows.source):
-        rate = tokens[src] ** 0.5 / whole * total / tokens[src]
-        draw = int(hashlib.md5(f"{i}:{SEED}".encode()).hexdigest()[:8], 16) / 2**32
-        ids, _ = vocab.encode(pa.array([t]))
-        out[int(i), tuple(ids.tolist())] = int(rate) + (draw < rate - int(rate))
-    return +out
-
-
-def test_run_by_hand(spark):
-    got = P.run(spark, SF).collect()
-    assert all(r.lossless and r.n_ids == len(r.ids) for r in got)
-    want, mine = by_hand(spark, spark.read.parquet(SF + "/documents.parquet")), Counter((r.doc_id, tuple(r.ids)) for r in got)
-    # a near pair may be missed, with odds of one in twenty at most
-    assert sum((want - mine).values()) + sum((mine - want).values()) <= 0.1 * sum(want.values())
-    assert {i for i, _ in want} <= {i for i, _ in mine}
+    want = Counter()
+    for r in four.collect():
+        want[r.doc_id, r.lang, r.source, tuple(vocab.encode(pa.array([r.text]))[0].tolist())] += 1
+    assert Counter((r.doc_id, r.lang, r.source, tuple(r.ids)) for r in five) == want
+
+
+def test_run_is_its_stages(spark, tmp_path):
+    got = Counter((r.doc_id, tuple(r.ids)) for r in P.run(spark, SF).collect())
+    docs = spark.read.parquet(SF + "/documents.parquet")
+    for i, (_, stage) in enumerate(P.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+    assert got == Counter((r.doc_id, tuple(r.ids)) for r in docs.collect())
 
 
 def test_registered(spark):
