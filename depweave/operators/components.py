@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import DRIVER_LINKS, pairs_if_few, stored
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, least) for the nodes of ``edges`` (a, b): the least node each is connected to.
+def components(edges: DataFrame, enough: int = DRIVER_LINKS) -> DataFrame:
+    """(node, least) for the nodes of ``edges`` (a, b) but the least ones: the least node each is connected to.
 
     Large stars and small stars alternate until nothing changes; every round
-    is written to the shared folder.
+    is written to the shared folder. No more than ``enough`` links are
+    joined on the driver instead.
     """
     links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if (few := pairs_if_few(links, enough)) is not None:
+        kind = links.schema["u"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame(sorted(_joined(few).items()), f"node {kind}, least {kind}")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,6 +32,23 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _joined(links: list[tuple]) -> dict:
+    """The least node that each of the links' other nodes is connected to."""
+    above: dict = {}
+
+    def top(n):
+        while (up := above.setdefault(n, n)) != n:
+            above[n] = above[up]
+            n = up
+        return n
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+    return {n: least for n in list(above) if (least := top(n)) != n}
+
+
 def _starred(links: DataFrame) -> DataFrame:
     """``links`` (u, v) with the least v of each u as m: by a join, which unlike a window may split the links of a hub."""
     return links.join(links.groupBy("u").agg(F.min("v").alias("m")), "u")

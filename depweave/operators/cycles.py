@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_file, label
 from ..schema import CYCLES
-from .storage import stored
+from .storage import DRIVER_LINKS, pairs_if_few, stored
 
 LIMIT = 200
-#: Up to so many links are looked at on the driver; above, Spark drops links off cycles first.
-DRIVER_LINKS = 500_000
 ARROW = " → "
 
 
@@ -98,8 +96,8 @@ def detect_cycles(nodes: DataFrame, edges: DataFrame, limit: int = LIMIT) -> Dat
     return spark.createDataFrame(rows, CYCLES)
 
 
-def strongly_cyclic(out: dict[str, list[str]]) -> list[str]:
-    """Nodes that lead to themselves, by one walk that finds strong components."""
+def strong_parts(out: dict[str, list[str]]) -> list[list[str]]:
+    """The nodes that lead to themselves, by strong component, from one walk."""
     index: dict[str, int] = {}
     low: dict[str, int] = {}
     waiting: list[str] = []
@@ -133,7 +131,7 @@ def strongly_cyclic(out: dict[str, list[str]]) -> list[str]:
                         part.append(waiting.pop())
                         there.discard(part[-1])
                     if len(part) > 1 or node in out.get(node, ()):
-                        found.extend(part)
+                        found.append(part)
     return found
 
 
@@ -151,21 +149,27 @@ def cyclic_nodes(nodes: DataFrame, edges: DataFrame, enough: int = DRIVER_LINKS)
         out: dict[str, list[str]] = {}
         for r in core.toLocalIterator():
             out.setdefault(r.src, []).append(r.dst)
-        return spark.createDataFrame([(n,) for n in strongly_cyclic(out)], "id string")
+        return spark.createDataFrame([(n,) for part in strong_parts(out) for n in part], "id string")
     loops = core.where("src = dst").select(F.col("src").alias("id"))
-    return strong_components(core).select("id").unionByName(loops).distinct()
+    return strong_components(core, enough).select("id").unionByName(loops).distinct()
 
 
-def strong_components(links: DataFrame) -> DataFrame:
+def strong_components(links: DataFrame, enough: int = DRIVER_LINKS) -> DataFrame:
     """(id, component): nodes of the strong components of two nodes and more, named by their greatest id.
 
-    Every node takes the greatest id that leads to it, over and over; those
+    No more than ``enough`` links are walked on the driver. Otherwise every node takes the greatest id that leads to it, over and over; those
     that then lead back to the node of that id, within its colour, are its
     component. Components found and links between colours go, as no cycle
     uses them, and the rest is done again. A round moves a row for each link
     at most, and there are as many as the longest way within a colour.
     """
-    links = stored(links.where("src <> dst").distinct())
+    links = stored(links.where("src <> dst").select("src", "dst").distinct())
+    if (few := pairs_if_few(links, enough)) is not None:
+        out: dict[str, list[str]] = {}
+        for a, b in few:
+            out.setdefault(a, []).append(b)
+        rows = [(n, max(part)) for part in strong_parts(out) for n in part]
+        return links.sparkSession.createDataFrame(rows, "id string, component string")
     found = None
     while True:
         links = without_sinks(without_sinks(links, enough=0), "src", "dst", 0)

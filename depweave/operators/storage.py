@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: So many links of a graph are followed on the driver at once rather than in rounds of jobs; the results are the same.
+DRIVER_LINKS = 200_000
 #: Folders made and not yet deleted, those of the innermost scratch last.
 _made: list[list[str]] = [[]]
 
@@ -87,3 +89,11 @@ def numbered(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
     offset = F.broadcast(spark.createDataFrame(before, "range_ int, seen_ long"))
     place = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
     return ranged.join(offset, "range_").withColumn(name, F.col("seen_") + place).drop("range_", "seen_")
+
+
+def pairs_if_few(links: DataFrame, enough: int) -> list[tuple] | None:
+    """The rows of a stored table of two columns, None if there are more than ``enough``."""
+    if links.count() > enough:
+        return None
+    held = links.toPandas()
+    return list(zip(held.iloc[:, 0], held.iloc[:, 1]))

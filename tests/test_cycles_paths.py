@@ -2,6 +2,7 @@ import random
 
 from depweave.operators import cycles as C
 from depweave.operators import query as Q
+from depweave.operators.components import components
 
 
 def found(graph, nodes, edges):
@@ -83,7 +84,7 @@ def test_strong_components_by_brute_force():
         reach = {a: set(out[a]) for a in names}
         for _ in names:
             reach = {a: r.union(*(out[b] for b in r)) for a, r in reach.items()}
-        assert set(C.strongly_cyclic(out)) == {a for a in names if a in reach[a]}
+        assert {n for part in C.strong_parts(out) for n in part} == {a for a in names if a in reach[a]}
 
 
 def test_shortest_path(graph):
@@ -125,8 +126,8 @@ def test_neighbours(graph):
 
 def test_strong_components_in_spark(graph, spark):
     rng = random.Random(8)
-    ids = [f"n{i:03d}" for i in range(120)]
-    links = [(rng.choice(ids), rng.choice(ids)) for _ in range(150)] + [("n000", "n000")] + [(f"r{i:02d}", f"r{(i + 1) % 30:02d}") for i in range(30)]
+    ids = [f"n{i:03d}" for i in range(40)]
+    links = [(rng.choice(ids), rng.choice(ids)) for _ in range(50)] + [("n000", "n000")] + [(f"r{i:02d}", f"r{(i + 1) % 6:02d}") for i in range(6)]
     every = sorted({n for pair in links for n in pair})
     reach = {n: {n} for n in every}
     for _ in every:
@@ -137,8 +138,9 @@ def test_strong_components_in_spark(graph, spark):
         mine = [m for m in reach[n] if n in reach[m]]
         if len(mine) > 1:
             want[n] = max(mine)
-    got = {r.id: r.component for r in C.strong_components(spark.createDataFrame(links, "src string, dst string")).collect()}
-    assert got == want and want["r00"] == "r29"
+    for enough in (0, 10**6):
+        got = {r.id: r.component for r in C.strong_components(spark.createDataFrame(links, "src string, dst string"), enough).collect()}
+        assert got == want and want["r00"] == "r05"
     ns, es = graph([(n, "F") for n in every], links)
     both = [{r.id for r in C.cyclic_nodes(ns, es, enough=k).collect()} for k in (0, 10**6)]
     assert both[0] == both[1] == set(want) | {a for a, b in links if a == b}
@@ -158,5 +160,19 @@ def test_eccentricity(spark):
             seen |= frontier
         most = max(most, depth)
     df = spark.createDataFrame(links, "src string, dst string")
-    assert Q.eccentricity(df, spark.createDataFrame([(s,) for s in starts], "id string")) == most
-    assert Q.eccentricity(df, spark.createDataFrame([], "id string")) == 0
+    for enough in (0, 10**6):
+        assert Q.eccentricity(df, spark.createDataFrame([(s,) for s in starts], "id string"), enough) == most
+        assert Q.eccentricity(df, spark.createDataFrame([], "id string"), enough) == 0
+    some = spark.createDataFrame([("n00",), ("n07",), ("none",)], "id string")
+    both = [{tuple(r) for r in Q.distances(df, some, k).collect()} for k in (0, 10**6)]
+    assert both[0] == both[1] and ("none", "none", 0) in both[0]
+    for a, b in (("s000", "n30"), ("s050", "n07"), ("n03", "s001"), ("n00", "n00")):
+        assert Q.shortest_path(df, a, b, enough=0) == Q.shortest_path(df, a, b)
+
+
+def test_components_on_the_driver(spark):
+    rng = random.Random(4)
+    links = [(f"n{rng.randint(0, 200):03d}", f"n{rng.randint(0, 200):03d}") for _ in range(150)]
+    df = spark.createDataFrame(links, "a string, b string")
+    both = [{tuple(r) for r in components(df, enough).collect()} for enough in (0, 10**6)]
+    assert both[0] == both[1] and components(df.where("false")).collect() == []
