@@ -11,7 +11,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.components import components
 from .common import col, cols, file_flags, fresh, give_back, load, stored, with_file
@@ -20,8 +19,14 @@ from .common import col, cols, file_flags, fresh, give_back, load, stored, with_
 BITS, RADIUS = 128, 22
 #: A pair at distance DESIGN, the farthest that counts, shares at least one shard with probability RECALL.
 DESIGN, RECALL = RADIUS, 0.95
+#: Signatures that a shard holds, a power of two: more make fewer tables to send and more to compare.
+SHARD = 32
+#: Bytes of signatures that a task searches, and signatures that one shards before it sends them on.
+PART_BYTES, BLOCK = 48 << 20, 1 << 17
 SEED = 977
 LONG_WORD, SHINGLE, WEIGHTY = 24, 5, 16
+#: Letters of scripts that put no spaces between words.
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 #: The weight of the set of all words in a long text, and what a text of one word adds to it.
 WHOLE, FEW = 24, 120
 SLICE_CHARS = 2 << 20
@@ -44,15 +49,16 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     names = coded.dictionary
     lengths = pc.utf8_length(names).to_numpy(zero_copy_only=False)
     names = names.to_pylist()
-    if (lengths > LONG_WORD).any():  # text without spaces, as of some scripts, is compared by its shingles
+    long = (lengths > LONG_WORD) | pc.match_substring_regex(coded.dictionary, UNSPACED).to_numpy(zero_copy_only=False) & (lengths > SHINGLE)
+    if long.any():
         known = {w: i for i, w in enumerate(names)}
         parts: dict[int, np.ndarray] = {}
-        for i in np.flatnonzero(lengths > LONG_WORD):
+        for i in np.flatnonzero(long):
             w = names[i]
             grams = {w[j : j + SHINGLE] for j in range(len(w) - SHINGLE + 1)}
             parts[int(i)] = np.array([known.setdefault(g, len(known)) for g in sorted(grams)], np.int64)
         names = list(known)
-        is_long = lengths[word] > LONG_WORD
+        is_long = long[word]
         more = [parts[int(w)] for w in word[is_long]]
         owner = np.concatenate([owner[~is_long], np.repeat(owner[is_long], [len(m) for m in more])])
         word = np.concatenate([word[~is_long], *more])
@@ -62,7 +68,9 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(n, 2) words of 64 signature bits for each text, and whether it has any feature.
 
-    A feature is a word of the lower-cased text, counted once. It weighs the
+    A feature is a word of the lower-cased text, counted once. A run of
+    letters of a script without spaces, and one of more than LONG_WORD
+    letters and digits in any, counts as its SHINGLE-character pieces. It weighs the
     square root of its length (of WEIGHTY characters at most), times 10, which
     takes the place of a stop list. The set of all words is one more feature,
     of weight WHOLE and FEW over their number, which is next to nothing in a
@@ -115,30 +123,56 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shard_plan(n: int, bits: int = BITS, design: int = DESIGN, recall: float = RECALL) -> tuple[int, int]:
     """(sampled bits, tables) for ``n`` signatures.
 
-    A shard holds some four signatures at any ``n``; the number of tables
+    A shard holds some SHARD signatures at any ``n``; the number of tables
     keeps the recall at the design distance. Bits are sampled without
     replacement, so a pair meets in a table with the chance that none of the
     ``k`` places is among the ``design`` that differ.
     """
-    k = min(48, max(10, math.ceil(math.log2(max(2, n))) - 2), max(0, bits - design))
+    k = min(48, max(8, math.ceil(math.log2(max(2, n) / SHARD))), max(0, bits - design))
     meet = math.comb(max(0, bits - design), k) / math.comb(bits, k)
     return k, 1 if meet >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
 
 
-def _shards(k: int, tables: int):
+def _places(k: int, tables: int) -> list[np.ndarray]:
     rng = np.random.default_rng(SEED)
-    places = [np.sort(rng.choice(BITS, k, replace=False)) for _ in range(tables)]
+    return [np.sort(rng.choice(BITS, k, replace=False)) for _ in range(tables)]
+
+
+def _keys(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(words), np.int64)
+    for p in place:
+        key = (key << 1) | ((words[:, p >> 6] >> np.uint64(p & 63)) & np.uint64(1)).astype(np.int64)
+    return key
+
+
+def _shards(k: int, tables: int, parts: int):
+    """Signatures to (part, counts, sigs): those that a part searches, table by table."""
+    places = _places(k, tables)
+
+    def send(words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sent: list[tuple[list, list]] = [([], []) for _ in range(parts)]
+        for t, place in enumerate(places):
+            part = (_scramble(_keys(words, place).astype(np.uint64) + np.uint64(t + 1) * _GOLD) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(ends)):
+                sent[p][0].append((t, ends[p + 1] - ends[p]))
+                sent[p][1].append(words[order[ends[p] : ends[p + 1]]])
+        for p, (counts, sigs) in enumerate(sent):
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.array(counts, np.int32).tobytes()], pa.binary()), pa.array([np.concatenate(sigs).tobytes()], pa.binary())], names=["part", "counts", "sigs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 20000):
-                sig = batch.column(0).slice(at, 20000)
-                words = np.frombuffer(b"".join(sig.to_pylist()), np.uint64).reshape(-1, 2)
-                for t, place in enumerate(places):
-                    key = np.zeros(len(words), np.int64)
-                    for p in place:
-                        key = (key << 1) | ((words[:, p >> 6] >> np.uint64(p & 63)) & np.uint64(1)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), sig], names=["shard_table", "shard_key", "sig"])
+            held.append(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 2))
+            n += len(held[-1])
+            if n >= BLOCK:
+                yield from send(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield from send(np.concatenate(held))
+        give_back()
 
     return run
 
@@ -211,50 +245,52 @@ def bk_search(shard: np.ndarray, sig: np.ndarray, radius: int, at_once: int = 1
             node = np.concatenate(more_n) if more_n else np.zeros(0, np.int64)
 
 
-def _link(radius: int):
-    """Over rows sorted by shard: edges from each signature to the least one it is joined to within its shard."""
-    flush = 1 << 18
-
-    def edges(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
-        table, key, sig = (np.concatenate(x) for x in zip(*rows))
-        shard = np.cumsum((np.diff(table, prepend=-1) != 0) | (np.diff(key, prepend=-1) != 0))
-        label = np.arange(len(shard))
-        for a, b in bk_search(shard, sig, radius):
-            while True:
-                la, lb = label[a], label[b]
-                if (la == lb).all():
-                    break
-                least = np.minimum(la, lb)
-                np.minimum.at(label, la, least)
-                np.minimum.at(label, lb, least)
-                while (label[label] != label).any():
-                    label = label[label]
-        joined = np.flatnonzero(label != np.arange(len(label)))
-        if not len(joined):
-            return None
-        pick = lambda i: pa.array([sig[j].tobytes() for j in i], pa.binary())
-        return pa.RecordBatch.from_arrays([pick(joined), pick(label[joined])], names=["a", "b"])
+def _linked(shard: np.ndarray, sig: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each signature that near ones join to an earlier one of its shard, and the first of those it is joined to."""
+    label = np.arange(len(shard))
+    for a, b in bk_search(shard, sig, radius):
+        while True:
+            la, lb = label[a], label[b]
+            if (la == lb).all():
+                break
+            least = np.minimum(la, lb)
+            np.minimum.at(label, la, least)
+            np.minimum.at(label, lb, least)
+            while (label[label] != label).any():
+                label = label[label]
+    joined = np.flatnonzero(label != np.arange(len(label)))
+    return sig[joined], sig[label[joined]]
+
+
+def _link(radius: int, k: int, tables: int):
+    """Over what :func:`_shards` sends a part: edges (a, b) between signatures, each once a part."""
+    places = _places(k, tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, 2)
-            held.append((table, key, sig))
-            size += len(key)
-            if size >= flush:  # all shards but the last are whole
-                table, key, sig = (np.concatenate(x) for x in zip(*held))
-                new = np.flatnonzero((table != table[-1]) | (key != key[-1]))
-                cut = int(new[-1]) + 1 if len(new) else 0
-                if cut:
-                    if (out := edges([(table[:cut], key[:cut], sig[:cut])])) is not None:
-                        yield out
-                held, size = [(table[cut:], key[cut:], sig[cut:])], len(key) - cut
-        if held and (out := edges(held)) is not None:
-            yield out
+            for counts, sigs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words, at = np.frombuffer(sigs, np.uint64).reshape(-1, 2), 0
+                for t, n in np.frombuffer(counts, np.int32).reshape(-1, 2):
+                    held.setdefault(int(t), []).append(words[at : at + n])
+                    at += n
+        found = []
+        for t, lists in held.items():
+            sig = np.concatenate(lists)
+            key = _keys(sig, places[t])
+            order = np.argsort(key, kind="stable")
+            key, sig = key[order], sig[order]
+            sizes = np.diff(np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key)))
+            several = np.repeat(sizes > 1, sizes)
+            a, b = _linked(key[several], sig[several], radius)
+            if len(a):
+                found.append(np.concatenate([a, b], axis=1))
+        if found:
+            edges = np.unique(np.concatenate(found), axis=0)
+            pick = lambda x: pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+            for at in range(0, len(edges), 1 << 16):
+                some = edges[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pick(some[:, :2]), pick(some[:, 2:])], names=["a", "b"])
         give_back()
 
     return run
@@ -265,14 +301,14 @@ def near_pairs(sigs: DataFrame, radius: int = RADIUS, n: int | None = None) -> D
 
     Shards are made by sampling signature bits, several times over. A
     shard's BK-tree stands where the shard is, which is also where all its
-    queries are, so no tree has to be sent anywhere.
+    queries are, so no tree has to be sent anywhere. Signatures travel in
+    arrays, one for each part and block of them.
     """
-    spark = sigs.sparkSession
-    k, tables = shard_plan(n if n is not None else sigs.count(), design=radius)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = sigs.select("sig").mapInArrow(_shards(k, tables), "shard_table int, shard_key long, sig binary")
-    ordered = spread.repartition(width, "shard_table", "shard_key").sortWithinPartitions("shard_table", "shard_key", "sig")
-    return ordered.mapInArrow(_link(radius), "a binary, b binary").distinct()
+    n = n if n is not None else sigs.count()
+    k, tables = shard_plan(n, design=radius)
+    parts = max(int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * tables * 16 / PART_BYTES))
+    sent = sigs.select("sig").mapInArrow(_shards(k, tables, parts), "part int, counts binary, sigs binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(_link(radius, k, tables), "a binary, b binary").distinct()
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -298,14 +334,15 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     kind = plain.schema["doc_id"].dataType.simpleString()
     signed = stored(plain.where("text is not null").mapInArrow(_sign, f"part long, mark long, doc_id {kind}, sig binary").where("sig is not null"))
     distinct = stored(signed.select("sig").distinct())
-    groups = stored(components(near_pairs(distinct, radius)))
+    groups = stored(components(near_pairs(distinct, radius), enough=0))
     whole = signed.join(groups, signed.sig == groups.node, "left").select("part", "mark", "doc_id", F.coalesce("least", "sig").alias("grp"))
-    # a group's size doesn't matter to the memory: it is sorted, and its first row is what counts
-    place = Window.partitionBy("grp").orderBy(F.col("doc_id").isNull(), "doc_id", "mark")
-    ranked = whole.withColumn("first", F.first("mark").over(place)).withColumn("r", F.row_number().over(place))
-    losers = stored(ranked.where("r > 1").select("part", "mark", F.when(F.col("mark") == F.col("first"), 1).otherwise(0).alias("same")))
+    # the least of a group is a sum of parts, and joins may split a group, so its size doesn't matter
+    whole = stored(whole)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    keepers = whole.groupBy("grp").agg(F.min_by("mark", order).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
+    losers = stored(whole.join(keepers, "grp").select("part", "mark", F.when(F.col("mark") == F.col("first"), 1).otherwise(0).alias("same")))
     dropped = file_flags(losers.where("same = 0"))
-    repeated = stored(losers.where("same = 1").select("mark").distinct())
+    repeated = stored(losers.where("same = 1").groupBy("mark").count().where("count > 1").select("mark"))
     out = homed.withColumn(mark, row).withColumn(drop, dropped(F.col(part), F.col(mark))).where(~F.col(drop))
     if repeated.isEmpty():
         return out.select(*cols(names))

@@ -101,6 +101,8 @@ def test_signatures():
     assert has.tolist() == [True, True, False, False, False, False, True, True] and (s[0] == s[1]).all()
     short = N.signatures(pa.array(["Of the thing", "In the thing", "The thing is in it", "Extraordinarily.", "An extraordinarily"]))[0]
     assert min(np.bitwise_count(short[i] ^ short[j]).sum() for i in range(5) for j in range(i)) > N.RADIUS
+    unspaced = N.signatures(pa.array(["今日は天気がとても良いです", "今日は天気がとても良いで", "明後日なら雨が降るかもしれない"]))[0]
+    assert np.bitwise_count(unspaced[0] ^ unspaced[1]).sum() < np.bitwise_count(unspaced[0] ^ unspaced[2]).sum() - 10
     again, _ = N.signatures(pa.array(texts[6:]))
     assert (again == s[6:]).all()
 
@@ -109,7 +111,7 @@ def test_shard_plan():
     assert N.shard_plan(0)[1] >= 1
     for n in (10**3, 10**6, 10**9):
         k, tables = N.shard_plan(n)
-        assert 2 <= n / 2**k <= 8 or k == 10
+        assert N.SHARD / 2 <= n / 2**k <= N.SHARD or k == 8
         assert 1 - (1 - (1 - N.DESIGN / N.BITS) ** k) ** tables >= N.RECALL
 
 
@@ -126,11 +128,44 @@ def test_pairs_at_the_radius_meet():
     for row in b:
         for place in rng.choice(N.BITS, N.RADIUS, replace=False):
             row[place >> 6] ^= np.uint64(1) << np.uint64(place & 63)
-    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.concatenate([a, b])], pa.binary())], names=["sig"])
-    keys = np.array([r.column(1).to_numpy() for r in N._shards(*N.shard_plan(10**6))(iter([batch]))])
+    keys = np.array([N._keys(np.concatenate([a, b]), place) for place in N._places(*N.shard_plan(10**6))])
     assert (keys[:, :2000] == keys[:, 2000:]).any(axis=0).mean() > 0.93
 
 
+def test_shards_arrive_whole(spark):
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 1 << 63, (3000, 2), dtype=np.uint64)
+    sigs[1500:] = sigs[:1500] ^ (np.uint64(1) << rng.integers(0, 64, (1500, 2), dtype=np.uint64))  # a distance of two
+    df = spark.createDataFrame([(bytearray(s.tobytes()),) for s in sigs], "sig binary")
+    place = {s.tobytes(): i for i, s in enumerate(sigs)}
+    got = {tuple(sorted((place[bytes(r.a)], place[bytes(r.b)]))) for r in N.near_pairs(df, 2).collect()}
+    assert len(got) >= 1450 and all(j == i + 1500 for i, j in got)
+
+
+def test_what_trees_visit():
+    """At the radius in use a tree passes over little of a shard; at a small one, over most."""
+    rng = np.random.default_rng(6)
+    sigs = rng.integers(0, 1 << 63, (3000, 2), dtype=np.uint64)
+    shard = np.zeros(len(sigs), np.int64)
+    share = {}
+    real = N._distance
+    try:
+        for radius in (3, 10, N.RADIUS):
+            seen = []
+            N._distance = lambda a, b: seen.append(len(a)) or real(a, b)  # noqa: B023
+            list(N.bk_search(shard, sigs, radius))
+            share[radius] = sum(seen) / len(sigs) ** 2
+    finally:
+        N._distance = real
+    assert share[3] < 0.2 < share[10] < 0.75 and share[N.RADIUS] < 1.01
+
+
+def test_a_large_group_of_equal_texts(spark):
+    n = 100000
+    df = spark.range(n).selectExpr("id + 5 as doc_id", "'the very same words are in all of these' as text", "'en' as lang", "'s' as source", "1L as n_chars")
+    assert [r.doc_id for r in N.near_dedup(df).collect()] == [5]
+
+
 def near(text, rng, share):
     return " ".join(rng.choice(["instead", "changed", "another"]) + str(rng.randint(0, 99)) if rng.random() < share else w for w in text.split())
 
@@ -171,7 +206,7 @@ def test_near_edges(spark):
 
 def test_components(spark):
     edges = spark.createDataFrame([("b", "a"), ("b", "c"), ("d", "c"), ("x", "y"), ("z", "z")], "a string, b string")
-    assert {tuple(r) for r in N.components(edges).collect()} == {("b", "a"), ("c", "a"), ("d", "a"), ("y", "x")}
+    assert {tuple(r) for r in N.components(edges, 0).collect()} == {("b", "a"), ("c", "a"), ("d", "a"), ("y", "x")}
     n = 60
     chain = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(n)], "a string, b string")
-    assert N.components(chain).where(F.col("least") == "000").count() == n
+    assert N.components(chain, 0).where(F.col("least") == "000").count() == n
