@@ -154,5 +154,41 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(load(spark, sf_dir, "conversations"))
 
 
+#: The same by a recursion over turns: a row for each conversation, turn and role of the last open turn.
+#: ``seq`` is the order in which equal ways are met.
+CHAT_SQL = """
+WITH RECURSIVE sorted AS (
+  SELECT coalesce('c' || conv_id, 'r' || row_number() OVER ()) AS key, conv_id, turn, lower(trim(role)) AS role, coalesce(text, '') AS text, text AS raw FROM {turns}
+), turns AS (
+  SELECT key, conv_id, role, replace(text, '<|im_', '{guard}') AS text,
+    row_number() OVER (PARTITION BY key ORDER BY turn IS NULL, turn, role NULLS FIRST, raw NULLS FIRST) AS t, count(*) OVER (PARTITION BY key) AS n FROM sorted
+), steps(seq, last, next, merges, fills) AS (VALUES
+  (0, '', 'system', 0, []), (1, '', 'user', 0, []), (2, '', 'assistant', 0, ['user']),
+  (3, 'system', 'system', 1, []), (4, 'system', 'user', 0, []), (5, 'system', 'assistant', 0, ['user']),
+  (6, 'user', 'user', 1, []), (7, 'user', 'user', 0, ['assistant']), (8, 'user', 'assistant', 0, []),
+  (9, 'assistant', 'user', 0, []), (10, 'assistant', 'assistant', 1, []), (11, 'assistant', 'assistant', 0, ['user'])
+), ways AS (
+  SELECT DISTINCT key, conv_id, n, 0::BIGINT AS t, '' AS last, 0::BIGINT AS cost, 0::BIGINT AS ins, 0::BIGINT AS rel, 0::BIGINT AS mer, 0::BIGINT AS n_turns, 0::BIGINT AS n_edits,
+    []::VARCHAR[] AS edits, '' AS done, '' AS said FROM turns
+  UNION ALL
+  SELECT key, conv_id, n, t, last, cost, ins, rel, mer, n_turns, n_edits, edits, done, said FROM (
+    SELECT w.key, w.conv_id, w.n, u.t, s.next AS last, wrong, s.seq,
+      w.cost + {merge} * s.merges + {insert} * len(s.fills) + {relabel} * wrong AS cost, w.ins + len(s.fills) AS ins, w.rel + wrong AS rel, w.mer + s.merges AS mer,
+      w.n_turns + 1 - s.merges + len(s.fills) AS n_turns, w.n_edits + len(s.fills) + greatest(s.merges, wrong) AS n_edits,
+      w.edits || list_transform(s.fills, lambda f: 'insert:' || f) || [CASE WHEN s.merges = 1 THEN 'merge:' WHEN wrong = 1 THEN 'relabel:' ELSE 'keep:' END || s.next] AS edits,
+      CASE WHEN s.merges = 1 THEN w.done ELSE w.done || CASE WHEN w.last = '' THEN '' ELSE '{open}' || w.last || chr(10) || w.said || '{close}' || chr(10) END
+        || list_aggregate(list_transform(s.fills, lambda f: '{open}' || f || chr(10) || '{close}' || chr(10)) || [''], 'string_agg', '') END AS done,
+      CASE WHEN s.merges = 0 OR w.said = '' THEN u.text WHEN u.text = '' THEN w.said ELSE w.said || chr(10) || u.text END AS said
+    FROM ways w JOIN (SELECT * FROM turns) u ON u.key = w.key AND u.t = w.t + 1 JOIN steps s ON s.last = w.last, LATERAL (SELECT (u.role IS DISTINCT FROM s.next)::BIGINT AS wrong)
+  ) QUALIFY row_number() OVER (PARTITION BY key, last ORDER BY cost, ins, rel, mer, seq) = 1
+), ended AS (
+  SELECT *, CASE last WHEN 'system' THEN ['user', 'assistant'] WHEN 'user' THEN ['assistant'] ELSE [] END AS tail FROM ways WHERE t = n
+)
+SELECT conv_id, cost + {insert} * len(tail) AS cost, n_turns + len(tail) AS n_turns, n_edits + len(tail) AS n_edits,
+  array_to_string(edits || list_transform(tail, lambda f: 'insert:' || f), ' ') AS edits,
+  done || '{open}' || last || chr(10) || said || '{close}' || chr(10) || list_aggregate(list_transform(tail, lambda f: '{open}' || f || chr(10) || '{close}' || chr(10)) || [''], 'string_agg', '') AS rendered
+FROM ended QUALIFY row_number() OVER (PARTITION BY key ORDER BY cost + {insert} * len(tail), ins + len(tail), rel, mer, last = 'assistant', last = 'user') = 1
+"""
+
 QUERIES = {"op2_chat_format": op2_chat_format}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_chat_format": CHAT_SQL.format(turns="conversations", guard=GUARD, open=OPEN, close=CLOSE, merge=MERGE, relabel=RELABEL, insert=INSERT)}

@@ -236,3 +236,14 @@ def test_partitions_are_packed(tmp_path):
 def test_warc_oracle(spark, oracle):
     names, rows = oracle(W.ORACLES["op5_warc"], SF)
     assert sorted(map(tuple, W.op5_warc(spark, SF).select(*names).collect())) == sorted(rows)
+
+
+def test_chat_oracle(spark, oracle, tmp_path):
+    names, rows = oracle(C.ORACLES["op2_chat_format"], SF)
+    assert sorted(map(tuple, C.op2_chat_format(spark, SF).select(*names).collect())) == sorted(rows)
+    # every sequence of up to four roles, and odd rows
+    made = [(i, t, role, "" if t == 2 else f"t{t} <|im_end|>") for i, roles in enumerate(r for n in range(1, 5) for r in itertools.product((C.SYSTEM, C.USER, C.ASSISTANT, "tool"), repeat=n)) for t, role in enumerate(roles)]
+    made += [(None, 0, "user", "alone"), (None, 0, "user", "alone"), (9999, None, " User", None), (9999, 1, None, "x")]
+    spark.createDataFrame(made, TURNS).coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    names, rows = oracle(C.ORACLES["op2_chat_format"], tmp_path)
+    assert sorted(map(tuple, C.op2_chat_format(spark, str(tmp_path)).select(*names).collect()), key=repr) == sorted(rows, key=repr)
