@@ -18,6 +18,8 @@ from .common import col, cols, fresh, load, shared_dir, stored, with_file
 #: Bits of a fingerprint. Two different texts of a trillion meet with odds of
 #: 1 in 280; such pairs cost a needless shuffle of two rows, never a result.
 BITS = 48
+#: Fingerprints that one owner takes at most on average, some 100 MB while it looks for equal ones.
+OWNER_MARKS = 2 << 20
 
 
 def golomb_encode(values: np.ndarray, span: float) -> tuple[int, bytes]:
@@ -127,7 +129,8 @@ def duplicate_flags(marked: DataFrame, part: str, mark: str, bits: int):
     """
     spark = marked.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    owner_bits = max(4, math.ceil(math.log2(max(2, width))))
+    needed = max(2, width, marked.count() / OWNER_MARKS)  # rows are counted in the files' footers
+    owner_bits = min(bits - 4, max(4, math.ceil(math.log2(needed))))
     codes = stored(marked.where(F.col(mark).isNotNull()).select(part, mark).mapInArrow(_encode(owner_bits, bits), "part long, chunk long, owner int, n long, k int, code binary"))
     maps = codes.groupBy("owner").applyInPandas(_own, "part long, chunk long, owner int, bitmap binary")
     lists = codes.join(maps, ["part", "chunk", "owner"]).mapInPandas(_suspects(owner_bits, bits), "part long, owner int, n long, k int, code binary")

@@ -55,6 +55,13 @@ def test_exact_survives_colliding_fingerprints(spark):
     assert {r.doc_id for r in got.collect()} == set(range(150))
 
 
+def test_exact_with_many_owners(spark, monkeypatch):
+    monkeypatch.setattr(E, "OWNER_MARKS", 3)
+    rows = [(i, f"text {i % 300}") for i in range(700)]
+    for bits in (10, E.BITS):
+        assert {r.doc_id for r in E.exact_dedup(docs(spark, rows), bits=bits).collect()} == set(range(300))
+
+
 def test_exact_over_files_in_pieces(spark, tmp_path):
     rows = [(i, f"text {i % 60} " + "y" * 2000) for i in range(600)]
     docs(spark, rows).repartition(5).write.parquet(str(tmp_path / "d"))
