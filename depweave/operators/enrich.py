@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import clamp, common_root, dirname, extension, is_entity, is_file, label, parent, relative_path
 from ..functions.languages import language
-from .components import components
-from .storage import numbered, stored
+from .storage import DRIVER_LINKS, numbered, stored
 
 PALETTE = tuple(f"#{c}" for c in "4E79A7 F28E2B E15759 76B7B2 59A14F EDC948 B07AA1 FF9DA7 9C755F BAB0AC AF7AA1 86BCB6".split())
 EXTERNAL_COLOR, ENTITY_COLOR, PLAIN_COLOR = "#2d6a4f", "#6a2d6a", "#94a3b8"
@@ -25,27 +23,29 @@ def undirected(files: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(files.select(F.col("id").alias("a")), "a", "left_semi").join(files.select(F.col("id").alias("b")), "b", "left_semi")
 
 
-def louvain_partition(order: list[str], links: list[tuple[str, str]], of: int | None = None) -> dict[str, int]:
-    """Communities of one connected part by modularity, the same at every run.
+def louvain_partition(order: list[str], links: list[tuple], of: float | None = None, loops: dict[str, float] | None = None) -> dict[str, int]:
+    """Communities of a graph by modularity, the same at every run.
 
-    ``of`` is the number of links of the whole graph, if there is more of it
-    than these, as modularity weighs links by all. Nodes are visited in ``order`` and move to the neighbouring community
-    that gains most, ties to the one first met in that order; communities
-    then become the nodes of the next level.
+    Links are (a, b) or (a, b, weight); ``loops`` are twice the weights that
+    nodes, as groups of others, have inside; ``of`` is twice the weight of
+    the whole graph, if there is more of it than this, as modularity weighs
+    by all. Nodes are visited in ``order`` and move to the neighbouring
+    community that gains most, ties to the one first met in that order;
+    communities then become the nodes of the next level.
     """
     place = {n: i for i, n in enumerate(order)}
     weight: list[dict[int, float]] = [defaultdict(float) for _ in order]
-    for a, b in links:
-        weight[place[a]][place[b]] += 1.0
-        weight[place[b]][place[a]] += 1.0
+    inside = [(loops or {}).get(n, 0.0) for n in order]
+    for a, b, *w in links:
+        weight[place[a]][place[b]] += w[0] if w else 1.0
+        weight[place[b]][place[a]] += w[0] if w else 1.0
     own = list(range(len(order)))
-    loops = [0.0] * len(order)
-    total = float(of or len(links)) * 2
+    total = of or sum(map(sum, (w.values() for w in weight))) + sum(inside)
     if not links:
         return {n: i for i, n in enumerate(order)}
     while True:
         n = len(weight)
-        degree = [sum(w.values()) + loops[i] for i, w in enumerate(weight)]
+        degree = [sum(w.values()) + inside[i] for i, w in enumerate(weight)]
         part = list(range(n))
         mass = degree[:]
         moved, moved_ever = True, False
@@ -75,44 +75,90 @@ def louvain_partition(order: list[str], links: list[tuple[str, str]], of: int |
         inner = [0.0] * len(number)
         for i in range(n):
             a = number[part[i]]
-            inner[a] += loops[i]
+            inner[a] += inside[i]
             for j, w in weight[i].items():
                 b = number[part[j]]
                 if a == b:
                     inner[a] += w
                 else:
                     merged[a][b] += w
-        weight, loops = merged, inner
+        weight, inside = merged, inner
 
 
-def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, community): the community of each file, named by its first member.
+#: Rounds of moves at a level, and the share of nodes that must move for another.
+ROUNDS, FEW_MOVES = 12, 0.002
 
-    No community spans two components, so components are found first and
-    each is partitioned in a task of its own; one component's links must fit
-    there. A file without links is alone.
+
+def _moves(links: DataFrame, loops: DataFrame, total: float) -> DataFrame:
+    """(node, c): a level of moves of nodes to neighbouring communities, all of one half at a time.
+
+    A round sums each node's links by the community they lead to, where the
+    links are, and takes the best; half of the nodes, by a hash that changes
+    with the round, may move, so that two neighbours seldom exchange places.
+    """
+    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    degree = stored(both.select("a", "w").unionByName(loops.select(F.col("node").alias("a"), "w")).groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("deg")))
+    held = degree.select("node", F.col("node").alias("c"), "deg")
+    n = degree.count()
+    for turn in range(ROUNDS):
+        mass = held.groupBy("c").agg(F.sum("deg").alias("mass"))
+        to = held.select(F.col("node").alias("b"), "c")
+        near = both.join(to, "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("w"))
+        mine = held.select("node", F.col("c").alias("own"), "deg")
+        seen = near.join(mine, "node").join(mass, "c")
+        alone = F.when(F.col("c") == F.col("own"), F.col("deg")).otherwise(0.0)
+        gain = F.col("w") - (F.col("mass") - alone) * F.col("deg") / total
+        told = seen.select("node", "own", "c", gain.alias("gain"))
+        best = told.groupBy("node").agg(F.max(F.struct("gain", "c")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+        free = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
+        own_mass = mine.join(mass.withColumnRenamed("c", "own").withColumnRenamed("mass", "own_mass"), "own")
+        step = own_mass.join(best, "node", "left")
+        stay = F.coalesce("stay", -(F.col("own_mass") - F.col("deg")) * F.col("deg") / total)
+        go = F.coalesce(free & (F.col("best.gain") > stay + 1e-12), F.lit(False))
+        moved = stored(step.select("node", F.when(go, F.col("best.c")).otherwise(F.col("own")).alias("c"), "deg", go.alias("moved")))
+        held = moved.select("node", "c", "deg")
+        if turn % 2 and moved.where("moved").count() <= FEW_MOVES * n:
+            break
+    return held.select("node", "c")
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, enough: int = DRIVER_LINKS) -> DataFrame:
+    """(id, community): the community of each file, named by its first member. A file without links is alone.
+
+    While there are more than ``enough`` links, nodes move in Spark and their
+    communities become the nodes of a smaller graph; the driver partitions
+    what is left, or all where links are few. Names of the groups on the way
+    are those of members.
     """
+    spark = nodes.sparkSession
     files = nodes.where(is_file(F.col("external"), F.col("kind")))
     order = F.col("ord").cast("long") if "ord" in nodes.columns else F.lit(0).cast("long")
     files = files.select("id", order.alias("ord"))
     pairs = stored(undirected(files, edges))
-    whole = pairs.count()
-    groups = components(pairs)
-    member = pairs.join(groups, pairs.a == groups.node, "left").select(F.coalesce("least", "a").alias("component"), "a", "b")
-    ords = files.select(F.col("id").alias("a"), F.col("ord").alias("oa"))
-    ordb = files.select(F.col("id").alias("b"), F.col("ord").alias("ob"))
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = dict(zip(pdf.a, pdf.oa)) | dict(zip(pdf.b, pdf.ob))
-        names = sorted(seen, key=lambda n: (seen[n], n))
-        part = louvain_partition(names, sorted(zip(pdf.a, pdf.b)), whole)
-        first: dict[int, str] = {}
-        for n in names:
-            first.setdefault(part[n], n)
-        return pd.DataFrame({"id": names, "community": [first[part[n]] for n in names]})
-
-    found = member.join(ords, "a").join(ordb, "b").groupBy("component").applyInPandas(split, "id string, community string")
-    return files.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    links = pairs.select("a", "b", F.lit(1.0).alias("w"))
+    total = 2.0 * pairs.count()
+    loops = spark.createDataFrame([], "node string, w double")
+    own = files.select("id", F.col("id").alias("node"), "ord")
+    size = links.count()
+    while size > enough:
+        to = _moves(links, loops, total)
+        ends = links.join(to.select(F.col("node").alias("a"), F.col("c").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("c").alias("y")), "b")
+        ends = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")))
+        kept = loops.join(to, "node").select(F.col("c").alias("node"), "w")
+        loops = stored(kept.unionByName(ends.where("a = b").select(F.col("a").alias("node"), (F.col("w") * 2).alias("w"))).groupBy("node").agg(F.sum("w").alias("w")))
+        own = stored(own.join(to, "node", "left").select("id", F.coalesce("c", "node").alias("node"), "ord"))
+        links = ends.where("a <> b")
+        before, size = size, links.count()
+        if size > 0.98 * before:  # hardly anything moves any more
+            break
+    if 0 < size <= enough:
+        firsts = own.groupBy("node").agg(F.min("ord").alias("first"))
+        touched = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        names = [r.node for r in firsts.join(touched, "node", "left_semi").orderBy("first", "node").collect()]
+        part = louvain_partition(names, [tuple(r) for r in links.orderBy("a", "b").collect()], total, {r.node: r.w for r in loops.collect()})
+        own = own.join(spark.createDataFrame([(n, f"{c}") for n, c in part.items()], "node string, c string"), "node", "left").select("id", F.coalesce(F.concat(F.lit("#"), "c"), F.concat(F.lit("="), "node")).alias("node"), "ord")
+    named = own.groupBy("node").agg(F.min(F.struct("ord", "id")).alias("f"))
+    return own.join(named, "node").select("id", F.col("f.id").alias("community"))
 
 
 def community_names(members: DataFrame) -> DataFrame:

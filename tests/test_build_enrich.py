@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from depweave.functions import columns as C
@@ -124,3 +127,31 @@ def test_louvain_stays_in_components(graph):
     ns, es = graph([(n, "F") for n in "abcdef"] + [("ext", "X")], [("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("f", "f"), ("a", "ext"), ("c", "ext")])
     got = {r.id: r.community for r in enrich.louvain(ns, es).collect()}
     assert set(got) == set("abcdef") and got["a"] == got["b"] == "a" and got["f"] == "f" and got["c"] not in ("a", "f")
+
+
+def test_louvain_in_spark(graph):
+    """Moves in Spark reach what moves on the driver reach, on groups that hang together by single links."""
+    rng = random.Random(11)
+    links = []
+    for g in range(12):
+        mine = [f"/g{g:02d}/f{i}" for i in range(9)]
+        links += [(a, b) for i, a in enumerate(mine) for b in mine[i + 1 :] if rng.random() < 0.7]
+        links += [(mine[0], f"/g{(g + 1) % 12:02d}/f0")] if g != 11 else []
+    links += [("/far/a", "/far/b")]
+    names = sorted({n for pair in links for n in pair})
+    ns, es = graph([(n, "F") for n in [*names, "/alone"]], links)
+    degree = Counter(n for pair in links for n in pair)
+
+    def modularity(part):
+        mass = Counter()
+        for n, d in degree.items():
+            mass[part[n]] += d
+        return sum(part[a] == part[b] for a, b in links) / len(links) - sum(m * m for m in mass.values()) / (2 * len(links)) ** 2
+
+    reached = []
+    for enough in (0, 40, 10**6):
+        got = {r.id: r.community for r in enrich.louvain(ns, es, enough).collect()}
+        assert set(got) == {*names, "/alone"} and got["/alone"] == "/alone" and len({got["/far/a"], got["/far/b"]}) == 1
+        assert all(got[c] == c for c in got.values()) and got["/far/a"] not in {c for n, c in got.items() if n.startswith("/g")}
+        reached.append(modularity(got))
+    assert min(reached) > 0.95 * max(reached) > 0.7
