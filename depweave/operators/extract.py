@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import ast
 import re
+import threading
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PARSED
+from .storage import stored
 
 Found = tuple[list[str], dict[str, list[str]]]
 
@@ -608,17 +611,47 @@ def parse(path: str, source: str | None) -> tuple[str, list[str], dict[str, list
     return path, deps, found, False
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Parsed records of ``files`` (path, ord, content binary): each file in a task, failures as records."""
+def parse_files(files: DataFrame, tasks: int | None = None, done: Accumulator | None = None) -> DataFrame:
+    """Parsed records of ``files`` (path, ord, content binary), failures as records.
+
+    ``tasks`` spreads the files over so many tasks, whatever their folders
+    are; read contents behind it, so that they needn't move. ``done`` counts
+    the files.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [parse(p, None if c is None else bytes(c).decode("utf-8", "replace")) for p, c in zip(frame.path, frame.content)]
             out = pd.DataFrame(rows, columns=["id", "dependencies", "entities", "error"])
             out["ord"] = frame.ord.to_numpy()
+            if done is not None:
+                done.add(len(rows))
             yield out
 
-    return files.select("path", "ord", "content").mapInPandas(run, PARSED)
+    slim = files.select("path", "ord", "content")
+    return (slim.repartition(tasks) if tasks else slim).mapInPandas(run, PARSED)
+
+
+def parse_now(files: DataFrame, progress: Callable[[int], None], tasks: int | None = None, every: float = 0.2) -> DataFrame:
+    """:func:`parse_files`, run and stored; ``progress`` hears how many files are done whenever a task ends, and the last time all of them."""
+    done, over = files.sparkSession.sparkContext.accumulator(0), threading.Event()
+
+    def tell() -> None:
+        last = 0
+        while not over.wait(every):
+            if done.value != last:
+                last = done.value
+                progress(last)
+
+    teller = threading.Thread(target=tell, daemon=True)
+    teller.start()
+    try:
+        out = stored(parse_files(files, tasks, done))
+    finally:
+        over.set()
+        teller.join()
+    progress(out.count())  # a repeated task counts its files again
+    return out
 
 
 def link_targets(pages: DataFrame, tag: str = "a", attribute: str = "href") -> DataFrame:

@@ -231,3 +231,11 @@ def test_parse_files(spark):
     files = spark.createDataFrame([("/b.js", 0, b"import 'x'"), ("/a.py", 1, b"import y"), ("/c.js", 2, None), ("/d.css", 3, b"\xff\xfe")], "path string, ord long, content binary")
     got = X.parse_files(files).orderBy("ord").collect()
     assert [(r.id, r.dependencies, r.error) for r in got] == [("/b.js", ["x"], False), ("/a.py", ["y"], False), ("/c.js", [], True), ("/d.css", [], False)]
+
+
+def test_parsing_tells_how_far_it_is(spark):
+    files = spark.createDataFrame([(f"/f{i}.py", i, bytearray(b"import a") if i % 5 else bytearray(b" ")) for i in range(60)], "path string, ord long, content binary")
+    heard = []
+    got = X.parse_now(files, heard.append, tasks=3, every=0.01)
+    assert got.count() == 60 == heard[-1] and heard == sorted(heard) and got.where("error").count() == 12
+    assert X.parse_files(files, tasks=3).rdd.getNumPartitions() == 3
