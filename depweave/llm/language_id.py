@@ -273,19 +273,19 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return model
 
 
-def _spread_over(text: Column) -> Column:
-    """SAMPLE_CHARS of a text: PIECES runs that begin at even distances, the last of which ends the text."""
-    run = SAMPLE_CHARS // PIECES
+def _spread_over(text: Column, chars: int) -> Column:
+    """So many characters of a text: PIECES runs that begin at even distances, the last of which ends the text."""
+    run = max(1, chars // PIECES)
     starts = [F.floor((F.length(text) - run) * i / (PIECES - 1)).cast("int") + 1 for i in range(PIECES)]
     pieces = F.concat_ws(" ", *(F.substring(text, start, F.lit(run)) for start in starts))
-    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(pieces)
+    return F.when(F.length(text) <= chars, text).otherwise(pieces)
 
 
-def training_rows(docs: DataFrame, per_language: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, per_language: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """At most ``per_language`` rows of each language: those whose ids hash lowest.
 
-    Of long texts, runs from all over are taken; the commonest
-    ``most_languages`` languages count, ties going to the first by name.
+    Of texts of more than ``sample_chars``, runs from all over are taken; the
+    commonest ``most_languages`` languages count, ties going to the first by name.
     """
     labelled = docs.where(col("lang").isNotNull() & (F.length(F.trim(col("text"))) > 0))
     order = F.xxhash64(col("doc_id").cast("string"), F.lit(11))
@@ -297,17 +297,17 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE_ROWS, most_languag
     for r in counts:
         share = F.when(col("lang") == r.lang, min(1.0, 4.0 * per_language / r["count"] + 1e-9)).otherwise(share)
     within = F.pmod(order, F.lit(1 << 20)) / float(1 << 20) < share
-    few = labelled.where(within & col("lang").isin([r.lang for r in counts])).select(col("lang").alias("lang"), _spread_over(col("text").cast("string")).alias("text"), order.alias("o"))
+    few = labelled.where(within & col("lang").isin([r.lang for r in counts])).select(col("lang").alias("lang"), _spread_over(col("text").cast("string"), sample_chars).alias("text"), order.alias("o"))
     top = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("r") <= per_language)
     return sorted((r.lang, r.text) for r in top.select("lang", "text").collect())
 
 
-def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE_ROWS, language: str = "language", score: str = "language_score", accepted: str = "accepted", most_languages: int = MOST_LANGUAGES) -> DataFrame:
+def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE_ROWS, language: str = "language", score: str = "language_score", accepted: str = "accepted", most_languages: int = MOST_LANGUAGES, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """``docs`` with the language found, its score and whether it is accepted.
 
     The classifier is fitted on a bounded sample of rows whose ``lang`` is
-    given: ``per_language`` of each, hashed from the ids, and of a long one
-    runs from all over it. Only the ``most_languages`` with the most rows
+    given: ``per_language`` of each, hashed from the ids, and of one longer
+    than ``sample_chars`` runs of that length together from all over it. Only the ``most_languages`` with the most rows
     are told apart; raise it, at the cost of the driver's memory, for tables
     with more. All documents are
     then scored over their whole texts, in batches of matrix products. The
@@ -324,7 +324,7 @@ def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE
     rows get equal results; extra columns pass through, but for those with
     the names of the three made. An empty table gives an empty one.
     """
-    model = fit(rows, reject=reject) if (rows := training_rows(docs, per_language, most_languages)) else None
+    model = fit(rows, reject=reject) if (rows := training_rows(docs, per_language, most_languages, sample_chars)) else None
     own = [n for n in docs.columns if n.lower() not in (language.lower(), score.lower(), accepted.lower())]
     found = fresh(docs, "found")[0]
     out_type = pa.struct([("language", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])

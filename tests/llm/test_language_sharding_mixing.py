@@ -145,6 +145,8 @@ def test_samples_reach_past_a_foreign_head(spark):
     df = spark.createDataFrame(rows, DOCS)
     sample = L.training_rows(df)
     assert all("gesprochen" in t for lang, t in sample if lang == "de") and max(len(t) for _, t in sample) <= L.SAMPLE_CHARS + L.PIECES
+    whole = dict(L.training_rows(df, sample_chars=10**6))
+    assert len(whole["de"]) == len(head + german)
     got = {r.doc_id: r for r in L.identify(df).collect()}
     assert (got[20].language, got[20].accepted) == ("de", True) and got[30].language == "pt"
     assert {lang for lang, _ in L.training_rows(df, most_languages=2)} == {"de", "en"}
