@@ -228,8 +228,8 @@ def packages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
 
 
-_PLAIN_FILES = "*.txt *.md *.json *.yaml *.yml *.toml *.cfg *.ini *.log *.csv *.svg *.png *.jpg *.jpeg *.gif *.ico *.woff *.woff2 *.eot *.ttf *.otf *.pdf"
-_SCRIPT_OUT, _PYTHON_OUT = "node_modules/ dist/ build/", "venv/ __pycache__/ .pytest_cache/ *.pyc dist/ build/"
+_PLAIN_FILES = " ".join(f"*.{e}" for e in sorted("pdf csv log ini cfg toml yml yaml json md txt svg ico gif jpeg jpg png otf ttf eot woff2 woff".split()))
+_SCRIPT_OUT, _PYTHON_OUT = "build/ dist/ node_modules/", "build/ dist/ *.pyc __pycache__/ .pytest_cache/ venv/"
 _STACK_OUT = {
     **dict.fromkeys(("angular", "react", "vue", "svelte", "express", "fastify", "hono"), _SCRIPT_OUT),
     **dict.fromkeys(("node", "nextjs"), _SCRIPT_OUT + " .next/"),
