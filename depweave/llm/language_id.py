@@ -345,10 +345,12 @@ def identify(docs: DataFrame, reject: float = REJECT, per_language: int = SAMPLE
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(value, pa.float64(), mask=np.isnan(value)), pa.array(np.concatenate(taken) if taken else np.zeros(0, bool))], fields=list(out_type))
         give_back()
 
+    # else a filter on what is found would go below and have every text classified twice
+    once = classify.asNondeterministic()
     if model is None:
         none = docs.select(*cols(own), F.lit(None).cast("string").alias(language), F.lit(None).cast("double").alias(score))
         return none.withColumn(accepted, F.lit(False))
-    scored = docs.select(*cols(own), classify(col("text").cast("string")).alias(found))
+    scored = docs.select(*cols(own), once(col("text").cast("string")).alias(found))
     return scored.select(
         *cols(own),
         F.col(found)["language"].alias(language),
