@@ -54,6 +54,27 @@ def payloads(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def payload_sizes(nodes: DataFrame, edges: DataFrame, tally: DataFrame | None = None) -> DataFrame:
+    """(file, n_classes, n_functions, n_docstrings, n_edges_to): how much :func:`payloads` lists, without the lists.
+
+    ``tally`` (src, kind, n) has entities that are counted already and so aren't among ``edges``.
+    """
+    ends = nodes.select(F.col("id").alias("dst"), "kind")
+    sorts = edges.select("src", "dst").distinct().join(ends, "dst").groupBy("src", "kind").agg(F.count("*").alias("n"))
+    if tally is not None:
+        sorts = sorts.unionByName(tally.select("src", "kind", "n"))
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
+    told = sorts.groupBy("src").agg(
+        total(F.col("kind") == "class").alias("n_classes"),
+        total(F.col("kind").isin("function", "entity")).alias("n_functions"),
+        total(F.coalesce(F.col("kind"), F.lit("")) == "").alias("n_edges_to"),
+    )
+    docs = F.coalesce(F.size("docstrings"), F.lit(0)) if "docstrings" in nodes.columns else F.lit(0)
+    files = nodes.where(is_file(F.col("external"), F.col("kind"))).select(F.col("id").alias("file"), F.greatest(docs, F.lit(0)).cast("long").alias("n_docstrings"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return files.join(told, F.col("file") == F.col("src"), "left").select("file", n("n_classes"), n("n_functions"), "n_docstrings", n("n_edges_to"))
+
+
 def concurrency(asked: object, default: int = 2, most: int = 5) -> int:
     """Workers to run: what was asked for if it is a number from 1 on, ``most`` at most."""
     try:
