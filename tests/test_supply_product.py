@@ -3,8 +3,11 @@
 import duckdb
 import pytest
 
-from depweave.operators import cluster
+from pyspark.sql import functions as F
+
+from depweave.operators import cluster, enrich
 from depweave.plans import registry
+from depweave.sources import adapters
 
 SUPPLIERS, CUSTOMERS = 60, 300
 #: Rows of all tables together are fewer, entities many more.
@@ -73,3 +76,30 @@ def test_payload_sizes(graph, spark):
     assert told == {r.file: tuple(r)[1:] for r in cluster.payload_sizes(nodes, edges).collect()} == {"/a": (1, 2, 2, 2), "/b": (0, 0, 0, 0)}
     more = spark.createDataFrame([("/b", "class", 3), ("/a", "function", 4), ("/a", "method", 9)], "src string, kind string, n long")
     assert {r.file: tuple(r)[1:] for r in cluster.payload_sizes(nodes, edges, more).collect()} == {"/a": (1, 6, 2, 2), "/b": (3, 0, 0, 0)}
+
+
+@pytest.mark.parametrize("name", ["entity_inherit"])
+def test_entities_stay_where_they_are_formed(spark, oracle, folder, name):
+    got = registry.QUERIES[name](spark, folder)
+    assert matches(got, registry.ORACLES[name], oracle, folder)
+    got.collect()
+    assert most(got, "shuffleRecordsWritten") < FEW < most(got, "numOutputRows")
+
+
+def test_entities_of_files_alone(graph):
+    """A file gives its community, another entity or an external of that id doesn't."""
+    nodes, _ = graph(
+        [("/a", "F", {"community": "m"}), ("/a::C", "class", {"community": "n"}), ("/a::C::f", "method"), ("x", "X", {"community": "dependencies"}), ("x::g", "function"), ("h", "function"), ("/a::::k", "function")], []
+    )
+    got = {r.id: (r.parent, r.community) for r in enrich.entity_communities(nodes).collect()}
+    assert got == {"/a::C": ("/a", "m"), "/a::C::f": ("/a::C", "other"), "x::g": ("x", "other"), "h": ("h", "other"), "/a::::k": ("/a::", "other")}
+
+
+def test_spread(spark, tmp_path, monkeypatch):
+    """As many tasks form entities as there are entities for, even if one file has all customers."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS s_suppkey, 0 AS s_nationkey FROM range(100) t(i)) TO '{tmp_path}/supplier.parquet'")
+    con.execute(f"COPY (SELECT i AS c_custkey, 'c' AS c_name, 0 AS c_nationkey, 'BUILDING' AS c_mktsegment FROM range(2000) t(i)) TO '{tmp_path}/customer.parquet'")
+    monkeypatch.setattr(adapters, "ENTITIES", 1000)
+    per = [r["count"] for r in adapters.supply_entities(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 200_000 and len(per) == 8 and max(per) < 60_000
