@@ -72,9 +72,19 @@ def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().join(ends, "dst")
 
 
-def language_breakdown(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Files, distinct dependencies and entities of each language, most files first."""
+def _entities_told(tally: DataFrame) -> DataFrame:
+    return tally.where(is_entity(F.col("kind"))).select(F.col("src").alias("file"), "n")
+
+
+def language_breakdown(nodes: DataFrame, edges: DataFrame, tally: DataFrame | None = None) -> DataFrame:
+    """Files, distinct dependencies and entities of each language, most files first.
+
+    ``tally`` (src, kind, n) has entities that are counted already and so aren't among ``edges``.
+    """
     out = neighbours(nodes, edges).groupBy("src").agg(F.count_if(~F.col("entity")).alias("deps"), F.count_if(F.col("entity")).alias("inner"))
+    if tally is not None:
+        both = out.unionByName(_entities_told(tally).select(F.col("file").alias("src"), F.lit(0).cast("long").alias("deps"), F.col("n").alias("inner")))
+        out = both.groupBy("src").agg(F.sum("deps").alias("deps"), F.sum("inner").alias("inner"))
     name = F.coalesce(F.nullif(F.col("language"), F.lit("")), F.lit("Unknown"))
     per = _files(nodes).select("id", name.alias("language")).join(out, F.col("id") == F.col("src"), "left")
     return (
@@ -141,9 +151,9 @@ def isolated_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _files(nodes).select("id").join(out.unionByName(into), "id", "left_anti")
 
 
-def health_ratios(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: distinct dependencies and entities a file, not rounded; 0 without files."""
-    total = language_breakdown(nodes, edges).agg(F.sum("files").alias("f"), F.sum("total_deps").alias("d"), F.sum("entities").alias("e"))
+def health_ratios(nodes: DataFrame, edges: DataFrame, tally: DataFrame | None = None) -> DataFrame:
+    """One row: distinct dependencies and entities a file, not rounded; 0 without files. ``tally`` is as for :func:`language_breakdown`."""
+    total = language_breakdown(nodes, edges, tally).agg(F.sum("files").alias("f"), F.sum("total_deps").alias("d"), F.sum("entities").alias("e"))
     per = lambda c: F.when(F.col("f") > 0, F.col(c) / F.col("f")).otherwise(0.0)
     return total.select(per("d").alias("avg_deps"), per("e").alias("entity_density"))
 
