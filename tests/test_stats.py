@@ -121,3 +121,10 @@ def test_asked_for_numbers_and_files(tmp_path):
     path = tmp_path / "a" / "b" / "stats.json"
     text = S.write_stats({"a": [1, None]}, str(path))
     assert json.loads(path.read_text()) == json.loads(S.write_stats({"a": [1, None]})) == {"a": [1, None]} and text == path.read_text()
+
+
+def test_languages_with_entities_counted_before(graph, spark):
+    nodes, edges = graph([("a.js", "F", JS), ("b.js", "F", JS), ("c.ts", "F", TS), ("a.js::Foo", "class")], [("a.js", "b.js"), ("a.js", "c.ts"), ("a.js", "=a.js::Foo")])
+    more = spark.createDataFrame([("c.ts", "class", 5), ("c.ts", "method", 2), ("a.js", "function", 1)], "src string, kind string, n long")
+    assert rows(S.language_breakdown(nodes, edges, more)) == [("JavaScript", 2, 2, 2), ("TypeScript", 1, 0, 7)]
+    assert one(S.health_ratios(nodes, edges, more)) == {"avg_deps": 2 / 3, "entity_density": 3.0}
