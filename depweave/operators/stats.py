@@ -115,12 +115,14 @@ def heaviest_importers(nodes: DataFrame, edges: DataFrame, k: int | None = TOP,
     return _top(files.join(pairs.groupBy(F.col("src").alias("id")).agg(_long(F.count("*")).alias("dependencies")), "id"), "dependencies", k, order)
 
 
-def largest_files(nodes: DataFrame, edges: DataFrame, k: int | None = TOP, order: str = "id") -> DataFrame:
-    """Files by their number of entities."""
+def largest_files(nodes: DataFrame, edges: DataFrame, k: int | None = TOP, order: str = "id", tally: DataFrame | None = None) -> DataFrame:
+    """Files by their number of entities. ``tally`` is as for :func:`language_breakdown`."""
     files = _files(nodes).select("id", *({order} - {"id"}))
     to = nodes.where(is_entity(F.col("kind"))).select(F.col("id").alias("dst"))
-    pairs = edges.select("src", "dst").distinct().join(to, "dst", "left_semi")
-    return _top(files.join(pairs.groupBy(F.col("src").alias("id")).agg(_long(F.count("*")).alias("entities")), "id"), "entities", k, order)
+    counted = edges.select("src", "dst").join(to, "dst", "left_semi").distinct().groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    if tally is not None:
+        counted = counted.unionByName(_entities_told(tally).withColumnRenamed("file", "id"))
+    return _top(files.join(counted.groupBy("id").agg(_long(F.sum("n")).alias("entities")), "id"), "entities", k, order)
 
 
 def max_dep_chain(nodes: DataFrame, edges: DataFrame) -> DataFrame:

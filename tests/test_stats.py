@@ -128,3 +128,9 @@ def test_languages_with_entities_counted_before(graph, spark):
     more = spark.createDataFrame([("c.ts", "class", 5), ("c.ts", "method", 2), ("a.js", "function", 1)], "src string, kind string, n long")
     assert rows(S.language_breakdown(nodes, edges, more)) == [("JavaScript", 2, 2, 2), ("TypeScript", 1, 0, 7)]
     assert one(S.health_ratios(nodes, edges, more)) == {"avg_deps": 2 / 3, "entity_density": 3.0}
+
+
+def test_largest_with_entities_counted_before(graph, spark):
+    nodes, edges = graph([("a", "F"), ("b", "F"), ("c", "F"), ("a::X", "class")], [("a", "=a::X"), ("a", "=a::X"), ("a", "b")])
+    more = spark.createDataFrame([("b", "class", 1), ("b", "method", 2), ("a", "function", 1), ("x", "class", 9)], "src string, kind string, n long")
+    assert rows(S.largest_files(nodes, edges, tally=more)) == [("b", 3), ("a", 2)] and rows(S.largest_files(nodes, edges)) == [("a", 1)]
