@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from depweave.functions import columns
 from depweave.operators import cluster, enrich
 from depweave.plans import registry
 from depweave.sources import adapters
@@ -78,7 +79,7 @@ def test_payload_sizes(graph, spark):
     assert {r.file: tuple(r)[1:] for r in cluster.payload_sizes(nodes, edges, more).collect()} == {"/a": (1, 6, 2, 2), "/b": (3, 0, 0, 0)}
 
 
-@pytest.mark.parametrize("name", ["entity_inherit"])
+@pytest.mark.parametrize("name", ["entity_inherit", "node_display"])
 def test_entities_stay_where_they_are_formed(spark, oracle, folder, name):
     got = registry.QUERIES[name](spark, folder)
     assert matches(got, registry.ORACLES[name], oracle, folder)
@@ -103,3 +104,11 @@ def test_spread(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(adapters, "ENTITIES", 1000)
     per = [r["count"] for r in adapters.supply_entities(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per) == 200_000 and len(per) == 8 and max(per) < 60_000
+
+
+def test_paths_seen_from_the_top(spark):
+    given = ["/", "//", "/a", "/a/b", "//a///b//", "/a /../b", "a//b", "", None, "/a/\nb/"]
+    got = spark.createDataFrame([(p,) for p in given], "p string").select(columns.relative_path(F.col("p"), "/")).collect()
+    assert [r[0] for r in got] == [p if p is None or not p.startswith("/") else "/".join(s for s in p.split("/") if s) for p in given]
+    plan = spark.createDataFrame([("/a",)], "p string").select(columns.display(F.col("p"), F.col("p"), F.col("p"), F.lit(False)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
