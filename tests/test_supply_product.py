@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depweave.functions import columns
-from depweave.operators import cluster, enrich
+from depweave.operators import cluster, enrich, ui
 from depweave.plans import registry
 from depweave.sources import adapters
 
@@ -79,7 +79,7 @@ def test_payload_sizes(graph, spark):
     assert {r.file: tuple(r)[1:] for r in cluster.payload_sizes(nodes, edges, more).collect()} == {"/a": (1, 6, 2, 2), "/b": (3, 0, 0, 0)}
 
 
-@pytest.mark.parametrize("name", ["entity_inherit", "node_display"])
+@pytest.mark.parametrize("name", ["entity_inherit", "node_display", "ui_degree"])
 def test_entities_stay_where_they_are_formed(spark, oracle, folder, name):
     got = registry.QUERIES[name](spark, folder)
     assert matches(got, registry.ORACLES[name], oracle, folder)
@@ -112,3 +112,9 @@ def test_paths_seen_from_the_top(spark):
     assert [r[0] for r in got] == [p if p is None or not p.startswith("/") else "/".join(s for s in p.split("/") if s) for p in given]
     plan = spark.createDataFrame([("/a",)], "p string").select(columns.display(F.col("p"), F.col("p"), F.col("p"), F.lit(False)))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan
+
+
+def test_degrees_counted_before(graph, spark):
+    nodes, edges = graph([("a", "F"), ("b", "F"), ("c", "F"), ("d", "F")], [("a", "b"), ("a", "b"), ("c", "c")])
+    more = spark.createDataFrame([("a", "class", 3), ("a", "method", 1), ("d", "class", 2)], "src string, kind string, n long")
+    assert {tuple(r) for r in ui.degrees(nodes, edges, more).collect()} == {("a", 6), ("b", 2), ("c", 2), ("d", 2)}
