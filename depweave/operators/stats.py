@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +50,23 @@ def _long(c: Column) -> Column:
     return c.cast("long")
 
 
+def _counter(df: DataFrame) -> Callable[[Column], Column]:
+    """How many fulfil a condition, by ``times`` where rows have it."""
+    if "times" in df.columns:
+        return lambda cond: _long(F.coalesce(F.sum(F.when(cond, F.col("times"))), F.lit(0)))
+    return lambda cond: _long(F.count_if(cond))
+
+
 def composition(nodes: DataFrame) -> DataFrame:
-    """One row: how many nodes of each sort."""
+    """One row: how many nodes of each sort; a row stands for as many as its ``times`` says, if there is such a column."""
     kind, external = F.col("kind"), F.coalesce("external", F.lit(False))
+    count = _counter(nodes)
     return nodes.agg(
-        _long(F.count_if(is_file(F.col("external"), kind))).alias("files"),
-        _long(F.count_if(is_entity(kind) & ~external)).alias("entities"),
-        *(_long(F.count_if((kind == k) & ~external)).alias(name) for k, name in (("class", "classes"), ("function", "functions"), ("method", "methods"))),
-        _long(F.count_if(external)).alias("externals"),
-        _long(F.count_if(external & F.coalesce("npm", F.lit(False)))).alias("npm_packages"),
+        count(is_file(F.col("external"), kind)).alias("files"),
+        count(is_entity(kind) & ~external).alias("entities"),
+        *(count((kind == k) & ~external).alias(name) for k, name in (("class", "classes"), ("function", "functions"), ("method", "methods"))),
+        count(external).alias("externals"),
+        count(external & F.coalesce("npm", F.lit(False))).alias("npm_packages"),
     )
 
 

@@ -134,3 +134,9 @@ def test_largest_with_entities_counted_before(graph, spark):
     nodes, edges = graph([("a", "F"), ("b", "F"), ("c", "F"), ("a::X", "class")], [("a", "=a::X"), ("a", "=a::X"), ("a", "b")])
     more = spark.createDataFrame([("b", "class", 1), ("b", "method", 2), ("a", "function", 1), ("x", "class", 9)], "src string, kind string, n long")
     assert rows(S.largest_files(nodes, edges, tally=more)) == [("b", 3), ("a", 2)] and rows(S.largest_files(nodes, edges)) == [("a", 1)]
+
+
+def test_composition_of_rows_that_stand_for_many(spark):
+    nodes = spark.createDataFrame([(None, False, None, 2), ("class", False, None, 5), ("method", None, None, 3), ("entity", False, None, 1), (None, True, True, 4), (None, True, None, 6)], "kind string, external boolean, npm boolean, times long")
+    assert one(S.composition(nodes)) == {"files": 2, "entities": 9, "classes": 5, "functions": 0, "methods": 3, "externals": 10, "npm_packages": 4}
+    assert set(one(S.composition(nodes.where("false"))).values()) == {0}
