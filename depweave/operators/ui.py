@@ -48,10 +48,14 @@ def drawn_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def communities(nodes: DataFrame, order: str = "id") -> DataFrame:
-    """(community, nodes, color): all nodes of each community, and its first member's colour."""
-    color = F.col("color") if "color" in nodes.columns else F.lit(None).cast("string")
+    """(community, nodes, color): all nodes of each community, and its first member's colour, null where nodes have none.
+
+    A row stands for as many nodes as its ``times`` says, if there is such a column.
+    """
+    color = F.min_by("color", order) if "color" in nodes.columns else F.first(F.lit(None).cast("string"))
     name = F.coalesce(F.nullif("community", F.lit("")), F.lit("other"))
-    return nodes.groupBy(name.alias("community")).agg(F.count("*").cast("long").alias("nodes"), F.min_by(color, order).alias("color"))
+    count = F.sum("times") if "times" in nodes.columns else F.count("*")
+    return nodes.groupBy(name.alias("community")).agg(count.cast("long").alias("nodes"), color.alias("color"))
 
 
 def legend(nodes: DataFrame, order: str = "id") -> DataFrame:

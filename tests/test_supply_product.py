@@ -60,7 +60,7 @@ def matches(got, sql, oracle, folder):
 
 
 
-@pytest.mark.parametrize("name", ["cluster_payload", "dependencies_of", "entity_parents", "health_ratios", "language_breakdown", "largest_files", "target_stats", "ui_connected", "node_composition"])
+@pytest.mark.parametrize("name", ["cluster_payload", "dependencies_of", "entity_parents", "health_ratios", "language_breakdown", "largest_files", "target_stats", "ui_connected", "node_composition", "ui_communities"])
 def test_entities_are_counted_without_being_formed(spark, oracle, folder, name):
     got = registry.QUERIES[name](spark, folder)
     assert matches(got, registry.ORACLES[name], oracle, folder)
@@ -118,3 +118,8 @@ def test_degrees_counted_before(graph, spark):
     nodes, edges = graph([("a", "F"), ("b", "F"), ("c", "F"), ("d", "F")], [("a", "b"), ("a", "b"), ("c", "c")])
     more = spark.createDataFrame([("a", "class", 3), ("a", "method", 1), ("d", "class", 2)], "src string, kind string, n long")
     assert {tuple(r) for r in ui.degrees(nodes, edges, more).collect()} == {("a", 6), ("b", 2), ("c", 2), ("d", 2)}
+
+
+def test_communities_of_rows_that_stand_for_many(spark):
+    nodes = spark.createDataFrame([("m", 2), ("m", 1), (None, 4), ("", 3)], "community string, times long")
+    assert {tuple(r) for r in ui.communities(nodes).collect()} == {("m", 3, None), ("other", 7, None)}
