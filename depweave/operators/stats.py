@@ -71,8 +71,9 @@ def composition(nodes: DataFrame) -> DataFrame:
 
 
 def edge_composition(edges: DataFrame) -> DataFrame:
-    inside = F.col("relation").eqNullSafe(F.lit("contains"))
-    return edges.agg(_long(F.count_if(~inside)).alias("dependency_edges"), _long(F.count_if(inside)).alias("contains_edges"))
+    """One row: edges that contain and others; a row stands for as many as its ``times`` says, if there is such a column."""
+    inside, count = F.col("relation").eqNullSafe(F.lit("contains")), _counter(edges)
+    return edges.agg(count(~inside).alias("dependency_edges"), count(inside).alias("contains_edges"))
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -140,3 +140,8 @@ def test_composition_of_rows_that_stand_for_many(spark):
     nodes = spark.createDataFrame([(None, False, None, 2), ("class", False, None, 5), ("method", None, None, 3), ("entity", False, None, 1), (None, True, True, 4), (None, True, None, 6)], "kind string, external boolean, npm boolean, times long")
     assert one(S.composition(nodes)) == {"files": 2, "entities": 9, "classes": 5, "functions": 0, "methods": 3, "externals": 10, "npm_packages": 4}
     assert set(one(S.composition(nodes.where("false"))).values()) == {0}
+
+
+def test_edges_that_stand_for_many(spark):
+    edges = spark.createDataFrame([(None, 2), ("contains", 5), ("other", 1), ("contains", 1)], "relation string, times long")
+    assert one(S.edge_composition(edges)) == {"dependency_edges": 3, "contains_edges": 6}

@@ -60,7 +60,7 @@ def matches(got, sql, oracle, folder):
 
 
 
-@pytest.mark.parametrize("name", ["cluster_payload", "dependencies_of", "entity_parents", "health_ratios", "language_breakdown", "largest_files", "target_stats", "ui_connected", "node_composition", "ui_communities"])
+@pytest.mark.parametrize("name", ["cluster_payload", "dependencies_of", "entity_parents", "health_ratios", "language_breakdown", "largest_files", "target_stats", "ui_connected", "node_composition", "ui_communities", "edge_composition"])
 def test_entities_are_counted_without_being_formed(spark, oracle, folder, name):
     got = registry.QUERIES[name](spark, folder)
     assert matches(got, registry.ORACLES[name], oracle, folder)
