@@ -46,3 +46,22 @@ def test_strong_components(spark, monkeypatch, enough):
     if enough == 60:
         monkeypatch.setattr(C, "without_sinks", no_rounds)
     assert len(want) > 10 and {tuple(r) for r in C.strong_components(df, enough).collect()} == want
+
+
+@pytest.mark.parametrize("limit", [3, 7, 200])
+def test_cycles(graph, monkeypatch, limit):
+    """Tasks find the cycles of one walk, in its order, up to the limit of all, whatever the order of files."""
+    links = scattered(6)
+    names = sorted({n for pair in links for n in pair})
+    random.Random(5).shuffle(names)
+    nodes, edges = graph([(n, "F", {"label": n.upper()}) for n in names], links)
+    out = {}
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+    want = C.depth_first(names, out, limit)
+    monkeypatch.setattr(C, "without_sinks", no_rounds)
+    for enough in (50, 10**6):
+        got = C.detect_cycles(nodes, edges, limit, enough).orderBy("id").collect()
+        assert [[f["id"] for f in r.files] for r in got] == want and [r.id for r in got] == list(range(1, len(want) + 1))
+        assert all(r.label == C.ARROW.join(f["id"].upper() for f in r.files) for r in got)
+    assert len(want) == limit or limit == 200 and len(want) > 20
