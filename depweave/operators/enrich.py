@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import clamp, common_root, dirname, extension, is_entity, is_file, label, parent, relative_path
 from ..functions.languages import language
+from .components import by_component
 from .storage import DRIVER_LINKS, numbered, stored
 
 PALETTE = tuple(f"#{c}" for c in "4E79A7 F28E2B E15759 76B7B2 59A14F EDC948 B07AA1 FF9DA7 9C755F BAB0AC AF7AA1 86BCB6".split())
@@ -122,23 +124,43 @@ def _moves(links: DataFrame, loops: DataFrame, total: float) -> DataFrame:
     return held.select("node", "c")
 
 
+def _partition(links: list[tuple], total: float) -> list[tuple[str, str]]:
+    """(node, first node of its community) for links (a, b, place of a, place of b)."""
+    place = {n: o for a, b, x, y in links for n, o in ((a, x), (b, y))}
+    order = sorted(place, key=lambda n: (place[n] is not None, place[n] or 0, n))
+    part = louvain_partition(order, sorted((a, b) for a, b, *_ in links), total)
+    first: dict[int, str] = {}
+    for n in order:
+        first.setdefault(part[n], n)
+    return [(n, first[part[n]]) for n in order]
+
+
 def louvain(nodes: DataFrame, edges: DataFrame, enough: int = DRIVER_LINKS) -> DataFrame:
     """(id, community): the community of each file, named by its first member. A file without links is alone.
 
-    While there are more than ``enough`` links, nodes move in Spark and their
-    communities become the nodes of a smaller graph; the driver partitions
-    what is left, or all where links are few. Names of the groups on the way
-    are those of members.
+    No more than ``enough`` links are partitioned on the driver. Otherwise
+    tasks partition the links of whole connected components, with the same
+    result. In components of more than ``enough`` links nodes move in Spark
+    and their communities become the nodes of a smaller graph, until the
+    driver can partition what is left. Names of the groups on the way are
+    those of members.
     """
     spark = nodes.sparkSession
     files = nodes.where(is_file(F.col("external"), F.col("kind")))
     order = F.col("ord").cast("long") if "ord" in nodes.columns else F.lit(0).cast("long")
     files = files.select("id", order.alias("ord"))
     pairs = stored(undirected(files, edges))
-    links = pairs.select("a", "b", F.lit(1.0).alias("w"))
-    total = 2.0 * pairs.count()
+    size = pairs.count()
+    total = 2.0 * size
     loops = spark.createDataFrame([], "node string, w double")
     own = files.select("id", F.col("id").alias("node"), "ord")
+    if size > enough:
+        place = lambda end: files.select(F.col("id").alias(end), F.col("ord").alias(f"{end}_ord"))
+        placed = pairs.join(place("a"), "a").join(place("b"), "b").select("a", "b", "a_ord", "b_ord")
+        parted, rest = by_component(placed, partial(_partition, total=total), "node string, c string", enough)
+        own = stored(own.join(parted, "node", "left").select("id", F.coalesce("c", "node").alias("node"), "ord"))
+        pairs = rest if rest is not None else pairs.where("false")
+    links = stored(pairs.select("a", "b", F.lit(1.0).alias("w")))
     size = links.count()
     while size > enough:
         to = _moves(links, loops, total)
@@ -155,7 +177,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, enough: int = DRIVER_LINKS) -> D
         firsts = own.groupBy("node").agg(F.min("ord").alias("first"))
         touched = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         names = [r.node for r in firsts.join(touched, "node", "left_semi").orderBy("first", "node").collect()]
-        part = louvain_partition(names, [tuple(r) for r in links.orderBy("a", "b").collect()], total, {r.node: r.w for r in loops.collect()})
+        inside = {r.node: r.w for r in loops.join(touched, "node", "left_semi").collect()}  # what no link leads to can't move
+        part = louvain_partition(names, [tuple(r) for r in links.orderBy("a", "b").collect()], total, inside)
         own = own.join(spark.createDataFrame([(n, f"{c}") for n, c in part.items()], "node string, c string"), "node", "left").select("id", F.coalesce(F.concat(F.lit("#"), "c"), F.concat(F.lit("="), "node")).alias("node"), "ord")
     named = own.groupBy("node").agg(F.min(F.struct("ord", "id")).alias("f"))
     return own.join(named, "node").select("id", F.col("f.id").alias("community"))

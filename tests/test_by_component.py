@@ -6,6 +6,7 @@ import pytest
 
 from depweave.operators import components as P
 from depweave.operators import cycles as C
+from depweave.operators import enrich
 
 
 def scattered(seed, groups=12, size=9, most=14):
@@ -65,3 +66,15 @@ def test_cycles(graph, monkeypatch, limit):
         assert [[f["id"] for f in r.files] for r in got] == want and [r.id for r in got] == list(range(1, len(want) + 1))
         assert all(r.label == C.ARROW.join(f["id"].upper() for f in r.files) for r in got)
     assert len(want) == limit or limit == 200 and len(want) > 20
+
+
+def test_louvain(graph, monkeypatch):
+    """Tasks find the communities that the driver finds, whatever the order of files; nothing moves in Spark."""
+    links = scattered(3, most=22)
+    names = sorted({n for pair in links for n in pair})
+    random.Random(5).shuffle(names)
+    nodes, edges = graph([(n, "F") for n in [*names, "alone"]], links)
+    want = {r.id: r.community for r in enrich.louvain(nodes, edges, 10**6).collect()}
+    monkeypatch.setattr(enrich, "_moves", no_rounds)
+    got = {r.id: r.community for r in enrich.louvain(nodes, edges, 50).collect()}
+    assert got == want and len(set(want.values())) > 12 and want["alone"] == "alone"
