@@ -78,3 +78,17 @@ def test_louvain(graph, monkeypatch):
     monkeypatch.setattr(enrich, "_moves", no_rounds)
     got = {r.id: r.community for r in enrich.louvain(nodes, edges, 50).collect()}
     assert got == want and len(set(want.values())) > 12 and want["alone"] == "alone"
+
+
+def test_cyclic_nodes(graph, monkeypatch):
+    links = scattered(7, most=7)
+    names = sorted({n for pair in links for n in pair})
+    nodes, edges = graph([(n, "F") for n in names], links)
+    out = {}
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+    want = {n for part in C.strong_parts(out) for n in part}
+    monkeypatch.setattr(C, "without_sinks", no_rounds)
+    for enough in (30, 10**6):
+        got = [r.id for r in C.cyclic_nodes(nodes, edges, enough).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
