@@ -79,7 +79,7 @@ def test_payload_sizes(graph, spark):
     assert {r.file: tuple(r)[1:] for r in cluster.payload_sizes(nodes, edges, more).collect()} == {"/a": (1, 6, 2, 2), "/b": (3, 0, 0, 0)}
 
 
-@pytest.mark.parametrize("name", ["entity_inherit", "node_display", "ui_degree"])
+@pytest.mark.parametrize("name", ["entity_inherit", "node_display", "ui_degree", "enrich_others"])
 def test_entities_stay_where_they_are_formed(spark, oracle, folder, name):
     got = registry.QUERIES[name](spark, folder)
     assert matches(got, registry.ORACLES[name], oracle, folder)
