@@ -23,7 +23,7 @@ ENTITY_SIZE = 3.0
 def undirected(files: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, b) with a < b: files that are linked, whichever way and however often."""
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    return pairs.join(files.select(F.col("id").alias("a")), "a", "left_semi").join(files.select(F.col("id").alias("b")), "b", "left_semi")
+    return pairs.join(unsent(files.select(F.col("id").alias("a"))), "a", "left_semi").join(unsent(files.select(F.col("id").alias("b"))), "b", "left_semi")
 
 
 def louvain_partition(order: list[str], links: list[tuple], of: float | None = None, loops: dict[str, float] | None = None) -> dict[str, int]:
@@ -156,10 +156,10 @@ def louvain(nodes: DataFrame, edges: DataFrame, enough: int = DRIVER_LINKS) -> D
     loops = spark.createDataFrame([], "node string, w double")
     own = files.select("id", F.col("id").alias("node"), "ord")
     if size > enough:
-        place = lambda end: files.select(F.col("id").alias(end), F.col("ord").alias(f"{end}_ord"))
+        place = lambda end: unsent(files.select(F.col("id").alias(end), F.col("ord").alias(f"{end}_ord")))
         placed = pairs.join(place("a"), "a").join(place("b"), "b").select("a", "b", "a_ord", "b_ord")
         parted, rest = by_component(placed, partial(_partition, total=total), "node string, c string", enough)
-        own = stored(own.join(parted, "node", "left").select("id", F.coalesce("c", "node").alias("node"), "ord"))
+        own = stored(own.join(unsent(parted), "node", "left").select("id", F.coalesce("c", "node").alias("node"), "ord"))
         pairs = rest if rest is not None else pairs.where("false")
     links = stored(pairs.select("a", "b", F.lit(1.0).alias("w")))
     size = links.count()
@@ -182,7 +182,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, enough: int = DRIVER_LINKS) -> D
         part = louvain_partition(names, [tuple(r) for r in links.orderBy("a", "b").collect()], total, inside)
         own = own.join(spark.createDataFrame([(n, f"{c}") for n, c in part.items()], "node string, c string"), "node", "left").select("id", F.coalesce(F.concat(F.lit("#"), "c"), F.concat(F.lit("="), "node")).alias("node"), "ord")
     named = own.groupBy("node").agg(F.min(F.struct("ord", "id")).alias("f"))
-    return own.join(named, "node").select("id", F.col("f.id").alias("community"))
+    return own.join(unsent(named), "node").select("id", F.col("f.id").alias("community"))
 
 
 def community_names(members: DataFrame) -> DataFrame:
@@ -227,8 +227,8 @@ def enrich(nodes: DataFrame, edges: DataFrame, seed: int = 7, tally: DataFrame |
     root = common_root(files.select(F.col("id").alias("path")))
     ids = louvain(nodes, edges)
     folder = relative_path(dirname(F.col("id")), root or "/")
-    members = ids.join(files.select("id", "ord"), "id").withColumn("dir", F.when(folder == "", ".").otherwise(folder))
-    names = members.select("id", "community").join(community_names(members), "community").join(community_palette(members), "community")
+    members = ids.join(unsent(files.select("id", "ord")), "id").withColumn("dir", F.when(folder == "", ".").otherwise(folder))
+    names = members.select("id", "community").join(unsent(community_names(members)), "community").join(unsent(community_palette(members)), "community")
     palette = F.array(*map(F.lit, PALETTE))
     named = stored(names.select("id", F.col("name").alias("c_name"), F.element_at(palette, (F.col("color_idx") + 1).cast("int")).alias("c_color")))
     entity, outside = is_entity(F.col("kind")), F.coalesce("external", F.lit(False))

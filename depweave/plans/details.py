@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import languages as L
 from ..operators import build, cache, cycles, enrich, extract, stats, ui
-from ..operators.storage import few, stored
+from ..operators.storage import few, stored, unsent
 from ..sources import adapters as A
 from ..sources.adapters import table
 from .extraction import sources
@@ -163,7 +163,7 @@ def cycle_overlay(s, d):
     row = (
         held.count() > 0,
         held.where(F.element_at(ids, 1) != F.element_at(ids, -1)).isEmpty(),
-        steps.join(edges, ["src", "dst"], "left_anti").isEmpty() and lines.select("src", "dst").distinct().count() == steps.count(),
+        steps.join(unsent(edges), ["src", "dst"], "left_anti").isEmpty() and lines.select("src", "dst").distinct().count() == steps.count(),
         mine.select("id").exceptAll(cycles.cyclic_nodes(nodes, edges)).isEmpty(),
         turned.count() == turned.distinct().count(),
         first is None or first.id in cycles.cycle_ids(held, first.file),

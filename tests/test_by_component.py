@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from depweave.operators import components as P
 from depweave.operators import cycles as C
@@ -92,3 +93,11 @@ def test_cyclic_nodes(graph, monkeypatch):
     for enough in (30, 10**6):
         got = [r.id for r in C.cyclic_nodes(nodes, edges, enough).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+
+
+def test_nodes_are_not_broadcast(spark, graph):
+    """Tables of all nodes go neither to the driver nor from there to all tasks, however small their files are."""
+    links = scattered(8)
+    nodes, edges = graph([(n, "F") for n in sorted({n for pair in links for n in pair})], links)
+    for df in (C._links(nodes, edges), enrich.undirected(nodes, edges), P._starred(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
